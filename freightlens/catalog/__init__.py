@@ -2,7 +2,7 @@
 
 import importlib
 
-TOPICS = ["quality"]
+TOPICS = ["quality", "scoring"]
 
 
 def load():
