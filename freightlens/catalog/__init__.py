@@ -2,7 +2,7 @@
 
 import importlib
 
-TOPICS = ["quality", "scoring"]
+TOPICS = ["quality", "scoring", "nearest"]
 
 
 def load():
