@@ -2,7 +2,7 @@
 
 import importlib
 
-TOPICS = ["quality", "scoring", "nearest"]
+TOPICS = ["quality", "scoring", "nearest", "decisions"]
 
 
 def load():
