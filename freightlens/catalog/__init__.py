@@ -2,7 +2,7 @@
 
 import importlib
 
-TOPICS = ["quality", "scoring", "nearest", "decisions"]
+TOPICS = ["quality", "scoring", "nearest", "decisions", "learning"]
 
 
 def load():
