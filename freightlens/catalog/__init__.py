@@ -2,7 +2,7 @@
 
 import importlib
 
-TOPICS = ["quality", "scoring", "nearest", "decisions", "learning"]
+TOPICS = ["quality", "scoring", "nearest", "decisions", "learning", "telemetry"]
 
 
 def load():
