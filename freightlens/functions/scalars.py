@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 MICRO = 1_000_000
 
@@ -60,3 +60,9 @@ def hash_int(modulus: Column | int, *parts: Column) -> Column:
 def unpivot_structs(rows: list[Column]) -> Column:
     """`inline`-able array: one output row per struct of a single wide aggregate row."""
     return F.inline(F.array(*rows))
+
+
+def unpivot_cells(df: DataFrame, columns: list[str], name: str = "column", keep: list[str] = ()) -> DataFrame:
+    """One row per cell: (keep..., name, value as double)."""
+    cells = F.array(*[F.struct(F.lit(c).alias(name), F.col(c).cast("double").alias("value")) for c in columns])
+    return df.select(*keep, F.inline(cells))

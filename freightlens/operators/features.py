@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
-from freightlens.functions.scalars import ratio_or_zero, snap
+from freightlens.functions.scalars import ratio_or_zero, snap, unpivot_cells
 from freightlens.sources.shipments import ID, TARGET
 
 RAW_GROUPS = {
@@ -187,6 +187,6 @@ def standardize(df: DataFrame, stats: dict[str, tuple[float, float]]) -> DataFra
 def correlations(df: DataFrame, target: str = TARGET) -> DataFrame:
     """Pearson r of every numeric column with the target over complete pairs, strongest first."""
     columns = numeric_columns(df, target)
-    wide = df.agg(*[F.corr(F.col(c).cast("double"), F.col(target).cast("double")).alias(c) for c in columns])
-    rows = F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), snap(c).alias("pearson_r")) for c in columns]))
-    return wide.select(rows).withColumn("abs_r", F.abs("pearson_r")).orderBy(F.desc_nulls_last("abs_r"), "feature")
+    cells = unpivot_cells(df, columns, "feature", [F.col(target).cast("double").alias("_y")])
+    found = cells.groupBy("feature").agg(snap(F.corr("value", "_y")).alias("pearson_r"))
+    return found.withColumn("abs_r", F.abs("pearson_r")).orderBy(F.desc_nulls_last("abs_r"), "feature")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from freightlens.functions.quantiles import exact_quantiles
-from freightlens.functions.scalars import ratio, snap, unpivot_structs
+from freightlens.functions.scalars import ratio, snap, unpivot_cells, unpivot_structs
 from freightlens.operators.features import numeric_columns
 from freightlens.sources.shipments import ID, TARGET
 
@@ -71,21 +71,25 @@ def _sample_kurtosis(c: Column, n: Column) -> Column:
 def descriptive(df: DataFrame, columns: list[str] | None = None, rows: int | None = None) -> DataFrame:
     """Mean, deviation, quartiles, extremes and bias-corrected shape of each numeric column.
 
-    Moments of all columns are one wide aggregate; quartiles come from the exact-quantile job.
+    Cells are unpivoted before they are aggregated: one small set of moment states per column
+    stays in generated code, where a single row of 150 states does not. Quartiles come from the
+    exact-quantile job.
     """
     columns = columns or [n for n, t in df.dtypes if t in ("int", "bigint", "double", "float") and n != ID]
     quartiles = exact_quantiles(df, {c: F.col(c) for c in columns}, [0.25, 0.5, 0.75], rows)
-    wide = []
-    for name in columns:
-        c = F.col(name).cast("double")
-        n = F.count(c).cast("double")
-        wide.append(F.struct(
-            F.lit(name).alias("column"), snap(F.avg(c)).alias("mean"), snap(F.stddev_samp(c)).alias("std"),
-            snap(F.min(c)).alias("min"),
-            *[snap(F.lit(q).cast("double")).alias(f"q{label}") for label, q in zip((25, 50, 75), quartiles[name])],
-            snap(F.max(c)).alias("max"), snap(_sample_skew(c, n)).alias("skew"), snap(_sample_kurtosis(c, n)).alias("kurtosis"),
-        ).alias(f"_{name}"))
-    return df.agg(*wide).select(unpivot_structs([F.col(f"_{c}") for c in columns]))
+    known = F.create_map(*[x for c in columns for x in (F.lit(c), F.array(*[F.lit(q).cast("double") for q in quartiles[c]]))])
+    v = F.col("value")
+    n = F.count(v).cast("double")
+    moments = unpivot_cells(df, columns).groupBy("column").agg(
+        F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"),
+        _sample_skew(v, n).alias("skew"), _sample_kurtosis(v, n).alias("kurtosis"),
+    )
+    quartile = lambda i: F.get(F.element_at(known, F.col("column")), F.lit(i))
+    return moments.select(
+        "column", snap("mean").alias("mean"), snap("std").alias("std"), snap("min").alias("min"),
+        snap(quartile(0)).alias("q25"), snap(quartile(1)).alias("q50"), snap(quartile(2)).alias("q75"),
+        snap("max").alias("max"), snap("skew").alias("skew"), snap("kurtosis").alias("kurtosis"),
+    )
 
 
 def range_violations(df: DataFrame) -> DataFrame:
