@@ -61,14 +61,11 @@ def rollup_with_gaps(df: DataFrame, width: str = "6 hours", width_seconds: int =
 
 
 def stream_gaps(df: DataFrame, keys: list[str] = KEYS) -> DataFrame:
-    """(keys, ts, gap_hours) for a stream: the last time per key is state, dropped after a day of silence."""
+    """(keys, ts, gap_hours) for a stream; the state is one timestamp per key, kept so that no silence is lost."""
     fields = {"device_id": "bigint", "sensor": "string"}
     head = ", ".join(f"{k} {fields[k]}" for k in keys)
 
     def step(key, frames, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
         times = pd.concat([f["ts"] for f in frames]).sort_values(ignore_index=True)
         last = pd.Timestamp(state.get[0]) if state.exists else None
         before = times.shift(1)
@@ -76,12 +73,11 @@ def stream_gaps(df: DataFrame, keys: list[str] = KEYS) -> DataFrame:
             before.iloc[0] = last
         newest = times.iloc[-1] if last is None else max(times.iloc[-1], last)
         state.update((newest,))
-        state.setTimeoutDuration(86_400_000)
         gap = (times - before).dt.total_seconds() / 3600.0
         yield pd.DataFrame({**{k: key[i] for i, k in enumerate(keys)}, "ts": times, "gap_hours": gap.clip(lower=0)})
 
     return df.groupBy(*keys).applyInPandasWithState(
-        step, f"{head}, ts timestamp, gap_hours double", "last timestamp", "append", "ProcessingTimeTimeout")
+        step, f"{head}, ts timestamp, gap_hours double", "last timestamp", "append", "NoTimeout")
 
 
 def humidity_range(df: DataFrame) -> DataFrame:
