@@ -1,0 +1,197 @@
+"""Secret scans: fixed patterns, and Shannon entropy in a sliding window over candidate strings.
+
+A candidate is a run of the characters of keys and tokens that holds a letter and a digit. Its class is the narrowest
+alphabet that covers it. A window slides over the candidate; counts by character are kept in a map and changed by one
+character in and one out, and with them the sum of c*log2(c), so each step costs the same whatever the window's length.
+A candidate with windows of enough entropy gives one span from the first such window to the last, unless it is on the
+allow list. All is done inside the row with DataFrame functions: no shuffle, no Python.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, functions as F
+
+from freightlens.llm.tables import let, spare_name
+
+#: Fixed patterns, in the order of their kinds: kind, pattern, group whose length counts, least length.
+BASE = [
+    ("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
+    ("access", r"AKIA[A-Z0-9]+", 0, 16),
+    ("hex", r"[0-9a-f]{32,}", 0, 32),
+]
+ENTROPY = "entropy"
+CANDIDATE = r"[A-Za-z0-9+/=_-]{20,}"
+
+#: Fixed list of what looks random and is no secret: UUIDs, dates and times in digits, documented example keys, and runs
+#: that say they are checksums or data.
+ALLOWED = [
+    r"^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$",
+    r"^(19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}",
+    r"EXAMPLE",
+    r"^(sha(1|256|384|512)|md5)[-=_]",
+    r"^(?=[^/]*/[^/]*/[^/]*/)[a-z0-9_-]+(/[a-z0-9_-]+)+/?$",
+]
+
+
+@dataclass(frozen=True)
+class Window:
+    """width: characters of the sliding window. bits: least entropy of a window for candidates of a class, as
+    (class, pattern that covers the candidate, bits); the first class that fits counts."""
+
+    width: int = 20
+    bits: tuple[tuple[str, str, float], ...] = (
+        ("hex", "^([0-9a-f-]+|[0-9A-F-]+)$", 3.0),
+        ("upper", "^[A-Z0-9_-]+$", 3.4),
+        ("base64", "^[A-Za-z0-9+/=_-]+$", 3.7),
+    )
+
+
+ENDS = "array<struct<start:int,end:int>>"
+CHUNK = 256
+
+
+def _located(text: Column, pattern: str) -> Column:
+    """Every match of `pattern`, leftmost and non-overlapping: an array of (start, end) in code points.
+
+    Stretches between matches and matches alternate, so places are running sums of their lengths. The sum runs in
+    chunks of `CHUNK` matches, so that appending stays cheap where a text has very many.
+    """
+    gaps = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
+    sizes = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda x: F.length(x))
+    both = F.zip_with(gaps, sizes, lambda gap, size: F.struct(gap.alias("gap"), size.alias("size")))  # one gap more than sizes
+
+    def chunks(steps: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.floor(F.size(steps) / CHUNK).cast("int"))
+        return F.transform(numbers, lambda i: F.filter(F.slice(steps, i * CHUNK + 1, CHUNK), lambda s: s["size"].isNotNull()))
+
+    def walk(acc: Column, item: Column, name: str) -> Column:
+        if name == "chunk":
+            inner = F.aggregate(item, _state(acc["at"], ENDS), lambda a, s: walk(a, s, "step"))
+            return F.struct(inner["at"].alias("at"), F.concat(acc["found"], F.array(inner["found"])).alias("found"))
+        start = acc["at"] + item["gap"]
+        end = start + item["size"]
+        return F.struct(end.alias("at"), F.concat(acc["found"], F.array(F.struct(start.alias("start"), end.alias("end")))).alias("found"))
+
+    whole = F.aggregate(let(both, chunks), _state(F.lit(0), f"array<{ENDS}>"), lambda a, c: walk(a, c, "chunk"))
+    return F.flatten(whole["found"])
+
+
+def _state(at: Column, found: str) -> Column:
+    return F.struct(at.cast("int").alias("at"), F.array().cast(found).alias("found"))
+
+
+def _kind(spans: Column, kind: str) -> Column:
+    return F.transform(spans, lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+
+
+def _base(text: Column, kind: str, pattern: str, group: int, least: int) -> Column:
+    """Spans of one fixed kind; matches whose group is too short are dropped after matching."""
+    sizes = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    spans = F.zip_with(_located(text, pattern), sizes, lambda s, g: F.struct(s["start"], s["end"], (F.length(g) >= least).alias("kept")))
+    return F.when(F.regexp_like(text, F.lit(pattern)), _kind(F.filter(spans, lambda s: s["kept"]), kind))
+
+
+def _entropy_part(count: Column) -> Column:
+    return F.when(count > 1, count * F.log2(count)).otherwise(F.lit(0.0))
+
+
+def window_span(candidate: Column, width: int, bits: Column) -> Column:
+    """(first, last) of the stretch of a candidate covered by windows with `bits` of entropy or more; NULL if none.
+
+    Windows hold the last `width` characters. The entropy of a window is log2(width) - sum / width, where sum adds
+    c*log2(c) over its characters' counts c and is changed by the two characters that leave and enter.
+    """
+    empty = F.struct(F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<int>")).alias("counts"),
+                     F.lit(0.0).alias("sum"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"))
+
+    def changed(counts: Column, char: Column, by: int) -> Column:
+        return F.map_concat(F.map_filter(counts, lambda k, v: k != char), F.create_map(char, F.coalesce(counts[char], F.lit(0)) + by))
+
+    def leave(acc: Column, char: Column) -> Column:
+        had = F.coalesce(acc["counts"][char], F.lit(0))
+        return F.when(char.isNull(), acc).otherwise(F.struct(
+            changed(acc["counts"], char, -1).alias("counts"), (acc["sum"] - _entropy_part(had) + _entropy_part(had - 1)).alias("sum"),
+            acc["first"].alias("first"), acc["last"].alias("last")))
+
+    def enter(acc: Column, char: Column, place: Column) -> Column:
+        had = F.coalesce(acc["counts"][char], F.lit(0))
+        total = acc["sum"] - _entropy_part(had) + _entropy_part(had + 1)
+        high = (place + 1 >= width) & (F.log2(F.lit(float(width))) - total / width >= bits)
+        return F.struct(changed(acc["counts"], char, 1).alias("counts"), total.alias("sum"),
+                        F.when(high & acc["first"].isNull(), place + 1 - width).otherwise(acc["first"]).alias("first"),
+                        F.when(high, place + 1).otherwise(acc["last"]).alias("last"))
+
+    def slide(acc: Column, step: Column) -> Column:
+        left = F.aggregate(F.array(step["out"]), acc, leave)
+        return F.aggregate(F.array(step["in"]), left, lambda a, c: enter(a, c, step["place"]))
+
+    def steps(chars: Column) -> Column:
+        return F.transform(chars, lambda c, i: F.struct(i.alias("place"), c.alias("in"), F.when(i >= width, F.get(chars, i - width)).alias("out")))
+
+    done = F.aggregate(let(F.split(candidate, ""), steps), empty, slide)
+    return let(done, lambda d: F.when(d["first"].isNotNull(), F.struct(d["first"].alias("first"), d["last"].alias("last"))))
+
+
+def _random(text: Column, window: Window) -> Column:
+    """Spans of kind entropy."""
+    strings = F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
+
+    def judge(span: Column, string: Column) -> Column:
+        bits = F.coalesce(*[F.when(F.regexp_like(string, F.lit(pattern)), F.lit(least)) for _, pattern, least in window.bits], F.lit(99.0))
+        mixed = F.regexp_like(string, F.lit("[0-9]")) & F.regexp_like(string, F.lit("[A-Za-z]"))
+        allowed = F.regexp_like(string, F.lit("|".join(f"({p})" for p in ALLOWED)))
+        found = F.when(mixed & ~allowed, window_span(string, window.width, bits))
+        return let(found, lambda f: F.struct((span["start"] + f["first"]).alias("start"), (span["start"] + f["last"]).alias("end")))
+
+    spans = F.filter(F.zip_with(_located(text, CANDIDATE), strings, judge), lambda s: s["start"].isNotNull())
+    return F.when(F.regexp_like(text, F.lit(CANDIDATE)), _kind(spans, ENTROPY))
+
+
+def secret_spans(text: Column, window: Window = Window()) -> Column:
+    """All secrets of a whole text, by start, then kind: array of (kind, start, end), code points, end exclusive.
+
+    NULL and empty texts give an empty array. A stretch can be found under several kinds. The allow list suppresses
+    spans of kind entropy only.
+    """
+    text = F.coalesce(text, F.lit(""))
+    kinds = [k for k, *_ in BASE] + [ENTROPY]
+    found = [_base(text, *b) for b in BASE] + [_random(text, window)]
+    empty = F.array().cast("array<struct<kind:string,start:int,end:int>>")
+    every = F.concat(*[F.coalesce(x, empty) for x in found])
+    rank = F.array(*[F.lit(k) for k in kinds])
+    keyed = F.transform(every, lambda s: F.struct(s["start"].alias("start"), F.array_position(rank, s["kind"]).alias("rank"), s["end"].alias("end"), s["kind"].alias("kind")))
+    return F.transform(F.sort_array(keyed), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+
+
+def scan(docs: DataFrame, text: str = "text", into: str = "spans", window: Window = Window()) -> DataFrame:
+    """`docs` with its secrets in a new column; rows, order and other columns stay."""
+    return docs.withColumn(into, secret_spans(F.col(text), window))
+
+
+def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
+    """The text with every stretch covered by spans replaced by one mark; overlapping and touching spans are one."""
+    state = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
+
+    def cut(acc: Column, s: Column) -> Column:
+        fresh = F.struct(s["end"].alias("at"), F.concat(acc["parts"], F.array(
+            F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).alias("parts"))
+        longer = F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["parts"].alias("parts"))
+        return F.when((s["start"] <= acc["at"]) & (F.size(acc["parts"]) > 0), longer).otherwise(fresh)
+
+    def joined(done: Column) -> Column:
+        return F.array_join(F.concat(done["parts"], F.array(F.substring(text, done["at"] + 1, F.length(text)))), "")
+
+    return F.when(F.size(spans) > 0, let(F.aggregate(spans, state, cut), joined)).otherwise(text)
+
+
+def redact(docs: DataFrame, text: str = "text", length: str | None = "n_chars", window: Window = Window()) -> DataFrame:
+    """`docs` with secrets replaced by a mark; `length`, if the table has it, follows for changed texts. No row goes."""
+    held = spare_name(docs, "_spans")
+    frame = docs.withColumn(held, secret_spans(F.col(text), window))
+    frame = frame.withColumn(text, redacted(F.col(text), F.col(held)))
+    if length and length in docs.columns:
+        kind = docs.select(length).schema[0].dataType
+        frame = frame.withColumn(length, F.when(F.size(held) > 0, F.length(text).cast(kind)).otherwise(F.col(length)))
+    return frame.select(*docs.columns)
