@@ -2,7 +2,7 @@
 
 import importlib
 
-TOPICS = ["quality", "scoring", "nearest", "decisions", "learning", "telemetry"]
+TOPICS = ["quality", "scoring", "nearest", "decisions", "telemetry", "learning"]
 
 
 def load():

@@ -7,8 +7,8 @@ from freightlens.catalog.scoring import FEATURES, FILLED, FOLD_SQL, MODELS, TIER
 from freightlens.catalog.views import over, snap
 from freightlens.functions.scalars import micros, snap as snapped, unpivot_structs
 from freightlens.operators import anomaly, audit, baselines, decide, experiments, explain, features, folds, linear, metrics
-from freightlens.plans.scoring import order_count, prepared, scored, tiered
-from freightlens.session import new_folder
+from freightlens.plans.scoring import prepared, scored, tiered
+from freightlens.session import new_folder, stage
 from freightlens.sources.shipments import ID, TARGET, shipments
 
 W = linear.DEMO.weights
@@ -147,7 +147,7 @@ def with_error(rows):
   FROM err""", FILLED, FEATURES, ERROR))
 def anomaly_flag(spark, sf):
     rows = with_error(prepared(spark, sf))
-    return anomaly.flag(rows, anomaly.error_cut(rows, rows=order_count(spark, sf))).select(ID, "recon_error", "is_anomaly")
+    return anomaly.flag(rows, anomaly.error_cut(rows)).select(ID, "recon_error", "is_anomaly")
 
 
 @query("decision_record", over(f"""SELECT shipment_id, p, risk_tier, {snap('anomaly_score')} AS anomaly_score, rule_id, action, array_to_string(dom, ',') AS dominant FROM
@@ -182,12 +182,22 @@ def audit_chain(spark, sf):
     return chained(spark, sf).select(ID, "chain_head")
 
 
-@query("audit_verify", over("SELECT shipment_id, true AS intact FROM tiered", *TIER_VIEWS))
+@query("audit_verify", over("SELECT shipment_id, cast(shipment_id AS bigint) % 17 NOT IN (3, 5) AS intact FROM tiered", *TIER_VIEWS))
 def audit_verify(spark, sf):
-    return audit.verify_chain(chained(spark, sf))
-
-
-@query("audit_batch_digest")
+    """Stored chains of which some were changed: a record where the id leaves 3 by 17, a digest where it leaves 5."""
+    stored = stage(chained(spark, sf), "chains")
+    left = F.col(ID).cast("bigint") % 17
+    changed = F.transform("chain", lambda link, i: F.struct(
+        F.when((left == 3) & (i == 1), F.concat(link["record"], F.lit("0"))).otherwise(link["record"]).alias("record"),
+        F.when((left == 5) & (i == 0), F.sha2(link["digest"], 256)).otherwise(link["digest"]).alias("digest")))
+    return audit.verify_chain(stored.withColumn("chain", changed))
+
+
+@query("audit_batch_digest", over(f"""SELECT n_chains, sha256('{GENESIS}' || '=' || sha256(leaves)) AS digest FROM (
+  SELECT cast(sum(n) AS bigint) AS n_chains, string_agg(digit || '=' || sha256(heads), '|' ORDER BY digit) AS leaves FROM (
+    SELECT substr(head, 1, 1) AS digit, sum(n) AS n, string_agg(head || ':' || cast(n AS varchar), '|' ORDER BY head) AS heads FROM (
+      SELECT sha256(sha256(sha256('{GENESIS}' || {RECORDS_SQL[0]}) || {RECORDS_SQL[1]}) || {RECORDS_SQL[2]}) AS head, count(*) AS n FROM tiered GROUP BY ALL)
+    GROUP BY digit))""", *TIER_VIEWS))
 def audit_batch_digest(spark, sf):
     return audit.batch_digest(chained(spark, sf))
 
@@ -270,17 +280,20 @@ def registry_summary(spark, sf):
     return experiments.summary(registry_rows(spark, sf))
 
 
-@query("registry_append")
+@query("registry_append", over("""SELECT 'exp_' || substr(sha256(concat_ws('|', 'global_median', '', '', model, cast(threshold AS varchar), '')), 1, 12) AS exp_id,
+  'global_median' AS imputation, model, cast(threshold AS varchar) AS threshold, f1_mean, recall_mean, precision_mean, mcc_mean, mcc_std FROM reg""", *REG_VIEWS))
 def registry_append(spark, sf):
+    """Registered experiments, read back from the registry table."""
     path = new_folder(spark, "registry")
     rows = registry_rows(spark, sf).withColumn("imputation", F.lit("global_median")).withColumn("timestamp", F.lit("2024-01-01").cast("timestamp"))
     experiments.register(rows.withColumn("threshold", F.col("threshold").cast("string")), path)
-    return experiments.load_registry(spark, path)
+    return experiments.load_registry(spark, path).select(
+        "exp_id", "imputation", "model", "threshold", "f1_mean", "recall_mean", "precision_mean", "mcc_mean", "mcc_std")
 
 
 @query("ablation_table", over("SELECT model, threshold, f1_mean, recall_mean, precision_mean, f1_mean - max(f1_mean) OVER () AS gap_to_best FROM reg", *REG_VIEWS))
 def ablation_table(spark, sf):
     """The table behind the ablation charts: each variant with its distance from the best."""
-    rows = registry_rows(spark, sf)
-    packed = rows.agg(F.max("f1_mean").alias("_best"), F.collect_list(F.struct("model", "threshold", "f1_mean", "recall_mean", "precision_mean")).alias("r"))
-    return packed.select("_best", F.inline("r")).select("model", "threshold", "f1_mean", "recall_mean", "precision_mean", (F.col("f1_mean") - F.col("_best")).alias("gap_to_best"))
+    rows = stage(registry_rows(spark, sf), "registry-rows")
+    best = F.broadcast(rows.agg(F.max("f1_mean").alias("_best")))  # one row
+    return rows.join(best).select("model", "threshold", "f1_mean", "recall_mean", "precision_mean", (F.col("f1_mean") - F.col("_best")).alias("gap_to_best"))

@@ -1,4 +1,5 @@
-"""Queries that train models; sizes are small so that they run in seconds, every one reads all rows."""
+"""Queries that train models. Single fits use the full settings of each model; queries that fit many models (out-of-fold
+predictions, ensembles, search, experiments) use lighter members, named in `LIGHT`. Every one reads all rows."""
 
 
 from pyspark.sql import functions as F
@@ -7,7 +8,7 @@ from freightlens.catalog.decisions import FOLD_SQL
 from freightlens.catalog.registry import query
 from freightlens.catalog.views import over, snap
 from freightlens.functions.scalars import snap as snapped
-from freightlens.operators import anomaly, baselines, explain, features, iterative, lime, linear, metrics, models, treeshap
+from freightlens.operators import anomaly, baselines, explain, features, iterative, lime, linear, metrics, models, thresholds, treeshap
 from freightlens.operators.folds import hashed_order, stratified_folds
 from freightlens.plans import ablation
 from freightlens.plans.scoring import prepared, scored
@@ -15,12 +16,10 @@ from freightlens.session import stage
 from freightlens.sources.shipments import ID, TARGET, shipments
 
 INPUTS = features.RAW_FEATURES
-SMALL = {
+LIGHT = {
     "gbt_a": models.Settings(rounds=5, depth=4, feature_share="all"),
-    "gbt_b": models.Settings(rounds=3, depth=4, categorical=True),
-    "gbt_c": models.Settings(rounds=3, depth=3, subsample=1.0, feature_share="all", encode=True),
     "random_forest": models.Settings("forest", 10, 6, subsample=1.0, feature_share="auto"),
-    "logistic_reg": models.Settings("logistic", 15, grid=(1.0,)),
+    "logistic_reg": models.Settings("logistic", 1000, grid=(1.0,)),
 }
 
 
@@ -37,17 +36,17 @@ def _model_query(name):
     @query(name)
     def run(spark, sf):
         train, test = _split(_rows(spark, sf))
-        return metrics.all_metrics(models.fit(train, INPUTS, SMALL[name]).score(test), 0.5)
+        return metrics.all_metrics(models.fit(train, INPUTS, models.PRESETS[name]).score(test), 0.5)
 
 
-for _name in SMALL:
+for _name in models.PRESETS:
     _model_query(_name)
 
 
 @query("lr_grid")
 def lr_grid(spark, sf):
     train, test = _split(_rows(spark, sf))
-    fitted = models.fit(train, INPUTS, models.Settings("logistic", 8, grid=(0.01, 1.0)))
+    fitted = models.fit(train, INPUTS, models.PRESETS["logistic_reg"])
     return metrics.all_metrics(fitted.score(test), 0.5)
 
 
@@ -70,7 +69,7 @@ def oof_predictions(spark, sf):
 @query("soft_vote_trained")
 def soft_vote_trained(spark, sf):
     train, test = _split(_rows(spark, sf))
-    fitted = models.fit_vote(train, INPUTS, {n: SMALL[n] for n in ("gbt_a", "random_forest")})
+    fitted = models.fit_vote(train, INPUTS, {n: LIGHT[n] for n in ("gbt_a", "random_forest")})
     return metrics.all_metrics(fitted.score(test), 0.5)
 
 
@@ -91,12 +90,12 @@ def random_search(spark, sf):
 
 @query("kmeans")
 def kmeans(spark, sf):
-    return baselines.two_means(_rows(spark, sf), INPUTS, 3)[1]
+    return baselines.two_means(_rows(spark, sf), INPUTS)[1]
 
 
 @query("isolation_forest")
 def isolation_forest(spark, sf):
-    return baselines.isolation_forest(_rows(spark, sf), INPUTS, (25, 50))
+    return baselines.isolation_forest(_rows(spark, sf), INPUTS)
 
 
 def _errors(spark, sf, fn):
@@ -122,40 +121,41 @@ def tree_shap(spark, sf):
     return treeshap.tree_shap(models.fit(rows, INPUTS, models.Settings(rounds=5, depth=4, feature_share="all")), rows, ID)
 
 
-def _lime(rows, samples):
+def _lime(rows):
+    """Every shipment at or above the cost-optimal threshold, explained with the full number of samples."""
     names = list(linear.DEMO.weights)
-    bins = lime.fit_bins(rows, names)
-    risky = rows.orderBy(F.desc("p"), ID).limit(50).select(ID, *names)  # the explained set: the 50 riskiest shipments
-    return lime.explain_rows(risky, bins, lambda df: linear.score(df, linear.DEMO), samples), risky
+    bins = lime.fit_bins(rows, names, staged=True)
+    risky = rows.where(F.col("p") >= thresholds.optimize(rows, "asymmetric_cost")).select(ID, *names)
+    return lime.explain_rows(risky, bins, lambda df: linear.score(df, linear.DEMO)), risky
 
 
 @query("lime")
 def lime_query(spark, sf):
-    return _lime(stage(scored(spark, sf), "lime"), 5000)[0]
+    return _lime(stage(scored(spark, sf), "lime"))[0]
 
 
 @query("lime_agreement")
 def lime_agreement(spark, sf):
     rows = stage(scored(spark, sf), "lime")
-    local, risky = _lime(rows, 1000)
+    local, risky = _lime(rows)
     exact = linear.explain(risky, linear.fit_means(rows))
     return explain.mean_agreement(explain.agreement(exact, local))
 
 
 @query("impute_mice")
 def impute_mice(spark, sf):
-    out = iterative.mice(shipments(spark, sf).select(ID, *INPUTS), INPUTS, 3)
+    out = iterative.mice(shipments(spark, sf).select(ID, *INPUTS), INPUTS)
     return out.select(ID, *[snapped(c).alias(c) for c in ("rh_max", "temp_recovery_rate")])
 
 
 @query("impute_missforest")
 def impute_missforest(spark, sf):
-    out = iterative.missforest(shipments(spark, sf).select(ID, *INPUTS), INPUTS, 1, 5, 5)
+    out = iterative.missforest(shipments(spark, sf).select(ID, *INPUTS), INPUTS)
     return out.select(ID, *[snapped(c).alias(c) for c in ("rh_max", "temp_recovery_rate")])
 
 
-BASE = ablation.Experiment("global_median", "class_weight", feature_set="FS-B", model="logistic_reg", n_splits=2,
-                           presets={**models.PRESETS, "logistic_reg": models.Settings("logistic", 8, grid=(1.0,))})
+BASE = ablation.Experiment("global_median", "class_weight", feature_set="FS-B", model="logistic_reg",
+                           presets={**models.PRESETS, "logistic_reg": LIGHT["logistic_reg"]})
 
 
 @query("experiment_single")
@@ -165,5 +165,5 @@ def experiment_single(spark, sf):
 
 @query("ablation_stage")
 def ablation_stage(spark, sf):
-    rows, _ = ablation.run_stage(BASE, stage(shipments(spark, sf), "experiment"), "features", ["FS-A", "FS-B"])
+    rows, _ = ablation.run_stage(BASE, stage(shipments(spark, sf), "experiment"), "threshold")
     return rows.drop("runtime_s")

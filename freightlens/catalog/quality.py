@@ -5,9 +5,9 @@ from pyspark.sql import functions as F
 from freightlens.catalog.registry import query
 from freightlens.catalog.views import ORDERED, RAW, over, snap
 from freightlens.operators import profile, validate
-from freightlens.plans.scoring import order_count
-from freightlens.session import stage
-from freightlens.sources.shipments import ORDERED_COLUMNS, raw_shipments, shipments
+from freightlens.plans.scoring import staged_shipments
+from freightlens.session import new_folder, stage
+from freightlens.sources.shipments import ORDERED_COLUMNS, raw_shipments, read_raw_csv, shipments, write_csv
 
 INTS = "door_opens leg_count package_type carrier_id origin_zone dest_zone feature_x3 silent_failure".split()
 OPTIONAL = ["temp_recovery_rate", "rh_max"]
@@ -57,12 +57,12 @@ def scan_shipments(spark, sf):
 
 
 def _landed(spark, sf):
-    """The untrusted rows as a landed table, the way an intake job receives them."""
+    """The untrusted rows as a landed table, for queries that read them several times."""
     return stage(raw_shipments(spark, sf), "landing")
 
 
 def _annotated(spark, sf):
-    return validate.annotate(_landed(spark, sf))
+    return validate.annotate(raw_shipments(spark, sf))
 
 
 @query("validate_types", over(
@@ -107,6 +107,15 @@ def quarantine_summary(spark, sf):
     return validate.quarantine_summary(_annotated(spark, sf))
 
 
+@query("csv_intake", over("SELECT rule, count(*) AS n_rows FROM rules GROUP BY rule", RAW, CHECKED, RULES))
+def csv_intake(spark, sf):
+    """The untrusted rows as CSV files, scanned as text, validated, and their errors counted."""
+    path = new_folder(spark, "intake")
+    write_csv(raw_shipments(spark, sf), path)
+    errors = validate.annotate(read_raw_csv(spark, path)).select(F.explode("_errors").alias("rule"))
+    return errors.groupBy("rule").agg(F.count("*").alias("n_rows"))
+
+
 TYPED_ONLY = "typed0 AS (SELECT " + ", ".join(f"{_typed(c)} AS {c}" for c in ORDERED) + " FROM raw)"
 
 
@@ -187,7 +196,7 @@ def _descriptive_sql():
 
 @query("profile_descriptive", over(_descriptive_sql()))
 def profile_descriptive(spark, sf):
-    return profile.descriptive(shipments(spark, sf), rows=order_count(spark, sf))
+    return profile.descriptive(staged_shipments(spark, sf), staged=True)
 
 
 @query("profile_report", over(f"""SELECT section, item, stat, cast(value AS double) AS value FROM (
@@ -207,7 +216,7 @@ def profile_descriptive(spark, sf):
  UNION ALL SELECT 'range_violations', 'rh_mean_out_of_range', 'n_rows', n FROM (SELECT count(*) AS n FROM shipments WHERE rh_mean<0 OR rh_mean>1) WHERE n>0
 )""", f"miss AS ({_missing_sql('shipments')})", f"tgt AS ({TARGET_SQL})", f"des AS ({_descriptive_sql()})"))
 def profile_report(spark, sf):
-    return profile.full_report(shipments(spark, sf), rows=order_count(spark, sf))
+    return profile.full_report(staged_shipments(spark, sf), staged=True)
 
 
 @query("failure_rate_by_segment", over(" UNION ALL ".join(

@@ -7,7 +7,7 @@ from freightlens.catalog.views import ORDERED, over, snap
 from freightlens.functions.scalars import snap as snapped
 from freightlens.operators import collinearity, features, folds, impute, linear, metrics, outliers, thresholds
 from freightlens.operators.decide import risk_tier, tier_distribution
-from freightlens.plans.scoring import NO_SCALER, intervention_list, order_count, prepared, scored, tiered
+from freightlens.plans.scoring import NO_SCALER, intervention_list, prepared, scored, staged_shipments, tiered
 from freightlens.sources.shipments import ID, TARGET, shipments
 
 FILLED = """med AS (SELECT quantile_cont(rh_max,0.5) AS rh, quantile_cont(temp_recovery_rate,0.5) AS tr FROM shipments),
@@ -46,7 +46,7 @@ VIEWS = (FILLED, FEATURES, SCORED)
 
 
 def raw_engineered(spark, sf, scaler=False):
-    base = shipments(spark, sf)
+    base = staged_shipments(spark, sf)
     return features.engineer(base, features.fit_excursion(base) if scaler else NO_SCALER)
 
 
@@ -103,7 +103,7 @@ def tune_eval_split(spark, sf):
   avg(sensor_gap_hours) AS gm, stddev_samp(sensor_gap_hours) AS gs FROM (SELECT unnest([0,1,2,3,4]) AS k) a JOIN folded b ON b.fold<>a.k GROUP BY a.k) s
   ON f.fold=s.fold""", FOLD_SQL.format(src="shipments")))
 def fe_fold_zscore(spark, sf):
-    base = shipments(spark, sf).select(ID, TARGET, "temp_max_c", "temp_min_c", "sensor_gap_hours")
+    base = staged_shipments(spark, sf).select(ID, TARGET, "temp_max_c", "temp_min_c", "sensor_gap_hours")
     return features.fold_excursion(folds.stratified_folds(base)).select(ID, "fold", snapped("excursion_intensity").alias("excursion_intensity"))
 
 
@@ -113,7 +113,7 @@ SCALED = ["transit_days", "temp_mean_c", "temp_std_c", "rh_mean", "vibration_ind
 @query("standardize", over("SELECT shipment_id, " + ", ".join(
     snap(f"({c}-(SELECT avg({c}) FROM shipments))/(SELECT stddev_pop({c}) FROM shipments)") + f" AS {c}" for c in SCALED) + " FROM shipments"))
 def standardize(spark, sf):
-    base = shipments(spark, sf).select(ID, *SCALED)
+    base = staged_shipments(spark, sf).select(ID, *SCALED)
     out = features.standardize(base, features.fit_standard(base, SCALED))
     return out.select(ID, *[snapped(c).alias(c) for c in SCALED])
 
@@ -168,15 +168,15 @@ CLASS_MED = """cm AS (SELECT silent_failure AS y, quantile_cont(rh_max,0.5) AS r
     "SELECT shipment_id, coalesce(rh_max, rh) AS rh_max, coalesce(temp_recovery_rate, tr) AS temp_recovery_rate FROM shipments JOIN cm ON y=silent_failure",
     CLASS_MED))
 def impute_class_median(spark, sf):
-    base = shipments(spark, sf)
-    medians = impute.fit_class_medians(base, rows=order_count(spark, sf))
+    base = staged_shipments(spark, sf)
+    medians = impute.fit_class_medians(base, staged=True)
     return impute.fill_class_medians(base, medians).select(ID, *impute.IMPUTED)
 
 
 @query("impute_global_median", over("SELECT shipment_id, rh_max, temp_recovery_rate FROM filled", FILLED))
 def impute_global_median(spark, sf):
-    base = shipments(spark, sf)
-    return impute.fill_medians(base, impute.fit_medians(base, rows=order_count(spark, sf))).select(ID, *impute.IMPUTED)
+    base = staged_shipments(spark, sf)
+    return impute.fill_medians(base, impute.fit_medians(base, staged=True)).select(ID, *impute.IMPUTED)
 
 
 FENCED = [c for c in ORDERED if c not in ("shipment_id", "silent_failure", *features.CATEGORICAL)]
@@ -187,8 +187,8 @@ FENCES = "fences AS (" + " UNION ALL ".join(
 
 @query("outlier_fences", over(f"SELECT feature, {snap('lo')} AS lower_fence, {snap('hi')} AS upper_fence FROM fences", FENCES))
 def outlier_fences(spark, sf):
-    base = shipments(spark, sf)
-    return outliers.fence_table(base, outliers.fit_fences(base, rows=order_count(spark, sf))).select("feature", "lower_fence", "upper_fence")
+    base = staged_shipments(spark, sf)
+    return outliers.fence_table(base, outliers.fit_fences(base, staged=True)).select("feature", "lower_fence", "upper_fence")
 
 
 @query("outlier_report", over(" UNION ALL ".join(
@@ -196,16 +196,16 @@ def outlier_fences(spark, sf):
     f"{snap(f'count(*) FILTER ({c}<lo OR {c}>hi)*cast(100 AS double)/count(*)')} AS outlier_pct FROM shipments, (SELECT * FROM fences WHERE feature='{c}')"
     for c in FENCED), FENCES))
 def outlier_report(spark, sf):
-    base = shipments(spark, sf)
-    return outliers.fence_table(base, outliers.fit_fences(base, rows=order_count(spark, sf)))
+    base = staged_shipments(spark, sf)
+    return outliers.fence_table(base, outliers.fit_fences(base, staged=True))
 
 
 @query("winsorize", over("SELECT shipment_id, " + ", ".join(
     snap(f"CASE WHEN {c} IS NOT NULL THEN least(greatest({c},(SELECT lo FROM fences WHERE feature='{c}')),(SELECT hi FROM fences WHERE feature='{c}')) END") + f" AS {c}"
     for c in FENCED) + " FROM shipments", FENCES))
 def winsorize(spark, sf):
-    base = shipments(spark, sf)
-    out = outliers.winsorize(base, outliers.fit_fences(base, rows=order_count(spark, sf)))
+    base = staged_shipments(spark, sf)
+    out = outliers.winsorize(base, outliers.fit_fences(base, staged=True))
     return out.select(ID, *[snapped(c).alias(c) for c in FENCED])
 
 
@@ -267,6 +267,28 @@ def threshold_youden(spark, sf):
     return thresholds.pick_youden(scored(spark, sf))
 
 
+RAW_SCORE = """raw_h AS (SELECT vibration_index/(vibration_index+cast(7 AS double)) AS s, count(*) FILTER (silent_failure=1) AS pos,
+  count(*) FILTER (silent_failure=0) AS neg FROM shipments GROUP BY 1),
+raw_c AS (SELECT *, sum(pos) OVER (ORDER BY s DESC) AS tp, sum(neg) OVER (ORDER BY s DESC) AS fp, sum(pos) OVER () AS ps, sum(neg) OVER () AS ns FROM raw_h)"""
+
+
+def _raw_scores(spark, sf):
+    """A score with all its digits, as a trained model gives it."""
+    return shipments(spark, sf).select(TARGET, (F.col("vibration_index") / (F.col("vibration_index") + 7.0)).alias("p"))
+
+
+@query("roc_auc_raw", over(f"""SELECT {snap('sum(cast(neg AS double)*(cast(tp AS double)-pos/cast(2 AS double)))/(max(cast(ps AS double))*max(cast(ns AS double)))')} AS roc_auc
+  FROM raw_c""", RAW_SCORE))
+def roc_auc_raw(spark, sf):
+    return metrics.roc_auc(_raw_scores(spark, sf))
+
+
+@query("youden_raw", over(f"""SELECT s AS theta, {snap('cast(tp AS double)/ps')} AS tpr, {snap('cast(fp AS double)/ns')} AS fpr
+  FROM raw_c ORDER BY cast(tp AS double)*ns-cast(fp AS double)*ps DESC, s DESC LIMIT 1""", RAW_SCORE))
+def youden_raw(spark, sf):
+    return thresholds.pick_youden(_raw_scores(spark, sf))
+
+
 def point_sql(prefix=""):
     tn, fp, fn, tp = [f"cast({prefix}{k} AS double)" for k in ("tn", "fp", "fn", "tp")]
     div = lambda a, b: f"coalesce(({a})/nullif({b},0),0)"

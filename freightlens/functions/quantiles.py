@@ -6,33 +6,29 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-SMALL_ROWS = 2_000_000   # up to this many rows the built-in exact percentile state is known to fit
-MAX_HELD = 200_000       # most values of one bracket ever gathered in a task
-ACCURACY = 10_000        # sketch accuracy: rank error at most rows / ACCURACY
+from freightlens.session import stage
+
+HELD = 2_000_000    # most values that one task gathers, over all columns and probabilities together
+ACCURACY = 10_000   # sketch accuracy: rank error at most rows / ACCURACY
 
 
 def exact_quantiles(
-    df: DataFrame, columns: dict[str, Column], probs: list[float], rows: int | None = None,
-    small_rows: int = SMALL_ROWS, max_held: int = MAX_HELD,
+    df: DataFrame, columns: dict[str, Column], probs: list[float], held: int = HELD, staged: bool = False,
 ) -> dict[str, list[float | None]]:
     """{name: [value per prob]}; missing cells are skipped, an empty column gives None.
 
-    `percentile` keeps a map of all distinct values on one reducer, so it only runs when the row
-    count is known to be small. Larger inputs are bracketed by mergeable sketches: each pass
-    narrows every (column, prob) to the few values around its rank and counts what lies below,
-    until the bracket is small enough to be read off exactly.
+    `percentile` would keep a map of all distinct values on one reducer. Here every (column, prob) starts
+    with the whole column as its bracket; mergeable sketches narrow brackets to the few values around
+    their ranks, counting what lies below, until all that is left fits one budget and is read off
+    exactly. The values are written once unless `df` is `staged` already.
     """
     names = list(columns)
     values = df.select(*[columns[n].cast("double").alias(n) for n in names])
-    if rows is None:
-        rows = values.count()
-    if rows <= small_rows:
-        got = values.agg(*[F.percentile(n, F.array(*map(F.lit, probs))).alias(n) for n in names]).first()
-        return {n: list(got[n]) if got[n] is not None else [None] * len(probs) for n in names}
-    return _bracketed(values, names, probs, max_held)
+    return _bracketed(values if staged else stage(values, "quantiles"), names, probs, held)
 
 
-def _bracketed(values: DataFrame, names: list[str], probs: list[float], max_held: int):
+def _bracketed(values: DataFrame, names: list[str], probs: list[float], held: int):
+    max_held = max(held // max(len(names) * len(probs), 1), 1)
     first = values.agg(
         *[F.count(n).alias(f"n_{n}") for n in names],
         *[F.min(n).alias(f"lo_{n}") for n in names],
@@ -75,7 +71,7 @@ def _bracketed(values: DataFrame, names: list[str], probs: list[float], max_held
                 moved = True
         if not moved:
             _halve(values, wide)
-    held = [
+    gathered = [
         F.sort_array(F.collect_list(F.when(_inside(t), F.col(t["name"])))).alias(f"v{j}")
         if t["lo"] < t["hi"] else F.array(F.lit(t["lo"])).alias(f"v{j}")
         for j, t in enumerate(targets)
@@ -89,7 +85,7 @@ def _bracketed(values: DataFrame, names: list[str], probs: list[float], max_held
     ]
     out: dict[str, list[float | None]] = {n: [None] * len(probs) for n in names}
     if targets:
-        got = values.agg(*held).select(*read).first()
+        got = values.agg(*gathered).select(*read).first()
         for j, t in enumerate(targets):
             a, b = got[f"v{j}"]
             frac = t["h"] - t["r0"]

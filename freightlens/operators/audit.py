@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
+from freightlens.session import stage
 from freightlens.sources.shipments import ID
 
 GENESIS = "0" * 64
@@ -14,11 +17,12 @@ def row_digest(columns: list[str]) -> Column:
 
 
 def table_fingerprint(df: DataFrame) -> DataFrame:
-    """Order-insensitive digest of values and column names: the sum of 60 bits of each row digest."""
+    """Order-insensitive digest of values and column names: all 256 bits of the row digests, added up in eight parts."""
     columns = sorted(df.columns)
-    part = F.conv(F.substring(row_digest(columns), 1, 15), 16, 10).cast("decimal(20,0)")
-    return df.agg(F.count("*").alias("n_rows"), F.coalesce(F.sum(part), F.lit(0)).cast("decimal(38,0)").alias("content")).select(
-        "n_rows", F.sha2(F.concat_ws("|", F.col("content").cast("string"), F.lit(",".join(columns))), 256).alias("fingerprint")
+    rows = df.select(row_digest(columns).alias("d"))
+    parts = [F.coalesce(F.sum(F.conv(F.substring("d", 1 + 8 * k, 8), 16, 10).cast("bigint").cast("decimal(38,0)")), F.lit(0)).cast("string") for k in range(8)]
+    return rows.agg(F.count("*").alias("n_rows"), F.concat_ws("|", *parts).alias("content")).select(
+        "n_rows", F.sha2(F.concat_ws("|", F.col("content"), F.lit(",".join(columns))), 256).alias("fingerprint")
     )
 
 
@@ -47,7 +51,23 @@ def verify_chain(df: DataFrame, name: str = "chain") -> DataFrame:
     return df.select(ID, intact.alias("intact"))
 
 
-def batch_digest(df: DataFrame, head: str = "chain_head") -> DataFrame:
-    """One digest over all chain heads of a batch; sums commute, so no global serial pass is needed."""
-    part = F.conv(F.substring(head, 1, 15), 16, 10).cast("decimal(20,0)")
-    return df.agg(F.count("*").alias("n_chains"), F.sha2(F.coalesce(F.sum(part), F.lit(0)).cast("decimal(38,0)").cast("string"), 256).alias("digest"))
+LEAF_HEADS = 1_000
+
+
+def batch_digest(df: DataFrame, head: str = "chain_head", previous: str = GENESIS) -> DataFrame:
+    """(n_chains, digest): a Merkle tree over the sorted chain heads of a batch, its root chained to the digest of the batch before.
+
+    Heads are hashes, so their leading hexadecimal digits deal them evenly; as many digits are used as keep a leaf near
+    `LEAF_HEADS` heads, and each level above joins 16 children. Equal heads are counted first, so no leaf grows with copies.
+    """
+    counted = stage(df.groupBy(F.col(head).alias("head")).agg(F.count("*").alias("n")), "heads")
+    size = counted.agg(F.count("*").alias("heads"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+    digits = max(math.ceil(math.log(max(size["heads"] / LEAF_HEADS, 1), 16)), 1)
+    level = counted.select(F.substring("head", 1, digits).alias("at"), F.concat_ws(":", "head", "n").alias("part"))
+    while digits >= 0:
+        joined = F.sha2(F.array_join(F.sort_array(F.collect_list(F.struct("part"))).part, "|"), 256)
+        digits -= 1
+        level = level.groupBy("at").agg(joined.alias("digest")).select(
+            F.substring("at", 1, max(digits, 0)).alias("at"), F.concat_ws("=", "at", "digest").alias("part"))
+    root = level.agg(F.coalesce(F.max("part"), F.lit("")).alias("root"))
+    return root.select(F.lit(size["n"]).cast("bigint").alias("n_chains"), F.sha2(F.concat(F.lit(previous), F.col("root")), 256).alias("digest"))

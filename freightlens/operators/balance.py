@@ -93,11 +93,12 @@ def adasyn(df: DataFrame, dims: list[str], ratio: float = 0.5, k: int = 5, seed:
     if need <= 0 or pos < 2:
         return smote(df, dims, ratio, k, seed, label, plan)
     around = knn_join(minority, df.withColumn("_y", F.col(label)), k, dims, ID, ID, carry=["_y"], exclude_self=True, plan=plan)
-    hardness = stage(around.groupBy("query_id").agg((1.0 - F.avg("_y")).alias("r")), "hardness")
-    total = hardness.agg(F.sum("r")).first()[0] or 0.0
+    # whole numbers of negative neighbours out of k, so that no order of summing changes a copy count
+    hardness = stage(around.groupBy("query_id").agg(F.count_if(F.col("_y") == 0).alias("r")), "hardness")
+    total = hardness.agg(F.sum("r")).first()[0] or 0
     if total == 0:
         return smote(df, dims, ratio, k, seed, label, plan)
-    seeds = hardness.select(F.col("query_id").alias(ID), F.rint(F.col("r") / total * need).cast("int").alias("_copies"))
+    seeds = hardness.select(F.col("query_id").alias(ID), F.rint(F.col("r") * F.lit(need) / F.lit(total)).cast("int").alias("_copies"))
     pairs = stage(knn_join(minority, minority, k, dims, ID, ID, exclude_self=True, plan=plan), "pairs")
     return _append(df, _interpolate(seeds, pairs, minority, dims, seed, label), dims, label)
 
@@ -156,5 +157,5 @@ def ks_two_sample(df: DataFrame, side: Column, columns: list[str]) -> DataFrame:
 
 
 def quality_gate(balanced: DataFrame, columns: list[str], label: str = TARGET) -> DataFrame:
-    """Distribution check of synthetic against real positives on the first five columns."""
-    return ks_two_sample(balanced.where(F.col(label) == 1), F.col("is_synthetic"), columns[:5])
+    """Distribution check of synthetic against real positives on every column."""
+    return ks_two_sample(balanced.where(F.col(label) == 1), F.col("is_synthetic"), columns)

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from freightlens.functions.scalars import ratio_or_zero, snap, unpivot_cells
 from freightlens.sources.shipments import ID, TARGET
 
+# The groups of raw columns, the engineered columns, and the feature sets built from them.
 RAW_GROUPS = {
     "transit": ["transit_days", "door_opens", "leg_count"],
     "temperature": ["temp_mean_c", "temp_max_c", "temp_min_c", "temp_std_c", "temp_recovery_rate"],
@@ -150,22 +151,27 @@ def fold_excursion(df: DataFrame, fold: str = "fold", range_weight: float = 0.4,
     rows are read once whatever the number of folds.
     """
     span, gap = F.col("temp_max_c") - F.col("temp_min_c"), F.col("sensor_gap_hours")
-    own = df.groupBy(fold).agg(
-        F.count(span).alias("rn"), F.sum(span).alias("rs"), F.sum(span * span).alias("rq"),
-        F.count(gap).alias("gn"), F.sum(gap).alias("gs"), F.sum(gap * gap).alias("gq"),
-    )
-    sums = ["rn", "rs", "rq", "gn", "gs", "gq"]
-    folds = own.agg(F.collect_list(F.struct(fold, *sums)).alias("all"))  # one struct per fold
-    total = lambda s: F.aggregate("all", F.lit(0.0), lambda a, x: a + x[s].cast("double"))
-    train = folds.select(*[total(s).alias(f"t_{s}") for s in sums], F.inline("all")).select(
-        fold, *[(F.col(f"t_{s}") - F.col(s)).cast("double").alias(s) for s in sums]
-    )
+    def moments(x: Column) -> Column:
+        n = F.count(x).cast("double")
+        return F.struct(n.alias("n"), F.coalesce(F.avg(x), F.lit(0.0)).alias("mean"), F.coalesce(F.var_pop(x) * n, F.lit(0.0)).alias("m2"))
+
+    own = df.groupBy(fold).agg(moments(span).alias("r"), moments(gap).alias("g"))
+    folds = own.agg(F.sort_array(F.collect_list(F.struct(fold, "r", "g"))).alias("all"))  # one struct per fold
+
+    def others(name: str) -> Column:
+        """Count, mean and squared deviations of the other folds together, merged without large differences."""
+        def merge(a: Column, x: Column) -> Column:
+            b, n = x[name], a["n"] + x[name]["n"]
+            away, share = b["mean"] - a["mean"], F.coalesce(F.try_divide(b["n"], n), F.lit(0.0))
+            return F.struct(n.alias("n"), (a["mean"] + away * share).alias("mean"), (a["m2"] + b["m2"] + away * away * a["n"] * share).alias("m2"))
+
+        zero = F.struct(*[F.lit(0.0).alias(k) for k in ("n", "mean", "m2")])
+        return F.aggregate(F.filter("all", lambda x: x[fold] != F.col(fold)), zero, merge)
+
     c = F.col
-    var = lambda n, s, q: (c(n) * c(q) - c(s) * c(s)) / (c(n) * (c(n) - 1.0))
-    stats = train.select(
-        fold, (c("rs") / c("rn")).alias("rm"), F.sqrt(var("rn", "rs", "rq")).alias("rd"),
-        (c("gs") / c("gn")).alias("gm"), F.sqrt(var("gn", "gs", "gq")).alias("gd"),
-    )
+    spread = lambda x: F.sqrt(F.try_divide(c(x)["m2"], c(x)["n"] - 1.0))
+    stats = folds.select("all", F.explode(F.col(f"all.{fold}")).alias(fold)).select(fold, others("r").alias("r"), others("g").alias("g")).select(
+        fold, c("r.mean").alias("rm"), spread("r").alias("rd"), c("g.mean").alias("gm"), spread("g").alias("gd"))
     z = lambda x, m, d: (x - c(m)) / F.when(c(d) == 0, F.lit(1.0)).otherwise(c(d))
     joined = df.join(F.broadcast(stats), fold)
     value = F.lit(range_weight) * z(c("temp_max_c") - c("temp_min_c"), "rm", "rd") + F.lit(gap_weight) * z(

@@ -8,16 +8,17 @@ from freightlens.functions.quantiles import exact_quantiles
 from freightlens.sources.shipments import TARGET
 
 IMPUTED = ["rh_max", "temp_recovery_rate"]
+# The related columns that stand in for a missing one.
 FALLBACK_FEATURES = {
     "rh_max": ["rh_mean", "rh_std", "temp_mean_c"],
     "temp_recovery_rate": ["temp_mean_c", "temp_std_c", "transit_days"],
 }
 
 
-def fit_class_medians(df: DataFrame, columns=IMPUTED, label: str = TARGET, rows: int | None = None) -> dict[str, dict[int, float]]:
+def fit_class_medians(df: DataFrame, columns=IMPUTED, label: str = TARGET, staged: bool = False) -> dict[str, dict[int, float]]:
     """{column: {class: median}} for the two classes in one pass."""
     per_class = {f"{c}__{k}": F.when(F.col(label) == k, F.col(c)) for c in columns for k in (0, 1)}
-    got = exact_quantiles(df, per_class, [0.5], rows)
+    got = exact_quantiles(df, per_class, [0.5], staged=staged)
     return {c: {k: got[f"{c}__{k}"][0] for k in (0, 1)} for c in columns}
 
 
@@ -30,8 +31,8 @@ def fill_class_medians(df: DataFrame, medians: dict[str, dict[int, float]], labe
     })
 
 
-def fit_medians(df: DataFrame, columns=IMPUTED, rows: int | None = None) -> dict[str, float]:
-    got = exact_quantiles(df, {c: F.col(c) for c in columns}, [0.5], rows)
+def fit_medians(df: DataFrame, columns=IMPUTED, staged: bool = False) -> dict[str, float]:
+    got = exact_quantiles(df, {c: F.col(c) for c in columns}, [0.5], staged=staged)
     return {c: v[0] for c, v in got.items()}
 
 

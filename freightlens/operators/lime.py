@@ -2,8 +2,8 @@
 
 Each explained row gets `samples` perturbed copies. A copy keeps or redraws the quartile of each
 continuous feature (or the level of a categorical one) from training frequencies; draws are
-hashes of (row, copy, feature). The copies are scored like ordinary rows, and the weighted ridge
-fit of each row runs on its own bounded group.
+hashes of (row, copy, feature). The copies are scored like ordinary rows and summed up per row where
+they were made; the weighted ridge fit of a row needs those sums alone.
 """
 
 from __future__ import annotations
@@ -31,9 +31,9 @@ class Bins:
         return {**self.continuous, **self.categorical}
 
 
-def fit_bins(train: DataFrame, continuous: list[str], categorical: list[str] = (), rows: int | None = None) -> Bins:
+def fit_bins(train: DataFrame, continuous: list[str], categorical: list[str] = (), staged: bool = False) -> Bins:
     """Quartile bins with their training frequencies, and level frequencies (codes, a few per feature)."""
-    cuts = exact_quantiles(train, {c: F.col(c) for c in continuous}, [0.0, 0.25, 0.5, 0.75, 1.0], rows)
+    cuts = exact_quantiles(train, {c: F.col(c) for c in continuous}, [0.0, 0.25, 0.5, 0.75, 1.0], staged=staged)
     made = {}
     for c, q in cuts.items():
         edges = sorted(set(q))
@@ -65,9 +65,12 @@ def _bin_of(value: Column, bins) -> Column:
 def perturb(rows: DataFrame, bins: Bins, samples: int, seed: int = 42) -> DataFrame:
     """(ID, _s, features..., _z): copy 0 is the row itself; `_z` marks which features stayed in their bin."""
     copies = rows.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
+    # draws come from a one-element generator, so that each is hashed once however often it is read
+    draws = [hash01(F.col(ID), F.col("_s"), F.lit(j), F.lit(seed + k)) for j in range(len(bins.all())) for k in (0, 1)]
+    copies = copies.select("*", F.explode(F.array(F.array(*draws))).alias("_draws"))
     values, same = {}, []
     for j, (c, parts) in enumerate(bins.all().items()):
-        u, v = hash01(F.col(ID), F.col("_s"), F.lit(j), F.lit(seed)), hash01(F.col(ID), F.col("_s"), F.lit(j), F.lit(seed + 1))
+        u, v = F.get("_draws", F.lit(2 * j)), F.get("_draws", F.lit(2 * j + 1))
         shares = np.cumsum([p[2] for p in parts])
         picked = F.lit(len(parts) - 1)
         for i in range(len(parts) - 2, -1, -1):
@@ -86,32 +89,45 @@ def explain_rows(rows: DataFrame, bins: Bins, predict: Callable[[DataFrame], Dat
     `predict` maps a frame of features to the same frame with a probability column `p`.
     """
     names = list(bins.all())
-    scored = predict(perturb(rows.select(ID, *names), bins, samples, seed)).select(ID, "_s", "_z", "p")
-    width = 0.75 * np.sqrt(len(names))
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_s")
-        z, y = np.stack(pdf["_z"].to_numpy()), pdf["p"].to_numpy()
-        w = np.sqrt(np.exp(-((z - 1.0) ** 2).sum(axis=1) / width**2))
-        fit = lambda cols: _ridge(z[:, cols], y, w, ridge)
-        _, coef = fit(np.arange(len(names)))
-        kept = np.argsort(-np.abs(coef), kind="stable")[:top]
-        intercept, coef = fit(kept)
-        order = np.argsort(-np.abs(coef), kind="stable")
-        return pd.DataFrame({ID: [pdf[ID].iloc[0]], "intercept": [intercept], "local_prediction": [intercept + coef.sum()],
-                             "feature": [[names[kept[i]] for i in order]], "weight": [[float(coef[i]) for i in order]]})
-
-    solved = scored.groupBy(ID).applyInPandas(
-        solve, f"{ID} string, intercept double, local_prediction double, feature array<string>, weight array<double>")
+    size, width = len(names), 0.75 * np.sqrt(len(names))
+    kept = sum((F.shiftleft(F.get("_z", F.lit(j)).cast("long"), j) for j in range(1, size)), F.get("_z", F.lit(0)).cast("long"))
+    spread = rows.select(ID, *names).repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), ID)  # few rows become many
+    scored = predict(perturb(spread, bins, samples, seed)).select(ID, kept.alias("kept"), "p")
+
+    def add_up(batches):
+        """Weighted sums of products of [1, features kept, prediction], for each row's copies in a batch."""
+        for pdf in batches:
+            z = (pdf["kept"].to_numpy()[:, None] >> np.arange(size) & 1).astype(float)
+            x = np.column_stack([np.ones(len(z)), z, pdf["p"].to_numpy(dtype=float)])
+            x *= np.exp(-(size - z.sum(axis=1)) / width**2)[:, None] ** 0.25  # the square root of the weight, on both sides
+            codes, ids = pd.factorize(pdf[ID])
+            order = np.argsort(codes, kind="stable")
+            parts = np.split(x[order], np.flatnonzero(np.diff(codes[order])) + 1) if len(ids) else []
+            yield pd.DataFrame({ID: ids, "sums": [(part.T @ part).ravel() for part in parts]})
+
+    def solve(batches):
+        for pdf in batches:
+            out = []
+            for key, parts in zip(pdf[ID], pdf["parts"]):
+                m = np.sum([np.asarray(p) for p in parts], axis=0).reshape(size + 2, size + 2)
+                mean, centre = m[0, 1:-1] / m[0, 0], m[0, -1] / m[0, 0]
+                xx, xy = m[1:-1, 1:-1] - m[0, 0] * np.outer(mean, mean), m[1:-1, -1] - m[0, 0] * mean * centre
+                coef = _ridge(xx, xy, np.arange(size), ridge)
+                best = np.argsort(-np.abs(coef), kind="stable")[:top]
+                coef = _ridge(xx, xy, best, ridge)
+                intercept, order = float(centre - mean[best] @ coef), np.argsort(-np.abs(coef), kind="stable")
+                out.append((key, intercept, intercept + float(coef.sum()), [names[best[i]] for i in order], [float(coef[i]) for i in order]))
+            yield pd.DataFrame(out, columns=[ID, "intercept", "local_prediction", "feature", "weight"])
+
+    # copies stand together, so a row has a few partial sums: one for each batch that its copies reach into
+    partial = scored.mapInPandas(add_up, f"{ID} string, sums array<double>").groupBy(ID).agg(F.collect_list("sums").alias("parts"))
+    solved = partial.mapInPandas(solve, f"{ID} string, intercept double, local_prediction double, feature array<string>, weight array<double>")
     both = F.arrays_zip("feature", "weight")
     return solved.select(ID, "intercept", "local_prediction", F.transform(both, lambda c: F.struct(
         c["feature"].alias("feature"), c["weight"].alias("weight"),
         F.when(c["weight"] > 0, "increases_risk").otherwise("decreases_risk").alias("direction"))).alias("contributions"))
 
 
-def _ridge(x: np.ndarray, y: np.ndarray, w: np.ndarray, penalty: float) -> tuple[float, np.ndarray]:
-    total = w.sum()
-    mx, my = w @ x / total, w @ y / total
-    xc = x - mx
-    coef = np.linalg.solve((xc * w[:, None]).T @ xc + penalty * np.eye(x.shape[1]), (xc * w[:, None]).T @ (y - my))
-    return float(my - mx @ coef), coef
+def _ridge(xx: np.ndarray, xy: np.ndarray, columns: np.ndarray, penalty: float) -> np.ndarray:
+    """Coefficients of the chosen columns from centred weighted sums."""
+    return np.linalg.solve(xx[np.ix_(columns, columns)] + penalty * np.eye(len(columns)), xy[columns])

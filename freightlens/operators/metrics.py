@@ -7,7 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from freightlens.functions.scalars import MICRO, micros, ratio, ratio_or_zero, snap, unpivot_structs
-from freightlens.operators.thresholds import cumulative, score_histogram
+from freightlens.functions.ranks import range_buckets, running_totals
+from freightlens.operators.thresholds import cumulative, exact_histogram
 from freightlens.sources.shipments import TARGET
 
 EPS = float(np.finfo(np.float64).eps)
@@ -66,11 +67,11 @@ def rank_metrics(hist: DataFrame) -> DataFrame:
 
 
 def roc_auc(scored: DataFrame, score: str = "p", label: str = TARGET) -> DataFrame:
-    return cumulative(score_histogram(scored, score, label)).agg(snap(roc_auc_column()).alias("roc_auc"))
+    return cumulative(exact_histogram(scored, score, label)).agg(snap(roc_auc_column()).alias("roc_auc"))
 
 
 def average_precision(scored: DataFrame, score: str = "p", label: str = TARGET) -> DataFrame:
-    return cumulative(score_histogram(scored, score, label)).agg(snap(average_precision_column()).alias("pr_auc"))
+    return cumulative(exact_histogram(scored, score, label)).agg(snap(average_precision_column()).alias("pr_auc"))
 
 
 def loss_aggregates(score: str = "p", label: str = TARGET) -> list[Column]:
@@ -91,25 +92,23 @@ def log_loss_brier(scored: DataFrame, score: str = "p", label: str = TARGET) ->
 def all_metrics(scored: DataFrame, threshold: float, score: str = "p", label: str = TARGET) -> DataFrame:
     """All nine metrics and the confusion counts from one pass.
 
-    The pass keeps one row per distinct (score, label) with its losses summed, so losses,
+    The pass keeps one row per distinct score, unrounded, with its losses summed, so losses,
     confusion counts and the two ranking areas all come from the same histogram.
     """
     p, y = F.col(score), F.col(label)
     safe = F.least(F.greatest(p, F.lit(EPS)), F.lit(1.0 - EPS))
     loss = -F.when(y == 1, F.ln(safe)).otherwise(F.ln(1.0 - safe))
     hist = (
-        scored.where(p.isNotNull() & y.isNotNull()).groupBy(micros(score).alias("m"))
+        scored.where(p.isNotNull() & y.isNotNull()).groupBy(p.cast("double").alias("m"))
         .agg(F.count_if(y == 1).alias("pos"), F.count_if(y == 0).alias("neg"), F.sum(loss).alias("loss"),
              F.sum((p - y) * (p - y)).alias("square"))
-        .withColumn("_bucket", F.expr("m div 1000"))
     )
-    from freightlens.functions.ranks import running_totals
-
+    hist = range_buckets(hist, ["m"])
     c = F.col
     curve = running_totals(hist, [], "m", ["pos", "neg"], descending=True).withColumns({
         "tp": c("pos_before") + c("pos"), "fp": c("neg_before") + c("neg"), "P": c("pos_total"), "N": c("neg_total"),
     })
-    hit = c("m") >= F.lit(int(threshold * MICRO + 0.5))
+    hit = micros("m") >= F.lit(int(threshold * MICRO + 0.5))
     wide = curve.agg(
         F.sum(F.when(hit, 0).otherwise(c("neg"))).alias("tn"), F.sum(F.when(hit, c("neg")).otherwise(0)).alias("fp"),
         F.sum(F.when(hit, 0).otherwise(c("pos"))).alias("fn"), F.sum(F.when(hit, c("pos")).otherwise(0)).alias("tp"),
@@ -124,6 +123,7 @@ def all_metrics(scored: DataFrame, threshold: float, score: str = "p", label: st
     )
 
 
+# The metrics of an experiment.
 METRIC_NAMES = ["f1", "roc_auc", "recall", "precision", "specificity", "mcc", "pr_auc", "log_loss", "brier"]
 
 
@@ -179,8 +179,8 @@ def target_gate(metrics: DataFrame, targets: list[tuple[str, float]] = TARGETS)
 def roc_points(scored: DataFrame, score: str = "p", label: str = TARGET) -> DataFrame:
     """(threshold, fpr, tpr) at every distinct score."""
     c = F.col
-    return cumulative(score_histogram(scored, score, label)).select(
-        (c("m") / F.lit(float(MICRO))).alias("threshold"),
+    return cumulative(exact_histogram(scored, score, label)).select(
+        c("m").alias("threshold"),
         snap(ratio(c("fp"), c("N"))).alias("fpr"), snap(ratio(c("tp"), c("P"))).alias("tpr"),
     )
 
@@ -188,8 +188,8 @@ def roc_points(scored: DataFrame, score: str = "p", label: str = TARGET) -> Data
 def pr_points(scored: DataFrame, score: str = "p", label: str = TARGET) -> DataFrame:
     """(threshold, precision, recall) at every distinct score."""
     c = F.col
-    return cumulative(score_histogram(scored, score, label)).select(
-        (c("m") / F.lit(float(MICRO))).alias("threshold"),
+    return cumulative(exact_histogram(scored, score, label)).select(
+        c("m").alias("threshold"),
         snap(ratio_or_zero(c("tp"), c("tp") + c("fp"))).alias("precision"),
         snap(ratio_or_zero(c("tp"), c("P"))).alias("recall"),
     )

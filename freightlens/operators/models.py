@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
@@ -9,7 +10,7 @@ import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import VectorAssembler, VectorIndexer
+from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, functions as F
@@ -40,17 +41,23 @@ class Settings:
     grid: tuple[float, ...] = (0.001, 0.01, 0.1, 1.0, 10.0)
 
 
+# The default settings of each model. Forest depth is unbounded; 30 is the deepest that the learner grows.
 PRESETS = {
     "gbt_a": Settings(),
     "gbt_b": Settings(depth=5, categorical=True),
     "gbt_c": Settings(subsample=1.0, feature_share="all", encode=True),
-    "random_forest": Settings("forest", 500, 15, subsample=1.0, feature_share="auto"),
+    "random_forest": Settings("forest", 500, 30, subsample=1.0, feature_share="auto"),
     "logistic_reg": Settings("logistic", 1000),
 }
-SEARCH_SPACE = {
-    "depth": (3, 10), "rate": (0.01, 0.3), "rounds": (100, 1000), "subsample": (0.6, 1.0),
-    "feature_share": (0.6, 1.0), "min_rows": (1, 50), "min_gain": (0.0, 5.0),
+# Ranges of the search, one per preset; learning rates are drawn on a logarithmic scale. Leaf counts of
+# 15 to 63 are depths of 4 to 6 here.
+SEARCH_SPACES = {
+    "gbt_a": {"depth": (3, 10), "rate": (0.01, 0.3), "rounds": (100, 1000), "subsample": (0.6, 1.0), "feature_share": (0.6, 1.0),
+              "min_rows": (1, 10), "min_gain": (0.0, 5.0)},
+    "gbt_b": {"depth": (4, 6), "rate": (0.01, 0.3), "rounds": (100, 1000), "subsample": (0.6, 1.0), "feature_share": (0.6, 1.0), "min_rows": (5, 50)},
+    "gbt_c": {"depth": (4, 10), "rate": (0.01, 0.3), "rounds": (100, 1000)},
 }
+TRIALS_AT_ONCE = 4
 
 
 @dataclass
@@ -115,8 +122,9 @@ def _encode_with(df: DataFrame, encoding: dict) -> DataFrame:
     return df
 
 
-def fit(train: DataFrame, inputs: list[str], settings: Settings, label: str = TARGET) -> Fitted:
-    """Train on rows with ID, inputs, label and, if present, `weight`."""
+def fit(train: DataFrame, inputs: list[str], settings: Settings, label: str = TARGET, staged: bool = False) -> Fitted:
+    """Train on rows with ID, inputs, label and, if present, `weight`; rows that are `staged` and used as they are, are not
+    written again."""
     stats, encoding, used = {}, {}, list(inputs)
     if settings.encode:
         codes = [c for c in features.CATEGORICAL if c in inputs]
@@ -128,13 +136,17 @@ def fit(train: DataFrame, inputs: list[str], settings: Settings, label: str = TA
         train = features.standardize(train, stats)
     if "weight" not in train.columns:
         train = balance.with_class_weight(train, label)
-    rows = stage(train.select(ID, *[F.col(c).cast("double").alias(c) for c in used], F.col(label).cast("double").alias(label), "weight"), "train")
-    steps = [VectorAssembler(inputCols=used, outputCol="_assembled", handleInvalid="keep")]
-    if settings.categorical:
-        steps.append(VectorIndexer(inputCol="_assembled", outputCol="_features", maxCategories=16, handleInvalid="keep"))
-    else:
-        steps[0].setOutputCol("_features")
-    common = dict(featuresCol="_features", labelCol=label, weightCol="weight")
+    rows = train.select(ID, *[F.col(c).cast("double").alias(c) for c in used], F.col(label).cast("double").alias(label), "weight")
+    if not staged or settings.encode or stats:
+        rows = stage(rows, "train")
+    levels = [c for c in features.CATEGORICAL if c in used] if settings.categorical else []
+    steps, common = [], dict(featuresCol="_features", labelCol=label, weightCol="weight")
+    if levels:  # the declared columns, however many levels they have
+        indexer = StringIndexer(inputCols=levels, outputCols=[f"_level_{c}" for c in levels], stringOrderType="alphabetAsc", handleInvalid="keep")
+        steps.append(indexer.fit(rows))
+    steps.append(VectorAssembler(inputCols=[f"_level_{c}" if c in levels else c for c in used], outputCol="_features", handleInvalid="keep"))
+    if settings.kind in ("gbt", "forest"):
+        common["maxBins"] = max([32, *(len(x) + 2 for x in (steps[0].labelsArray if levels else []))])
     if settings.kind == "gbt":
         learner = GBTClassifier(
             maxIter=settings.rounds, maxDepth=settings.depth, stepSize=settings.rate, subsamplingRate=settings.subsample,
@@ -168,11 +180,14 @@ def _logistic_grid(steps, rows: DataFrame, settings: Settings, label: str, commo
     return learner.copy({learner.regParam: grid[best][learner.regParam]})
 
 
-def draw_settings(base: Settings, trial: int, seed: int = 42, space: dict = SEARCH_SPACE) -> Settings:
+def draw_settings(base: Settings, trial: int, seed: int = 42, space: dict = SEARCH_SPACES["gbt_a"]) -> Settings:
     """The trial-th random point of the search space."""
     rng, picked = np.random.default_rng([seed, trial]), {}
     for name, (low, high) in space.items():
-        value = int(rng.integers(low, high + 1)) if isinstance(low, int) else float(rng.uniform(low, high))
+        if name == "rate":
+            value = float(np.exp(rng.uniform(np.log(low), np.log(high))))
+        else:
+            value = int(rng.integers(low, high + 1)) if isinstance(low, int) else float(rng.uniform(low, high))
         picked[name] = str(round(value, 3)) if name == "feature_share" else value
     return replace(base, **picked)
 
@@ -186,13 +201,17 @@ def trial_objective(model: Fitted, tune: DataFrame, label: str = TARGET, recall_
 
 
 def random_search(train: DataFrame, tune: DataFrame, inputs: list[str], base: Settings, n_trials: int = 30, seed: int = 42,
-                  space: dict = SEARCH_SPACE, label: str = TARGET) -> tuple[Settings, list[tuple[int, Settings, float]]]:
-    """Best settings of `n_trials` random points and the log of all trials."""
+                  space: dict = SEARCH_SPACES["gbt_a"], label: str = TARGET) -> tuple[Settings, list[tuple[int, Settings, float]]]:
+    """Best settings of `n_trials` random points and the log of all trials; a few trials run at once on the same staged rows."""
+    train = train if "weight" in train.columns else balance.with_class_weight(train, label)
     train, tune = stage(train, "search-train"), stage(tune, "search-tune")
-    log = []
-    for trial in range(n_trials):
+
+    def attempt(trial: int) -> tuple[int, Settings, float]:
         settings = draw_settings(base, trial, seed, space)
-        log.append((trial, settings, trial_objective(fit(train, inputs, settings, label), tune, label)))
+        return trial, settings, trial_objective(fit(train, inputs, settings, label, staged=True), tune, label)
+
+    with ThreadPoolExecutor(TRIALS_AT_ONCE) as pool:
+        log = list(pool.map(attempt, range(n_trials)))
     return max(log, key=lambda t: t[2])[1], log
 
 

@@ -68,7 +68,7 @@ def _sample_kurtosis(c: Column, n: Column) -> Column:
     return F.when(n > 3, ((n + 1.0) * g + 6.0) * (n - 1.0) / ((n - 2.0) * (n - 3.0)))
 
 
-def descriptive(df: DataFrame, columns: list[str] | None = None, rows: int | None = None) -> DataFrame:
+def descriptive(df: DataFrame, columns: list[str] | None = None, staged: bool = False) -> DataFrame:
     """Mean, deviation, quartiles, extremes and bias-corrected shape of each numeric column.
 
     Cells are unpivoted before they are aggregated: one small set of moment states per column
@@ -76,7 +76,7 @@ def descriptive(df: DataFrame, columns: list[str] | None = None, rows: int | Non
     exact-quantile job.
     """
     columns = columns or [n for n, t in df.dtypes if t in ("int", "bigint", "double", "float") and n != ID]
-    quartiles = exact_quantiles(df, {c: F.col(c) for c in columns}, [0.25, 0.5, 0.75], rows)
+    quartiles = exact_quantiles(df, {c: F.col(c) for c in columns}, [0.25, 0.5, 0.75], staged=staged)
     known = F.create_map(*[x for c in columns for x in (F.lit(c), F.array(*[F.lit(q).cast("double") for q in quartiles[c]]))])
     v = F.col("value")
     n = F.count(v).cast("double")
@@ -125,7 +125,7 @@ def failure_rate_by_segment(df: DataFrame, target: str = TARGET) -> DataFrame:
     )
 
 
-def full_report(df: DataFrame, rows: int | None = None) -> DataFrame:
+def full_report(df: DataFrame, staged: bool = False) -> DataFrame:
     """Everything above as (section, item, value) rows, ready for one JSON report."""
     def long(section: str, part: DataFrame, item: str | None) -> DataFrame:
         values = [n for n in part.columns if n != item]
@@ -139,7 +139,7 @@ def full_report(df: DataFrame, rows: int | None = None) -> DataFrame:
     parts = [
         long("shape", shape(df).drop("columns"), None), long("missingness", missingness(df), "column"),
         long("duplicates", duplicates(df), None), long("identifier", identifier(df).drop("column"), None),
-        long("target", target_audit(df), None), long("descriptive", descriptive(df, rows=rows), "column"),
+        long("target", target_audit(df), None), long("descriptive", descriptive(df, staged=staged), "column"),
         long("range_violations", range_violations(df), "check"),
     ]
     out = parts[0]

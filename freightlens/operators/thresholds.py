@@ -1,7 +1,7 @@
 """Decision thresholds from one score histogram.
 
-Scores are compared in whole millionths and thresholds in whole hundredths, so `p >= theta` has
-one meaning everywhere (0.29 belongs to theta 0.29).
+The sweep compares scores in whole millionths and thresholds in whole hundredths, so `p >= theta` has
+one meaning everywhere (0.29 belongs to theta 0.29). What ranks scores uses them unrounded.
 """
 
 from __future__ import annotations
@@ -14,7 +14,6 @@ from freightlens.functions.ranks import range_buckets, running_totals
 from freightlens.functions.scalars import MICRO, micros, ratio_or_zero, snap
 from freightlens.sources.shipments import TARGET
 
-BUCKET_WIDTH = 1_000  # millionths per bucket: at most 1,001 buckets of at most 1,000 scores
 
 
 @dataclass(frozen=True)
@@ -32,19 +31,9 @@ COST_GRID = (5, 50)   # hundredths: 0.05 .. 0.50
 F1_GRID = (5, 94)     # hundredths: 0.05 .. 0.94
 
 
-def score_histogram(scored: DataFrame, score: str = "p", label: str = TARGET) -> DataFrame:
-    """(m, pos, neg, _bucket): rows per distinct score in millionths; at most 1,000,001 rows."""
-    return (
-        scored.where(F.col(score).isNotNull() & F.col(label).isNotNull())
-        .groupBy(micros(score).alias("m"))
-        .agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
-        .withColumn("_bucket", F.expr(f"m div {BUCKET_WIDTH}"))
-    )
-
-
 def exact_histogram(scored: DataFrame, score: str, label: str = TARGET) -> DataFrame:
-    """Like `score_histogram` but keyed by the unrounded score, for scores outside [0, 1] or finer than a millionth."""
-    hist = scored.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(score).alias("m")).agg(
+    """(m, pos, neg, _bucket): rows per distinct unrounded score; what ranks scores reads this."""
+    hist = scored.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(score).cast("double").alias("m")).agg(
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg")
     )
     return range_buckets(hist, ["m"])
@@ -125,7 +114,7 @@ def pick_f1(swept: DataFrame) -> DataFrame:
 
 def pick_youden(scored: DataFrame, score: str = "p", label: str = TARGET) -> DataFrame:
     """Score that maximises tpr - fpr (highest score on ties); infinity when nothing beats zero."""
-    curve = cumulative(score_histogram(scored, score, label))
+    curve = cumulative(exact_histogram(scored, score, label))
     # tpr - fpr = (tp*N - fp*P) / (P*N): the numerator ranks the scores without rounding
     gain = F.col("tp").cast("double") * F.col("N") - F.col("fp").cast("double") * F.col("P")
     top = curve.agg(
@@ -133,7 +122,7 @@ def pick_youden(scored: DataFrame, score: str = "p", label: str = TARGET) -> Dat
     )
     beats = F.col("g") > 0
     return top.select(
-        F.when(beats, F.col("w.m") / F.lit(float(MICRO))).otherwise(F.lit(float("inf"))).alias("theta"),
+        F.when(beats, F.col("w.m")).otherwise(F.lit(float("inf"))).alias("theta"),
         snap(F.when(beats, ratio_or_zero(F.col("w.tp"), F.col("w.P"))).otherwise(0.0)).alias("tpr"),
         snap(F.when(beats, ratio_or_zero(F.col("w.fp"), F.col("w.N"))).otherwise(0.0)).alias("fpr"),
     )

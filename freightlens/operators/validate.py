@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from freightlens.session import stage
 from freightlens.sources.shipments import DOUBLE_COLUMNS, ID, INT_COLUMNS, OPTIONAL_COLUMNS, ORDERED_COLUMNS
 
 # Inclusive bounds per column; product_volume_l must be above zero.
@@ -83,13 +84,15 @@ def error_counts(annotated: DataFrame, kind: str) -> DataFrame:
 def quarantine_summary(annotated: DataFrame, sample: int = 5) -> DataFrame:
     """One row: valid and quarantined counts and the first `sample` rejected ids.
 
-    The sample is read with a per-task top-n, so quarantined rows are not gathered.
+    The rules run once: ids and reasons are written, and counts and a per-task top-n read them, so quarantined rows
+    are not gathered.
     """
-    counts = annotated.agg(
+    narrow = stage(annotated.select(F.col("_raw")[ID].alias("id"), "_errors"), "annotated")
+    counts = narrow.agg(
         F.count_if(F.size("_errors") == 0).alias("n_valid"), F.count_if(F.size("_errors") > 0).alias("n_quarantined")
     )
     first = (
-        quarantined_rows(annotated).select(F.struct(F.col(ID).alias("id"), F.concat_ws(",", "_errors").alias("errors")).alias("r"))
+        narrow.where(F.size("_errors") > 0).select(F.struct("id", F.concat_ws(",", "_errors").alias("errors")).alias("r"))
         .orderBy("r").limit(sample).agg(F.sort_array(F.collect_list("r")).alias("s"))
     )
     merged = counts.unionByName(first, allowMissingColumns=True).agg(

@@ -6,20 +6,21 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from freightlens.operators import decide, impute, linear, thresholds
 from freightlens.operators.features import ExcursionScaler, engineer, fit_excursion
-from freightlens.sources.shipments import shipments, table
+from freightlens.session import stage
+from freightlens.sources.shipments import shipments
 
 NO_SCALER = ExcursionScaler(0.0, 1.0, 0.0, 1.0)
 
 
-def order_count(spark: SparkSession, sf_dir: str) -> int:
-    """Upper bound on the number of shipments, read from file footers."""
-    return table(spark, sf_dir, "orders").count()
+def staged_shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shipment view, evaluated once and written to the shared folder for all that reads it."""
+    return stage(shipments(spark, sf_dir), "shipments")
 
 
 def prepared(spark: SparkSession, sf_dir: str, scaler: bool = False) -> DataFrame:
-    """Shipments with missing cells filled by global medians and all features engineered."""
-    base = shipments(spark, sf_dir)
-    medians = impute.fit_medians(base, rows=order_count(spark, sf_dir))
+    """Shipments with missing cells filled by global medians and all features engineered. The line items are read once."""
+    base = staged_shipments(spark, sf_dir)
+    medians = impute.fit_medians(base, staged=True)
     return engineer(impute.fill_medians(base, medians), fit_excursion(base) if scaler else NO_SCALER)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from freightlens.functions.scalars import no_nan
 
@@ -62,12 +62,12 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def _order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per order: mergeable sums only, so a single shuffle with map-side combine.
+    """One row per order: plain sums, first per (order, day), then per order.
 
-    Two quantities usually need a window or a distinct count per order. Both are rewritten as
-    mergeable aggregates, so an order that owns a large share of all lines is combined before
-    the shuffle:
-    - longest gap between ship dates: from the set of dates, bounded by the calendar;
+    An order that owns a large share of all lines is combined map-side to one row per ship date,
+    a number bounded by the calendar, before rows of an order meet:
+    - longest gap between ship dates: between neighbouring rows of the order, over the same
+      partitioning that the second aggregate uses;
     - distinct suppliers capped at three: a key other than the smallest and the largest exists
       iff sum((x - min) * (max - x)) > 0, which expands into count, sum and sum of squares (kept
       as two 31-bit halves so that no sum can overflow).
@@ -81,7 +81,7 @@ def _order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_shipdate").cast("date").alias("day"),
     )
     c = F.col
-    agg = line.groupBy("l_orderkey").agg(
+    by_day = line.groupBy("l_orderkey", "day").agg(
         F.count("*").alias("n"),
         F.min("s").alias("s_min"), F.max("s").alias("s_max"), F.sum("s").alias("s_sum"),
         F.sum(F.shiftright(c("s") * c("s"), 31)).alias("sq_high"),
@@ -91,19 +91,21 @@ def _order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.max("dc").alias("dmax"), F.min("dc").alias("dmin"),
         F.sum("tx").alias("ts"), F.sum(c("tx") * c("tx")).alias("tss"), F.max("tx").alias("tmax"),
         F.sum(c("q") * c("dc")).alias("vib"),
-        F.sort_array(F.collect_set("day")).alias("days"),
+    )
+    dated = Window.partitionBy("l_orderkey").orderBy("day")
+    by_day = by_day.withColumn("gap", F.datediff("day", F.lag("day").over(dated)))
+    least, most = ["s_min", "dmin"], ["s_max", "dmax", "tmax"]
+    sums = ["n", "s_sum", "sq_high", "sq_low", "qty", "ds", "dss", "ts", "tss", "vib"]
+    agg = by_day.groupBy("l_orderkey").agg(
+        *[F.sum(x).alias(x) for x in sums], *[F.min(x).alias(x) for x in least], *[F.max(x).alias(x) for x in most],
+        F.coalesce(F.max("gap"), F.lit(0)).cast("bigint").alias("max_gap"),
     )
     wide = lambda x: c(x).cast("decimal(19,0)")
     squares = wide("sq_high") * F.lit(1 << 31) + wide("sq_low")
     inner = (wide("s_min") + wide("s_max")) * wide("s_sum") - squares - wide("n") * wide("s_min") * wide("s_max")
-    gaps = F.transform(
-        F.sequence(F.lit(1), F.size("days") - 1),
-        lambda i: F.datediff(F.get(c("days"), i), F.get(c("days"), i - 1)),
+    return agg.withColumn("n_supp", F.when(c("s_min") == c("s_max"), 1).when(inner == 0, 2).otherwise(3)).drop(
+        "s_min", "s_max", "s_sum", "sq_high", "sq_low"
     )
-    return agg.withColumns({
-        "n_supp": F.when(c("s_min") == c("s_max"), 1).when(inner == 0, 2).otherwise(3),
-        "max_gap": F.when(F.size("days") > 1, F.array_max(gaps)).otherwise(0).cast("bigint"),
-    }).drop("s_min", "s_max", "s_sum", "sq_high", "sq_low", "days")
 
 
 def _sample_std(scale: float, n: Column, total: Column, squares: Column) -> Column:

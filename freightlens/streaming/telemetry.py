@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from freightlens.functions.scalars import ratio, snap
 from freightlens.operators import linear
@@ -19,10 +19,6 @@ def watermarked(df: DataFrame, delay: str = LATE) -> DataFrame:
     return df.withWatermark("ts", delay) if df.isStreaming else df
 
 
-def epoch_seconds(c: Column) -> Column:
-    return F.floor(F.unix_micros(c) / 1_000_000)
-
-
 # --- summaries ----------------------------------------------------------------------------------------
 
 def rollup(df: DataFrame, width: str = "6 hours", slide: str | None = None, keys: list[str] = KEYS) -> DataFrame:
@@ -153,9 +149,10 @@ def quarantine_stream(raw: DataFrame, valid_path: str, rejected_path: str, check
     duplicates.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows = annotate(batch)
+        rows = annotate(batch).persist()  # both sinks read one evaluation; a lost block is computed again
         valid_rows(rows).write.mode("overwrite").parquet(f"{valid_path}/batch={batch_id}")
         quarantined_rows(rows).write.mode("overwrite").parquet(f"{rejected_path}/batch={batch_id}")
+        rows.unpersist()
 
     return raw.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

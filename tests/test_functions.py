@@ -26,14 +26,14 @@ def test_bracketed_quantiles_equal_the_sorted_list(spark, shape):
     }[shape]
     df = spark.createDataFrame([(v,) for v in values] + [(None,)], "x double").repartition(5)
     probs = [0.0, 0.01, 0.25, 0.5, 0.95, 1.0]
-    got = exact_quantiles(df, {"x": F.col("x")}, probs, small_rows=10, max_held=50)["x"]
+    got = exact_quantiles(df, {"x": F.col("x")}, probs, held=300)["x"]
     assert got == pytest.approx([linear(values, p) for p in probs], abs=1e-12)
 
 
 def test_quantiles_of_an_empty_column(spark):
     df = spark.createDataFrame([(None,)], "x double")
     assert exact_quantiles(df, {"x": F.col("x")}, [0.5]) == {"x": [None]}
-    assert exact_quantiles(df, {"x": F.col("x")}, [0.5], small_rows=0) == {"x": [None]}
+    assert exact_quantiles(df, {"x": F.col("x")}, [0.5], held=1, staged=True) == {"x": [None]}
 
 
 def test_two_level_ranks_and_totals(spark):

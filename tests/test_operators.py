@@ -124,6 +124,81 @@ def test_local_surrogate_of_a_linear_model(rows):
     assert all({c["feature"] for c in r["contributions"]} & {"temp_range_c", "transit_days"} for r in out)
 
 
+def test_local_surrogate_equals_a_direct_weighted_ridge(spark, rows):
+    scored = linear.score(rows)
+    names = list(linear.DEMO.weights)
+    bins, two = lime.fit_bins(scored, names), scored.orderBy(ID).limit(2).select(ID, *names)
+    copies = linear.score(lime.perturb(two, bins, 300)).select(ID, "_z", "p").collect()
+    got = {r[ID]: r for r in lime.explain_rows(two, bins, linear.score, 300, len(names)).collect()}
+    for key, r in got.items():
+        z, y = (np.array([c[k] for c in copies if c[ID] == key]) for k in ("_z", "p"))
+        w = np.sqrt(np.exp(-((z - 1) ** 2).sum(1) / (0.75**2 * len(names))))
+        mx, my = w @ z / w.sum(), w @ y / w.sum()
+        coef = np.linalg.solve((z - mx).T @ ((z - mx) * w[:, None]) + np.eye(len(names)), ((z - mx) * w[:, None]).T @ (y - my))
+        assert {c["feature"]: c["weight"] for c in r["contributions"]} == pytest.approx(dict(zip(names, coef)), abs=1e-9)
+        assert r["intercept"] == pytest.approx(my - mx @ coef)
+
+
+def test_attributions_of_a_small_tree_equal_all_subsets():
+    """Three features and a leaf per branch: the mean over all orders of features."""
+    from itertools import permutations
+
+    # node: left, right, feature, split, categories, value, cover
+    tree = {0: (1, 2, 0, [0.5], -1, 0.0, 10.0), 1: (3, 4, 1, [0.5], -1, 0.0, 6.0), 2: (5, 6, 2, [0.5], -1, 0.0, 4.0),
+            3: (-1, -1, 0, [], -1, 1.0, 2.0), 4: (-1, -1, 0, [], -1, 5.0, 4.0), 5: (-1, -1, 0, [], -1, -2.0, 1.0), 6: (-1, -1, 0, [], -1, 7.0, 3.0)}
+
+    def expect(x, known, node=0):
+        left, right, f, split, _, value, cover = tree[node]
+        if left < 0:
+            return value
+        if f in known:
+            return expect(x, known, left if x[f] <= split[0] else right)
+        return sum(tree[c][6] / cover * expect(x, known, c) for c in (left, right))
+
+    base, leaves = treeshap.compile_trees([tree], [1.0], 1.0)
+    points = np.array([[a, b, c] for a in (0, 1) for b in (0, 1) for c in (0, 1)], float)
+    got = treeshap._attribute(points, leaves)
+    for x, row in zip(points, got):
+        want = np.zeros(3)
+        for order in permutations(range(3)):
+            for i, f in enumerate(order):
+                want[f] += (expect(x, set(order[: i + 1])) - expect(x, set(order[:i]))) / 6
+        assert row == pytest.approx(want) and base == pytest.approx(expect(points[0], set()))
+
+
+def test_declared_categories_have_any_number_of_levels(rows):
+    wide = rows.withColumn("carrier_id", (F.crc32(F.col(ID).cast("binary")) % 40).cast("int"))
+    fitted = models.fit(wide, features.RAW_FEATURES, models.Settings(rounds=1, depth=2, categorical=True))
+    trees, _, _ = treeshap.read_trees(fitted, wide)
+    levels = fitted.model.stages[0].labelsArray
+    assert len(levels) == len(features.CATEGORICAL) and max(map(len, levels)) == 40
+    assert treeshap.tree_shap(fitted, wide, ID).count() == wide.count()
+    assert trees
+
+
+def test_learning_rates_are_drawn_on_a_logarithmic_scale():
+    rates = [models.draw_settings(models.Settings(), t).rate for t in range(200)]
+    assert 0.3 < np.mean([r < 0.055 for r in rates]) < 0.7 and min(rates) >= 0.01 and max(rates) <= 0.3
+
+
+def test_batch_digest_notices_any_change_and_is_chained(spark):
+    heads = [__import__("hashlib").sha256(str(i).encode()).hexdigest() for i in range(3000)]
+    frame = spark.createDataFrame([(h,) for h in heads], "chain_head string")
+    digest = lambda df, **kw: audit.batch_digest(df, **kw).first()["digest"]
+    whole = digest(frame)
+    assert whole == digest(frame.repartition(7)) and audit.batch_digest(frame).first()["n_chains"] == 3000
+    assert len({whole, digest(frame.where(F.col("chain_head") != heads[5])), digest(frame.unionByName(frame.limit(1))), digest(frame, previous="1" * 64), digest(frame.limit(0))}) == 5
+
+
+def test_chained_imputation_learns_nothing_from_the_test_part(rows):
+    base = rows.withColumn("rh_max", F.when(F.col(ID).cast("int") % 20 != 0, F.col("rh_max"))).select(ID, *features.RAW_FEATURES, TARGET)
+    train, test = base.where(f"int({ID}) % 2 = 0"), base.where(f"int({ID}) % 2 = 1 OR int({ID}) % 40 = 0")
+    other = test.withColumns({c: F.col(c) * 3 for c in ("rh_mean", "temp_mean_c")})
+    a, b = (ablation.fill_missing(train, t, "mice") for t in (test, other))
+    assert a[0].exceptAll(b[0]).count() == 0 and a[0].where("rh_max IS NULL").count() == 0
+    assert a[1].where("rh_max IS NULL").count() == 0 and a[1].count() == test.count()
+
+
 def test_chained_imputation_recovers_a_linear_column(spark):
     rng = np.random.default_rng(2)
     data = [(str(i), float(a), float(b), float(3 * a - 2 * b + 1)) for i, (a, b) in enumerate(rng.normal(size=(300, 2)))]
