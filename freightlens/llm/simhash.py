@@ -7,7 +7,8 @@ tallied, pairs with fewer than four are dropped, and the rest are verified by co
 
 Equal fingerprints enter the index once. Lists with more than `LONG_LIST` fingerprints are not paired but split
 further: pairs in them share one byte more (five choices), and in lists still long the 32 bits left, in five blocks,
-must have an equal block. Both steps keep every link, so nothing is capped.
+must have an equal block. Both steps keep every link, so nothing is capped. A pair that meets in several lists is
+reported at the first of them, and links inside what is connected already are not sought.
 """
 
 from __future__ import annotations
@@ -97,38 +98,70 @@ def _entries(source: DataFrame, masks: dict[int, list[tuple[int, int]]] | None,
         table = F.array(*[F.array(*[F.struct(F.lit(i).alias("list"), F.lit(m).alias("mask")) for i, m in masks[k]]) for k in sorted(masks)])
         choices = F.transform(F.get(table, F.col("list")), lambda x: F.struct(
             x["list"].alias("list"), F.col("fp").bitwiseAND(x["mask"]).alias("bits")))
-    return source.select("fp", F.explode(choices).alias("e")).select("fp", "e.list", "e.bits")
+    carried = [c for c in source.columns if c in ("fp", "part")]
+    return source.select(*carried, F.explode(choices).alias("e")).select(*carried, "e.list", "e.bits")
 
 
-def _pairs(entries: DataFrame) -> DataFrame:
-    """Verified links among entries of the same list."""
+def _quads() -> list[tuple[int, tuple[int, ...]]]:
+    """Every triple with one position more: (number of the triple, positions)."""
+    return [(k, (*t, p)) for k, t in enumerate(position_triples()) for p in range(BYTES) if p not in t]
+
+
+def _first_lists() -> tuple[list[int], list[int]]:
+    """For each set of shared positions (as bits): the one triple, and the one of its quads, at which a pair is reported."""
+    triples, quads = [], []
+    for shared in range(1 << BYTES):
+        held = lambda positions: all(shared >> p & 1 for p in positions)
+        triple = next((k for k, t in enumerate(position_triples()) if held(t)), -1)
+        triples.append(triple)
+        quads.append(next((i for i, (k, q) in enumerate(_quads()) if k == triple and held(q)), -1))
+    return triples, quads
+
+
+def _pairs(entries: DataFrame, step: int) -> DataFrame:
+    """Verified links among entries of the same list whose ends are not connected yet. A pair that meets in several lists
+    is reported at the first of them alone."""
     apart = F.col("x.fp").bitwiseXOR(F.col("y.fp"))
-    shared = sum((F.shiftrightunsigned(apart, 8 * p).bitwiseAND(F.lit(255)) == 0).cast("int") for p in range(BYTES))
+    same = [(F.shiftrightunsigned(apart, 8 * p).bitwiseAND(F.lit(255)) == 0).cast("int") for p in range(BYTES)]
+    tally, shared = sum(same[1:], same[0]), sum((s * (1 << p) for p, s in enumerate(same)), F.lit(0))
+    first = F.get(F.array(*map(F.lit, _first_lists()[min(step, 1)])), shared)
+    at = F.col("x.list") if step < 2 else F.floor(F.col("x.list") / (MAX_BITS + 1)).cast("int")
     x, y = entries.alias("x"), entries.alias("y")
     meet = (F.col("x.list") == F.col("y.list")) & (F.col("x.bits") == F.col("y.bits")) & (F.col("x.fp") < F.col("y.fp"))
-    return x.join(y, meet & (shared >= MIN_SHARED) & (F.bit_count(apart) <= MAX_BITS)).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
+    near = (tally >= MIN_SHARED) & (F.bit_count(apart) <= MAX_BITS)
+    return x.join(y, meet & (F.col("x.part") != F.col("y.part")) & near & (first == at)).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
+
 
+def spanning_links(fingerprints: DataFrame, long_list: int = LONG_LIST) -> DataFrame:
+    """Links (a, b) between values of column fp that connect exactly what links of at most four differing bits connect.
 
-def links(fingerprints: DataFrame, long_list: int = LONG_LIST) -> DataFrame:
-    """Links (a, b), a < b, between distinct values of column fp that differ in at most four bits; a link can repeat."""
-    triples = position_triples()
-    quads = [(k, t + (p,)) for k, t in enumerate(triples) for p in range(BYTES) if p not in t]
+    Components need no more than that, and a dense group has a square number of links. So each list is first linked to its
+    smallest and its largest member where they are near, which is linear, and of the pairs only those are sought whose
+    ends these links have not connected.
+    """
+    triples, quads = position_triples(), _quads()
     blocks = [(k, block | _mask(q)) for k, (_, q) in enumerate(quads) for block in _bit_blocks(q)]
     steps = [
         (None, [_mask(t) for t in triples]),
         ({k: [(i, _mask(q)) for i, (j, q) in enumerate(quads) if j == k] for k in range(len(triples))}, []),
         ({k: [(i, m) for i, (j, m) in enumerate(blocks) if j == k] for k in range(len(quads))}, []),
     ]
-    found, source = None, fingerprints.select("fp").distinct()
+    nodes = fingerprints.select("fp").distinct()
+    index = Window.partitionBy("list", "bits")
+    ends = _entries(nodes, None, steps[0][1]).select("fp", F.min("fp").over(index).alias("low"), F.max("fp").over(index).alias("high"))
+    near = lambda end: F.when((F.col(end) != F.col("fp")) & (F.bit_count(F.col(end).bitwiseXOR(F.col("fp"))) <= MAX_BITS), F.col(end))
+    stars = ends.select("fp", F.explode(F.array_compact(F.array(near("low"), near("high")))).alias("end"))
+    found = stage(connect(stars.select(F.col("fp").alias("a"), F.col("end").alias("b"))), "stars")
+    source = nodes.join(found, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("part"))
+    found = found.select(F.col("node").alias("a"), F.col("root").alias("b"))
     for n, (masks, start) in enumerate(steps):
         entries = _entries(source, masks, start)
         if n < len(steps) - 1:
-            size = F.count("*").over(Window.partitionBy("list", "bits"))
-            entries = stage(entries.withColumn("size", size).where("size > 1"), "index")
+            entries = entries.withColumns({"size": F.count("*").over(index), "parts": F.min("part").over(index) != F.max("part").over(index)})
+            entries = stage(entries.where("parts"), "index")
             source = entries.where(F.col("size") > long_list)
             entries = entries.where(F.col("size") <= long_list)
-        more = _pairs(entries)
-        found = more if found is None else found.unionByName(more)
+        found = found.unionByName(_pairs(entries, n))
         if n < len(steps) - 1 and not source.take(1):
             break
     return found
@@ -143,7 +176,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", lo
     """
     prints = stage(docs.select(F.col(key).alias("key"), fingerprint(F.col(text)).alias("fp")), "prints")
     nodes = prints.groupBy("fp").agg(F.min("key").alias("low"))
-    roots = stage(connect(links(nodes, long_list)), "roots")
+    roots = stage(connect(spanning_links(nodes, long_list)), "roots")
     joined = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     linked = joined.join(roots.select(F.col("root").alias("_r")).distinct(), F.col("root") == F.col("_r"), "left_semi")
     lowest = linked.groupBy("root").agg(F.min("low").alias("component_id"))

@@ -56,10 +56,18 @@ def test_links_are_complete_also_where_lists_are_long(spark):
     centres = [r.getrandbits(64) for _ in range(4)]
     prints = {c ^ sum(1 << b for b in r.sample(range(64), r.randrange(0, 6))) for c in centres for _ in range(120)} | {r.getrandbits(64) for _ in range(50)} | {0}
     frame = spark.createDataFrame([(signed(p),) for p in prints], "fp long")
-    want = {(min(signed(a), signed(b)), max(signed(a), signed(b))) for a, b in combinations(prints, 2) if (a ^ b).bit_count() <= 4}
+    near = [(min(signed(a), signed(b)), max(signed(a), signed(b))) for a, b in combinations(prints, 2) if (a ^ b).bit_count() <= 4]
     for long_list in (2, 10, 10_000):
-        got = {(x["a"], x["b"]) for x in simhash.links(frame, long_list).collect()}
-        assert got == want
+        found = simhash.spanning_links(frame, long_list)
+        assert {r["node"]: r["root"] for r in connect(found).collect()} == brute(near)
+
+
+def test_a_dense_group_is_not_paired(spark):
+    """2,000 fingerprints of at most two bits: two million links, all of them connected by stars."""
+    prints = [0] + [1 << a for a in range(64)] + [1 << a | 1 << b for a, b in combinations(range(64), 2)]
+    found = simhash.spanning_links(spark.createDataFrame([(signed(p),) for p in prints[:2000]], "fp long"))
+    assert found.count() < 20_000
+    assert len({r["root"] for r in connect(found).collect()}) == 1
 
 
 def test_rows(spark, make_docs):
