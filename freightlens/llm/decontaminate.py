@@ -92,12 +92,18 @@ def _hits(codes: np.ndarray, index: PatternIndex, q: int) -> tuple[np.ndarray, n
 def _bands(codes: np.ndarray, index: PatternIndex, leaks: Leaks, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(pattern, band) pairs that reach the bound; band b covers diagonals [b*width, (b+2)*width)."""
     at, pattern, place = _hits(codes, index, leaks.q)
+    if not len(at):
+        return at, at
     low = (at - place) // width
     shift, bands = leaks.pattern + 1, len(codes) + leaks.pattern + 2  # keeps the numbers packed below from meeting
     key = pattern.astype(np.int64) * bands + low + shift
-    key = np.concatenate([key, key - 1])
-    distinct = np.unique(key * leaks.pattern + np.tile(place, 2)) // leaks.pattern
-    key, grams = np.unique(distinct, return_counts=True)
+    packed = np.concatenate([key, key - 1])  # a hit counts in both bands that cover its diagonal
+    packed *= leaks.pattern
+    packed += np.tile(place, 2)
+    packed.sort()
+    packed = packed[np.append(True, packed[1:] != packed[:-1])] // leaks.pattern  # a pattern's q-gram counts once a band
+    first = np.flatnonzero(np.append(True, packed[1:] != packed[:-1]))
+    grams, key = np.diff(np.append(first, len(packed))), packed[first]
     pattern = key // bands
     kept = grams >= index.need[pattern]
     return pattern[kept], (key % bands - shift)[kept]
