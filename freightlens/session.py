@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -50,9 +52,30 @@ def _own_folder() -> str:
     return tempfile.mkdtemp(prefix="freightlens-")
 
 
+_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
+
+
+@contextmanager
+def staging(spark: SparkSession):
+    """Folders made inside are deleted at the end; for work whose results are values, not frames that read them."""
+    made: list[str] = []
+    token = _scopes.set((*_scopes.get(), made))
+    try:
+        yield
+    finally:
+        _scopes.reset(token)
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+        for path in made:
+            folder = hadoop.Path(path)
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def new_folder(spark: SparkSession, label: str) -> str:
     """A fresh path under the shared folder."""
-    return os.path.join(checkpoint_root(spark), "freightlens", f"{label}-{uuid.uuid4().hex}")
+    path = os.path.join(checkpoint_root(spark), "freightlens", f"{label}-{uuid.uuid4().hex}")
+    for made in _scopes.get():
+        made.append(path)
+    return path
 
 
 def stage(df: DataFrame, label: str = "stage") -> DataFrame:

@@ -48,3 +48,19 @@ def test_two_level_ranks_and_totals(spark):
         for r in out:
             want = sum(x["n"] for x in out if x["g"] == r["g"] and (x["k"] > r["k"] if down else x["k"] < r["k"]))
             assert r["n_before"] == want and r["n_total"] == sum(x["n"] for x in out if x["g"] == r["g"])
+
+
+def test_staged_folders_of_a_scope_go_with_it(spark):
+    import os
+
+    from freightlens.session import new_folder, stage, staging
+
+    with staging(spark):
+        outer = stage(spark.range(3), "outer")
+        with staging(spark):
+            inner = new_folder(spark, "inner")
+            spark.range(2).write.parquet(inner)
+        assert not os.path.exists(inner) and outer.count() == 3
+        kept = outer.inputFiles()[0].removeprefix("file://")
+        assert os.path.exists(kept)
+    assert not os.path.exists(kept)
