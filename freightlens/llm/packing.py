@@ -8,6 +8,7 @@ driver and what is broadcast is bounded by the capacity, whatever the number of
 
 from __future__ import annotations
 
+import os
 import re
 import unicodedata
 import zlib
@@ -28,7 +29,7 @@ END_ID = 0
 #: Each length is ranked in so many parts, so that a length that most pieces have does not end in one task.
 RANK_PARTS = 128
 #: Word forms that a task remembers the ids of; beyond that it starts anew.
-MEMORY = 400_000
+MEMORY = 250_000
 
 
 # ---- tokens ----
@@ -42,6 +43,7 @@ class Encoder:
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = tokenizers.Tokenizer.from_file(path)
         self.plain = self._plain() if self._splits_at_blanks() else None
         self.clear()
