@@ -29,11 +29,24 @@ END_ID = 0
 #: Each length is ranked in so many parts, so that a length that most pieces have does not end in one task.
 RANK_PARTS = 128
 #: Word forms that a task remembers the ids of; beyond that it starts anew.
-MEMORY = 250_000
+MEMORY = 600_000
 
 
 # ---- tokens ----
 
+class Slots(dict):
+    """Numbers for keys, given when a key is first asked for; `new` has the keys since it was last emptied."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, key: str) -> int:
+        number = self[key] = len(self)
+        self.new.append(key)
+        return number
+
+
 class Encoder:
     """Token ids of whole texts: those of `tokenizers`, remembered by blank-separated chunk where that is the same.
 
@@ -45,14 +58,19 @@ class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = tokenizers.Tokenizer.from_file(path)
-        self.plain = self._plain() if self._splits_at_blanks() else None
+        self.merges = tokenizers.Tokenizer(self.tokenizer.model)
+        self.merges.pre_tokenizer = tokenizers.pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.signs = {c: self.tokenizer.encode(c, add_special_tokens=False).ids for c in ".,;:!?"}
+        self.plain = self._plain() if self._splits_as_expected() else None
         self.clear()
 
-    def _splits_at_blanks(self) -> bool:
-        probe = "Two words, a Third-one 12 it's\nété"
-        whole = self.tokenizer.encode(probe, add_special_tokens=False).ids
-        parts = [i for chunk in probe.lower().split() for i in self.tokenizer.encode(chunk, add_special_tokens=False).ids]
-        return whole == parts and not self.tokenizer.encode(" \n\t", add_special_tokens=False).ids
+    def _splits_as_expected(self) -> bool:
+        """Does the file's tokenizer split at blanks and between letters and signs? Else every text goes to it whole."""
+        ids = lambda how, text: how.encode(text, add_special_tokens=False).ids
+        probe = "Two words, a Third-one 12 it's\nété."
+        parts = [i for chunk in probe.lower().split() for i in ids(self.tokenizer, chunk)]
+        word = ids(self.merges, "words") + self.signs[","] == ids(self.tokenizer, "Words,") and ids(self.merges, "été") == ids(self.tokenizer, "Été")
+        return ids(self.tokenizer, probe) == parts and word and not ids(self.tokenizer, " \n\t")
 
     @staticmethod
     def _plain() -> re.Pattern:
@@ -62,25 +80,34 @@ class Encoder:
         return re.compile("[" + "".join(map(re.escape, good)) + "]*")
 
     def clear(self) -> None:
-        self.slots: dict[str, int] = {}
+        self.slots = Slots()
         self.first, self.count, self.flat, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(8192, np.uint32), 0
 
-    def _remember(self, chunks: list[str]) -> None:
-        """Encode chunks joined by blanks, and deal the ids back by where they begin."""
-        lines = [chunks[i : i + 2_000] for i in range(0, len(chunks), 2_000)]
-        for line, got in zip(lines, self.tokenizer.encode_batch([" ".join(x) for x in lines], add_special_tokens=False)):
-            ends = np.cumsum(np.fromiter(map(len, line), np.int64, len(line)) + 1)
-            begins = np.fromiter((a for a, _ in got.offsets), np.int64, len(got.ids))
-            sizes = np.bincount(np.searchsorted(ends, begins, side="right"), minlength=len(line))
-            start, total, new = len(self.slots), len(self.slots) + len(line), self.used + len(got.ids)
-            if total > len(self.first):
-                self.first, self.count = (np.resize(x, 2 * total) for x in (self.first, self.count))
-            if new > len(self.flat):
-                self.flat = np.resize(self.flat, 2 * new)
-            self.first[start:total], self.count[start:total] = self.used + np.cumsum(sizes) - sizes, sizes
-            self.flat[self.used : new] = got.ids
-            self.used = new
-            self.slots.update(zip(line, range(start, total)))
+    def _encode_new(self) -> None:
+        """Encode chunks not seen before. A word of letters is one word to the tokenizer, so it goes to the merges at once, and
+        so does one with a sign behind it, whose ids follow. All else goes through the whole tokenizer."""
+        chunks, start = self.slots.new, len(self.slots) - len(self.slots.new)
+        for first in range(0, len(chunks), 5_000):
+            part = chunks[first : first + 5_000]
+            words, ended, rest = [], [], []
+            for i, c in enumerate(part):
+                (words if c.isalpha() else ended if c[-1] in self.signs and c[:-1].isalpha() else rest).append(i)
+            ids = [e.ids for e in self.merges.encode_batch_fast([part[i] for i in words] + [part[i][:-1] for i in ended], add_special_tokens=False)]
+            ids[len(words) :] = [x + self.signs[part[i][-1]] for x, i in zip(ids[len(words) :], ended)]
+            ids += [e.ids for e in self.tokenizer.encode_batch_fast([part[i] for i in rest], add_special_tokens=False)]
+            self._store(np.array(words + ended + rest, np.int64) + start + first, ids)
+        self.slots.new = []
+
+    def _store(self, slots: np.ndarray, ids: list[list[int]]) -> None:
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        new = self.used + int(sizes.sum())
+        if len(self.slots) > len(self.first):
+            self.first, self.count = (np.resize(x, 2 * len(self.slots)) for x in (self.first, self.count))
+        if new > len(self.flat):
+            self.flat = np.resize(self.flat, 2 * new)
+        self.first[slots], self.count[slots] = self.used + np.cumsum(sizes) - sizes, sizes
+        self.flat[self.used : new] = np.fromiter(chain.from_iterable(ids), np.uint32, new - self.used)
+        self.used = new
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, without special tokens added."""
@@ -88,14 +115,10 @@ class Encoder:
         rest = [t for t, p in zip(texts, plain) if not p]
         others = iter(self.tokenizer.encode_batch_fast(rest, add_special_tokens=False) if rest else [])
         chunks = [t.lower().split() if p else [] for t, p in zip(texts, plain)]
-        flat = list(chain.from_iterable(chunks))
         if len(self.slots) > MEMORY:
             self.clear()
-        slots = list(map(self.slots.get, flat))
-        if None in slots:
-            self._remember(list(dict.fromkeys(c for c, s in zip(flat, slots) if s is None)))
-            slots = list(map(self.slots.__getitem__, flat))
-        slots = np.array(slots, np.int64)
+        slots = np.fromiter(map(self.slots.__getitem__, chain.from_iterable(chunks)), np.int64, sum(map(len, chunks)))
+        self._encode_new()
         sizes = self.count[slots]
         ends = np.cumsum(sizes)
         ids = self.flat[np.repeat(self.first[slots] - ends + sizes, sizes) + np.arange(sizes.sum())]
