@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
-from freightlens.llm.tables import text_slices
+from freightlens.llm.tables import shared, text_slices
 from freightlens.llm.text_codes import letter_tables, normalise, rolling_hash
 
 
@@ -187,14 +187,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, leaks: Leaks = Leaks(), ke
     """
     schema = StructType([docs.select(key).schema[0], *docs.sparkSession.createDataFrame([], FOUND).schema])
 
-    def apply(frame: DataFrame, shared) -> DataFrame:
+    def apply(frame: DataFrame, sent) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tables = letter_tables()
             for batch in batches:
                 for first, texts in text_slices(batch, 1, leaks.slice_chars):
                     keys = batch.column(0).slice(first, len(texts)).to_pylist()
-                    rows = [(k, item, s, e, d, n, shared.value.parts[item])
-                            for k, found in zip(keys, _found(texts, shared.value, leaks, tables))
+                    rows = [(k, item, s, e, d, n, sent.value.parts[item])
+                            for k, found in zip(keys, _found(texts, sent.value, leaks, tables))
                             for item, (s, e, d, n) in sorted(found.items())]
                     if rows:
                         kinds = [batch.schema[0].type, pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
@@ -202,28 +202,27 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, leaks: Leaks = Leaks(), ke
 
         return frame.mapInArrow(run, schema)
 
-    context, out = docs.sparkSession.sparkContext, docs.sparkSession.createDataFrame([], schema)
+    out = docs.sparkSession.createDataFrame([], schema)
     for index in _blocks(benchmark, leaks, item, item_text):
-        out = out.unionByName(apply(docs.select(key, text), context.broadcast(index)))
+        out = out.unionByName(apply(docs.select(key, text), shared(docs.sparkSession, index)))
     return out
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, leaks: Leaks = Leaks(), text: str = "text",
                item: str = "item_id", item_text: str = "text") -> DataFrame:
     """`docs`, all columns, without the rows that hold a benchmark item. Filters in place: no shuffle, no key needed."""
-    def apply(frame: DataFrame, shared) -> DataFrame:
+    def apply(frame: DataFrame, sent) -> DataFrame:
         place = frame.columns.index(text)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tables = letter_tables()
             for batch in batches:
                 clean = [not found for _, texts in text_slices(batch, place, leaks.slice_chars)
-                         for found in _found(texts, shared.value, leaks, tables)]
+                         for found in _found(texts, sent.value, leaks, tables)]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
         return frame.mapInArrow(run, frame.schema)
 
-    context = docs.sparkSession.sparkContext
     for index in _blocks(benchmark, leaks, item, item_text):
-        docs = apply(docs, context.broadcast(index))
+        docs = apply(docs, shared(docs.sparkSession, index))
     return docs

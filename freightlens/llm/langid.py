@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
-from freightlens.llm.tables import BATCH_CHARS, text_slices
+from freightlens.llm.tables import BATCH_CHARS, shared, text_slices
 from freightlens.llm.text_codes import letter_tables, normalise
 
 UNKNOWN = "und"
@@ -145,10 +145,10 @@ def predict(docs: DataFrame, model: CodeModel, plan: Languages = Languages(), te
     kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in names and (keep is not None or c != text)]
     frame = docs.select(*kept, F.col(text).alias("_text"))
     schema = StructType([*docs.select(*kept).schema, *docs.sparkSession.createDataFrame([], PREDICTED).schema])
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    sent = shared(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables, known = letter_tables("isalpha"), shared.value
+        tables, known = letter_tables("isalpha"), sent.value
         for batch in batches:
             for first, texts in text_slices(batch, len(kept), BATCH_CHARS // 2):
                 lang, score, ambiguous = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)
@@ -177,10 +177,10 @@ def learn(spark: SparkSession, docs: DataFrame, plan: Languages = Languages()) -
 
 def known_only(docs: DataFrame, model: CodeModel, plan: Languages = Languages(), text: str = "text") -> DataFrame:
     """`docs`, all columns, without rows that are `und` or ambiguous. Filters in place: no shuffle, no key needed."""
-    shared, place = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text)
+    sent, place = shared(docs.sparkSession, model), docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables, known = letter_tables("isalpha"), shared.value
+        tables, known = letter_tables("isalpha"), sent.value
         for batch in batches:
             keep = np.zeros(batch.num_rows, bool)
             for first, texts in text_slices(batch, place, BATCH_CHARS // 2):

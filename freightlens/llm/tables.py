@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from types import SimpleNamespace
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -17,6 +18,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def shared(spark: SparkSession, thing: object):
+    """Broadcast the fields of an object. Broadcast values are pickled by reference to their class, and executors need no copy
+    of this package, so the fields travel in a class of the standard library."""
+    return spark.sparkContext.broadcast(SimpleNamespace(**vars(thing)))
+
+
 def spare_name(df: DataFrame, stem: str) -> str:
     """A column name that `df` does not have, in any case of its letters."""
     taken, name = {c.lower() for c in df.columns}, stem
