@@ -35,7 +35,7 @@ class Leaks:
     stride: int = 48
     rate: float = 0.1
     block_chars: int = 1_000_000
-    slice_chars: int = 1_000_000
+    slice_chars: int = 500_000
 
 
 FOUND = "item_id long, start long, end long, edits int, patterns int, item_patterns int"

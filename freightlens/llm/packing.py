@@ -29,7 +29,7 @@ END_ID = 0
 #: Each length is ranked in so many parts, so that a length that most pieces have does not end in one task.
 RANK_PARTS = 128
 #: Word forms that a task remembers the ids of; beyond that it starts anew.
-MEMORY = 600_000
+MEMORY = 250_000
 
 
 # ---- tokens ----

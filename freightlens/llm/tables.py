@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: What one call inside a task takes at a time: bytes of text, and rows.
 BATCH_CHARS = 1_000_000
-BATCH_ROWS = 1_000
+BATCH_ROWS = 256
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
