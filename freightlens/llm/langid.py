@@ -113,11 +113,21 @@ def fit(docs: DataFrame, plan: Languages = Languages(), key: str = "doc_id", tex
     names = sorted({r["lang"] for r in rows})
     if not names:
         return CodeModel([], np.zeros((0, 0)), np.zeros((plan.features + 1, 0)), np.zeros(0))
-    x = _with_constant(np.frombuffer(b"".join(r["x"] for r in rows), "<f2").reshape(len(rows), plan.features).astype(np.float64))
-    code = codewords(len(names), plan.bits)
-    y = code[[names.index(r["lang"]) for r in rows]].astype(np.float64)
-    weights = np.linalg.solve(x.T @ x + plan.ridge * len(rows) * np.eye(x.shape[1]) / plan.features, x.T @ y)
-    right = ((x @ weights > 0) == (y > 0)).mean(0)
+    code, place = codewords(len(names), plan.bits), {n: i for i, n in enumerate(names)}
+
+    def parts() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The sample a few hundred rows at a time, so that the driver never holds it as one matrix."""
+        for first in range(0, len(rows), 500):
+            some = rows[first : first + 500]
+            x = np.frombuffer(b"".join(r["x"] for r in some), "<f2").reshape(len(some), plan.features)
+            yield _with_constant(x.astype(np.float64)), code[[place[r["lang"]] for r in some]].astype(np.float64)
+
+    squares, products = plan.ridge * len(rows) * np.eye(plan.features + 1) / plan.features, np.zeros((plan.features + 1, code.shape[1]))
+    for x, y in parts():
+        squares += x.T @ x
+        products += x.T @ y
+    weights = np.linalg.solve(squares, products)
+    right = sum(((x @ weights > 0) == (y > 0)).sum(0) for x, y in parts()) / len(rows)
     return CodeModel(names, code, weights, np.maximum(2 * right - 1, 0.01))
 
 
