@@ -62,28 +62,45 @@ def write_archives(pages: DataFrame, path: str, page: str = "page_id", url: str
 
 # ---- reading ----
 
-def _header(name: str) -> Column:
-    found = F.regexp_extract("head", rf"(?:^|\r\n){name}: ([^\r\n]*)", 1)
-    return F.when(found != "", found)
-
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """What follows each occurrence of the magic: file, split, line (in the order of the split), size (to the next magic), body."""
+    return spark.read.option("lineSep", MAGIC).text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"),
+        F.monotonically_increasing_id().alias("line"), (F.octet_length("value").cast("long") + len(MAGIC)).alias("size"), F.col("value").alias("body"))
 
-def candidates(spark: SparkSession, path: str) -> DataFrame:
-    """Every occurrence of the magic: file, split, at (its offset in bytes), size (to the next), body (what follows it).
 
-    Spark's text reader splits files at the magic; a line's place in its file is the sum of what stands before it: whole
-    splits first, then lines of its split, so no window spans a file's lines.
-    """
-    lines = spark.read.option("lineSep", MAGIC).text(path).select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"),
-        F.monotonically_increasing_id().alias("line"), F.col("value").alias("body"))
-    lines = stage(lines.withColumn("size", F.octet_length("body").cast("long") + len(MAGIC)), "warc-lines")
+def _located(lines: DataFrame) -> DataFrame:
+    """`lines` with the place of each magic in its file: the sum of what stands before it, whole splits first, then lines of
+    its split, so no window spans a file's lines. What stands before the first magic of a file is an empty line, dropped."""
     before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
     splits = lines.groupBy("file", "split").agg(F.sum("size").alias("bytes"))
-    splits = splits.withColumn("start", F.coalesce(F.sum("bytes").over(before(Window.partitionBy("file").orderBy("split"))), F.lit(0)))
+    start = F.coalesce(F.sum("bytes").over(before(Window.partitionBy("file").orderBy("split"))), F.lit(0))
     inner = F.coalesce(F.sum("size").over(before(Window.partitionBy("file", "split").orderBy("line"))), F.lit(0))
-    # what stands before the first magic of a file is an empty line at 0; a line's magic ends where the line begins
-    placed = lines.select("file", "split", "line", "size", "body", inner.alias("inner")).join(splits.drop("bytes"), ["file", "split"])
-    return placed.select("file", "split", (F.col("start") + F.col("inner") - len(MAGIC)).alias("at"), "size", "body").where("at >= 0")
+    placed = lines.withColumn("_inner", inner).join(splits.select("file", "split", start.alias("_start")), ["file", "split"])
+    return placed.withColumn("at", F.col("_start") + F.col("_inner") - len(MAGIC)).where("at >= 0").drop("_start", "_inner")
+
+
+def _described(rows: DataFrame) -> DataFrame:
+    """Rows with a body, the text of a record behind its magic: the headers, `ends` (bytes from the magic to the record's end by
+    its own word, NULL if it says none), and the payload, all of which is there if the body has that length."""
+    def header(name: str) -> Column:
+        found = F.regexp_extract("_head", rf"(?:^|\r\n){name}: ([^\r\n]*)", 1)
+        return F.when(found != "", found)
+
+    number = lambda name: F.expr(rf"try_cast(regexp_extract(_head, '(?:^|\\r\\n){name}: <urn:page:(-?[0-9]+)>', 1) AS long)")
+    rows = rows.withColumn("_head", F.substring_index("body", END, 1))
+    begin = len(MAGIC) + F.octet_length("_head") + len(END)
+    length = F.expr(r"try_cast(regexp_extract(_head, '(?:^|\\r\\n)Content-Length: ([0-9]+)', 1) AS long)")
+    rows = rows.withColumns({"_begin": begin, "ends": begin.cast("long") + length + len(END)})
+    block = F.substring(F.col("body").cast("binary"), F.col("_begin") - len(MAGIC) + 1, (F.col("ends") - F.col("_begin") - len(END)).cast("int"))
+    block = F.coalesce(block, F.lit(b""))
+    rows = rows.withColumns({"type": header("WARC-Type"), "page": number("WARC-Record-ID"), "refers_to": number("WARC-Refers-To"),
+                             "url": header("WARC-Target-URI"), "digest": F.regexp_extract(header("WARC-Payload-Digest"), "^sha1:([A-Z2-7]+)$", 1),
+                             "_block": block})
+    # the HTTP head follows the record's head; neither has the end mark inside
+    skip = F.octet_length(F.substring_index(F.substring_index(F.col("body"), END, 2), END, -1)) + len(END)
+    payload = F.when(F.col("type") == "response", F.substring(F.col("_block"), skip + 1, F.octet_length("_block"))).otherwise(F.lit(b""))
+    return rows.withColumn("payload", payload).drop("_head", "_begin", "_block")
 
 
 def reachable(nodes: DataFrame) -> DataFrame:
@@ -114,37 +131,42 @@ def _owners(nodes: DataFrame) -> DataFrame:
         "file", F.col("at").alias("part"), F.coalesce("own", "carried").alias("at"))
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """The true records of all archives under `path`: file, at, type, page, url, digest (as stated), refers_to, payload
-    (binary; empty for revisits), whole (the block has its stated length and a response's payload its stated digest)."""
-    body = candidates(spark, path).withColumn("head", F.substring_index("body", END, 1))
-    length = F.expr(r"try_cast(regexp_extract(concat('\r\n', head), '\r\nContent-Length: ([0-9]+)', 1) AS long)")
-    begin = len(MAGIC) + F.octet_length("head") + len(END)
-    marked = stage(body.withColumns({"length": length, "begin": begin.cast("long")}), "warc-found")
-    chain = marked.select("file", "at", (F.col("at") + F.col("begin") + F.col("length") + len(END)).alias("next"))
-    kept = stage(reachable(chain), "warc-kept")
+def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
+    """The true records of all archives under `path`: file, at, type, page, url, digest (as stated), refers_to, payload_bytes,
+    payload_digest, whole (the record has its stated length and a response its stated digest), and on wish the payload
+    (binary; empty for revisits).
+
+    Bodies are read twice instead of being moved about: once to describe every candidate, and again for those that must be
+    put together, or for all if payloads are wanted.
+    """
+    facts = ["type", "page", "url", "digest", "refers_to", "payload_bytes", "payload_digest", "ends"]
+
+    def digested(rows: DataFrame) -> DataFrame:
+        return rows.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": base32_sha1(F.col("payload"))})
+
+    first = digested(_described(_lines(spark, path))).select("file", "split", "line", "size", *facts)
+    found = stage(_located(stage(first, "warc-lines")), "warc-found")
+    kept = stage(reachable(found.select("file", "at", (F.col("at") + F.col("ends")).alias("next"))), "warc-kept")
+    known = found.join(kept.withColumn("hit", F.lit(True)), ["file", "at"], "left").withColumn("kept", F.col("hit").isNotNull())
+    known = stage(known.drop("hit"), "warc-known")
+    plain = known.where("kept AND ends <=> size")
     # a candidate that was not reached stands in the payload of the last record reached before it
-    known = marked.select("file", "split", "at").join(kept.withColumn("hit", F.lit(True)), ["file", "at"], "left")
-    owners = _owners(known.select("file", "split", "at", F.col("hit").isNotNull().alias("kept")))
-    strays = owners.join(marked.select("file", F.col("at").alias("part"), "body"), ["file", "part"])
-    more = strays.groupBy("file", "at").agg(F.sort_array(F.collect_list(F.struct("part", "body"))).alias("parts"))
-    more = more.select("file", "at", F.concat(F.lit(MAGIC), F.array_join(F.col("parts.body"), MAGIC)).alias("rest"))
-    records = marked.join(kept, ["file", "at"]).join(more, ["file", "at"], "left")
-    whole_body = F.concat(F.col("body"), F.coalesce("rest", F.lit(""))).cast("binary")
-    block = F.substring(whole_body, F.col("begin").cast("int") - len(MAGIC) + 1, F.coalesce("length", F.lit(0)).cast("int"))
-    records = records.select("file", "at", "head", "length", block.alias("block"))
-    http = F.instr(F.col("block").cast("string"), END)  # the HTTP head is ASCII, so characters are bytes
-    payload = F.when(_header("WARC-Type") == "response", F.expr("substring(block, http + 4)")).otherwise(F.lit(b""))
-    number = lambda column: F.expr(f"try_cast(regexp_extract({column}, '<urn:page:(-?[0-9]+)>', 1) AS long)")
-    out = records.withColumn("http", http).withColumn("payload", payload)
-    digest = F.regexp_extract(_header("WARC-Payload-Digest"), "^sha1:([A-Z2-7]+)$", 1)
-    out = out.select("file", "at", _header("WARC-Type").alias("type"), _header("WARC-Record-ID").alias("v"), _header("WARC-Refers-To").alias("w"),
-                     _header("WARC-Target-URI").alias("url"), digest.alias("digest"), "payload", "length", F.octet_length("block").alias("got"))
-    return out.select(
-        "file", "at", "type", number("v").alias("page"), "url", "digest",
-        number("w").alias("refers_to"), "payload",
-        (F.coalesce(F.col("got") == F.col("length"), F.lit(False))
-         & ((F.col("type") != "response") | (base32_sha1(F.col("payload")) == F.col("digest")))).alias("whole"))
+    owners = _owners(known.select("file", "split", "at", "kept")).select("file", "part", "at")
+    heads = known.where("kept" if payloads else "kept AND NOT ends <=> size").select("file", F.col("at").alias("part"), "at")
+    wanted = heads.unionByName(owners)
+    names = ["file", "at", *facts, "size"] + ["payload"] * payloads
+    records = plain.select(*names) if not payloads else None
+    if payloads or wanted.take(1):
+        again = _located(_lines(spark, path).select("file", "split", "line", "size")).withColumnRenamed("at", "part")
+        where = again.join(wanted, ["file", "part"]).select("file", "split", "line", "part", "at")
+        bodies = _lines(spark, path).select("file", "split", "line", "body").join(where, ["file", "split", "line"])
+        joined = bodies.groupBy("file", "at").agg(F.sort_array(F.collect_list(F.struct("part", "body"))).alias("parts"))
+        joined = joined.select("file", "at", F.array_join(F.col("parts.body"), MAGIC).alias("body"))
+        joined = joined.withColumn("size", F.octet_length("body").cast("long") + len(MAGIC))
+        repaired = digested(_described(joined)).select(*names)
+        records = repaired if records is None else records.unionByName(repaired)
+    intact = F.coalesce(F.col("ends") == F.col("size"), F.lit(False)) & ((F.col("type") != "response") | (F.col("payload_digest") == F.col("digest")))
+    return records.withColumn("whole", intact).drop("ends", "size")
 
 
 def archived(pages: DataFrame, page: str = "page_id", url: str = "url", html: str = "html", least: int = 0) -> DataFrame:
@@ -154,8 +176,8 @@ def archived(pages: DataFrame, page: str = "page_id", url: str = "url", html: st
     spark = pages.sparkSession
     path = new_folder(spark, "warc")
     write_archives(pages, path, page, url, html, least)
-    records = read_archives(spark, path).select(
-        "page", "type", "refers_to", F.octet_length("payload").cast("long").alias("bytes"), base32_sha1(F.col("payload")).alias("sha"))
+    records = read_archives(spark, path, payloads=False).select(
+        "page", "type", "refers_to", F.col("payload_bytes").alias("bytes"), F.col("payload_digest").alias("sha"))
     records = stage(records, "warc-read")
     targets = records.where("type = 'response' AND page IS NOT NULL").groupBy(F.col("page").alias("to")).agg(
         F.first("bytes").alias("to_bytes"), F.first("sha").alias("to_sha"))
