@@ -1,6 +1,5 @@
-"""Queries that train models. Single fits use the full settings of each model; queries that fit many models (out-of-fold
-predictions, ensembles, search, experiments) use lighter members, named in `LIGHT`. Every one reads all rows."""
-
+"""Queries that train models. All use the full settings of each model, also those that fit many of them (out-of-fold
+predictions, ensembles, search, experiments). Every one reads all rows."""
 
 from pyspark.sql import functions as F
 
@@ -16,11 +15,7 @@ from freightlens.session import stage
 from freightlens.sources.shipments import ID, TARGET, shipments
 
 INPUTS = features.RAW_FEATURES
-LIGHT = {
-    "gbt_a": models.Settings(rounds=5, depth=4, feature_share="all"),
-    "random_forest": models.Settings("forest", 10, 6, subsample=1.0, feature_share="auto"),
-    "logistic_reg": models.Settings("logistic", 1000, grid=(1.0,)),
-}
+TRIO = {n: models.PRESETS[n] for n in ("gbt_a", "gbt_b", "gbt_c")}
 
 
 def _rows(spark, sf):
@@ -63,29 +58,31 @@ def target_encode(spark, sf):
 
 @query("oof_predictions")
 def oof_predictions(spark, sf):
-    return models.oof_predictions(_rows(spark, sf), INPUTS, {"a": models.Settings(rounds=2, depth=3, feature_share="all")}, 3)
+    return models.oof_predictions(_rows(spark, sf), INPUTS, TRIO)
 
 
 @query("soft_vote_trained")
 def soft_vote_trained(spark, sf):
     train, test = _split(_rows(spark, sf))
-    fitted = models.fit_vote(train, INPUTS, {n: LIGHT[n] for n in ("gbt_a", "random_forest")})
-    return metrics.all_metrics(fitted.score(test), 0.5)
+    return metrics.all_metrics(models.fit_vote(train, INPUTS, TRIO).score(test), 0.5)
 
 
 @query("stacking")
 def stacking(spark, sf):
     train, test = _split(_rows(spark, sf))
-    members = {"a": models.Settings(rounds=2, depth=3, feature_share="all"), "f": models.Settings("forest", 5, 4, feature_share="auto")}
-    return metrics.all_metrics(models.fit_stacking(train, INPUTS, members, 2).score(test), 0.5)
+    return metrics.all_metrics(models.fit_stacking(train, INPUTS, TRIO).score(test), 0.5)
 
 
 @query("random_search")
 def random_search(spark, sf):
+    """Every trial of every model's search space, with all that it drew."""
     train, tune = _split(_rows(spark, sf))
-    space = {"depth": (2, 4), "rate": (0.05, 0.3), "rounds": (2, 4)}
-    _, log = models.random_search(train, tune, INPUTS, models.Settings(feature_share="all"), 3, space=space)
-    return spark.createDataFrame([(t, s.depth, s.rate, s.rounds, o) for t, s, o in log], "trial int, depth int, rate double, rounds int, objective double")
+    rows = []
+    for name, space in models.SEARCH_SPACES.items():
+        _, log = models.random_search(train, tune, INPUTS, models.PRESETS[name], space=space)
+        rows += [(name, t, s.depth, s.rate, s.rounds, s.subsample, s.feature_share, s.min_rows, s.min_gain, o) for t, s, o in log]
+    return spark.createDataFrame(rows, "model string, trial int, depth int, rate double, rounds int, subsample double, feature_share string, "
+                                       "min_rows int, min_gain double, objective double")
 
 
 @query("kmeans")
@@ -118,7 +115,13 @@ def ppca_recon_error(spark, sf):
 @query("tree_shap")
 def tree_shap(spark, sf):
     rows = _rows(spark, sf)
-    return treeshap.tree_shap(models.fit(rows, INPUTS, models.Settings(rounds=5, depth=4, feature_share="all")), rows, ID)
+    return treeshap.tree_shap(models.fit(rows, INPUTS, models.PRESETS["gbt_a"]), rows, ID)
+
+
+@query("tree_shap_forest")
+def tree_shap_forest(spark, sf):
+    rows = _rows(spark, sf)
+    return treeshap.tree_shap(models.fit(rows, INPUTS, models.PRESETS["random_forest"]), rows, ID)
 
 
 def _lime(rows):
@@ -154,8 +157,7 @@ def impute_missforest(spark, sf):
     return out.select(ID, *[snapped(c).alias(c) for c in ("rh_max", "temp_recovery_rate")])
 
 
-BASE = ablation.Experiment("global_median", "class_weight", feature_set="FS-B", model="logistic_reg",
-                           presets={**models.PRESETS, "logistic_reg": LIGHT["logistic_reg"]})
+BASE = ablation.Experiment()
 
 
 @query("experiment_single")
