@@ -2,7 +2,7 @@
 
 The trees are trained on the URLs that a rule labels, a sample of bounded size chosen by a hash; scoring is one pass of
 Spark's own model over all rows. Features are lengths, depth, digit ratio, character entropy, parameter counts and
-statistics of host suffixes taken from the sample.
+statistics of host suffixes, which count all labelled URLs.
 """
 
 from __future__ import annotations
@@ -91,12 +91,13 @@ def lexical(url: Column, host: Column, path: Column) -> dict[str, Column]:
     }
 
 
-def filtered(pages: DataFrame, rules: list[Rule], plan: Trees = Trees(), url: str = "url") -> DataFrame:
+def filtered(pages: DataFrame, rules: list[Rule], plan: Trees = Trees(), url: str = "url", key: str = "page_id") -> DataFrame:
     """`pages` with host, path, rule, verdict (allow or block) and score (the trees' probability of block).
 
     A rule's verdict stands; other URLs, NULL ones too, get that of the trees. If the labelled URLs have one verdict
     alone, all others get it too, and allow if there are none. Rows are never added or dropped; columns of `pages` that are
-    called like a result are replaced.
+    called like a result are replaced. `key`, if the table has it, tells rows of the same URL apart where the training
+    sample is drawn.
     """
     results = ["host", "path", "rule", "verdict", "score"]
     kept = [c for c in pages.columns if c.lower() not in results]
@@ -104,25 +105,25 @@ def filtered(pages: DataFrame, rules: list[Rule], plan: Trees = Trees(), url: st
     frame = pages.select(*kept, F.col(url).alias(link))
     frame = frame.withColumns({"host": host_of(F.col(link)), "path": path_of(F.col(link))})
     frame = frame.withColumn("_rule", matching_rule(F.col("host"), F.col("path"), rules))
-    labelled = frame.where("_rule IS NOT NULL").select(link, "host", "path", (F.col("_rule.verdict") == BLOCK).cast("double").alias("_label"))
-    total = labelled.count()
-    draw = F.pmod(F.xxhash64(link), F.lit(1 << 30)) / float(1 << 30)
-    sample = stage(labelled.where(draw < min(1.0, plan.sample / max(total, 1))), "urls")
-    overall = sample.agg(F.avg("_label")).first()[0]
-    if overall is None or overall in (0.0, 1.0):
-        default = F.lit(float(overall or 0.0))
-        return _judged(frame, default, plan, kept)
+    draw = F.pmod(F.xxhash64(link, *[c for c in kept if c == key]), F.lit(1 << 30)) / float(1 << 30)
+    labelled = frame.where("_rule IS NOT NULL").select(link, "host", "path", (F.col("_rule.verdict") == BLOCK).cast("double").alias("_label"), draw.alias("_draw"))
+    counted = labelled.groupBy(_suffix(F.col("host"), SUFFIXES["domain"]).alias("_domain")).agg(F.sum("_label").alias("s"), F.count("*").alias("n"))
+    counted = stage(counted, "urls")  # one row per labelled domain, over all labelled URLs
+    total, blocked = counted.agg(F.sum("n"), F.sum("s")).first()
+    overall = blocked / total if total else 0.0
+    if overall in (0.0, 1.0):
+        return _judged(frame, F.lit(overall), plan, kept)
+    sample = stage(labelled.where(F.col("_draw") < min(1.0, plan.sample / total)).drop("_draw"), "urls")
     features = lexical(F.col(link), F.col("host"), F.col("path"))
     tables = {}
     for name, labels in SUFFIXES.items():
-        # one row per suffix in a sample of bounded size
-        stats = sample.groupBy(_suffix(F.col("host"), labels).alias(f"_{name}")).agg(F.sum("_label").alias("s"), F.count("*").alias("n"))
+        stats = counted.groupBy(_suffix(F.col("_domain"), labels).alias(f"_{name}")).agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
         tables[name] = stats.select(f"_{name}", ((F.col("s") + plan.smooth * overall) / (F.col("n") + plan.smooth)).alias(f"_{name}_share"),
                                     F.log1p("n").alias(f"_{name}_seen"))
 
     def described(rows: DataFrame) -> DataFrame:
         for name, labels in SUFFIXES.items():
-            rows = rows.withColumn(f"_{name}", _suffix(F.col("host"), labels)).join(F.broadcast(tables[name]), f"_{name}", "left")
+            rows = rows.withColumn(f"_{name}", _suffix(F.col("host"), labels)).join(tables[name], f"_{name}", "left")
             rows = rows.withColumns({f"_{name}_share": F.coalesce(f"_{name}_share", F.lit(overall)), f"_{name}_seen": F.coalesce(f"_{name}_seen", F.lit(0.0))})
         rows = rows.withColumns({f"_x_{k}": v.cast("double") for k, v in features.items()})
         inputs = [f"_x_{k}" for k in features] + [f"_{n}_{k}" for n in SUFFIXES for k in ("share", "seen")]

@@ -54,6 +54,43 @@ def test_one_verdict_or_none(spark, rules, want):
     assert urls.filtered(pages.limit(0), rules).count() == 0
 
 
+def test_suffix_statistics_count_all_labelled_urls(spark, monkeypatch):
+    """A sample of a few URLs changes neither the shares nor the counts that the trees see."""
+    rows = [(i, f"http://h.d{i % 40}.net/{'es' if i % 3 else 'fr'}/{i}") for i in range(400)] + [(1000 + i, f"http://d{i % 40}.com/{i}") for i in range(400)]
+    rows += [(2000 + i, f"http://d{i}.net/en/") for i in range(40)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    seen = {}
+    inner = urls._judged
+
+    def judged(frame, score, plan, kept):
+        seen["rows"] = frame.where("page_id >= 2000").select("host", "_domain_share", "_domain_seen", "_top_share", "_top_seen").collect()
+        return inner(frame, score, plan, kept)
+
+    monkeypatch.setattr(urls, "_judged", judged)
+    for sample in (60, 9_000):
+        assert urls.filtered(pages, RULES, urls.Trees(sample=sample)).count() == len(rows)
+        assert len({r["host"] for r in seen["rows"]}) == 40
+        for r in seen["rows"]:
+            assert abs(r["_domain_seen"] - math.log1p(10)) < 1e-9 and abs(r["_domain_share"] - (10 + 20 * 0.5) / 30) < 1e-9
+            assert abs(r["_top_seen"] - math.log1p(400)) < 1e-9 and abs(r["_top_share"] - (400 + 20 * 0.5) / 420) < 1e-9
+
+
+def test_copies_of_a_url_are_thinned_evenly(spark, monkeypatch):
+    rows = [(i, "http://a.net/es/1") for i in range(3000)] + [(5000 + i, f"http://a.com/{i}") for i in range(1000)]
+    drawn = {}
+    inner = urls.stage
+
+    def staged(frame, name):
+        out = inner(frame, name)
+        if "_label" in out.columns and "host" in out.columns:
+            drawn["n"] = out.where("_label = 1").count()
+        return out
+
+    monkeypatch.setattr(urls, "stage", staged)
+    urls.filtered(spark.createDataFrame(rows, "page_id long, url string"), RULES, urls.Trees(sample=400, rounds=1))
+    assert 200 < drawn["n"] < 400
+
+
 def test_entropy(spark):
     texts = ["", "a", "ab", "aabb", "abcd", "ééa"]
     frame = spark.createDataFrame([(t,) for t in texts], "t string")
