@@ -1,10 +1,14 @@
 """Benchmark decontamination: q-gram lemma filtering over overlapping diagonal bands, then banded alignment.
 
 Benchmark items are normalised (lower-cased letters and digits, all else one space) and cut into overlapping patterns
-of `pattern` characters, the last one flush with the end. A region of a document that holds a pattern within k edits
-keeps at least len - q + 1 - k*q of its q-grams, all on at most k + 1 neighbouring diagonals. So shared q-grams are
-counted in diagonal bands of twice that width, each overlapping the next by half; bands that reach the bound are kept
-and verified by an alignment restricted to the band.
+of `pattern` characters, the last one flush with the end. They start so densely (`stride` is the edit budget + 1) that what
+is found does not depend on where an excerpt starts: of an item of 96 characters or more, every verbatim excerpt of 87
+normalised characters is found, and every one of 87 + 2e with e edits (9 at most); of a shorter item, the whole less its
+edit budget.
+
+A region of a document that holds a pattern within k edits keeps at least len - q + 1 - k*q of its q-grams, all on at
+most k + 1 neighbouring diagonals. So the q-grams shared with an item are gathered in diagonal bands of twice that width,
+each overlapping the next by half; patterns that reach the bound in a band are verified by an alignment restricted to it.
 
 The benchmark is a query set, held in blocks of bounded size: each block is one broadcast, each document is read once a
 block, whole, in one task; nothing is shuffled.
@@ -32,96 +36,126 @@ class Leaks:
 
     q: int = 8
     pattern: int = 96
-    stride: int = 48
+    stride: int = 10
     rate: float = 0.1
     block_chars: int = 1_000_000
     slice_chars: int = 500_000
 
 
+#: Patterns aligned together (memory only).
+AT_ONCE = 20_000
 FOUND = "item_id long, start long, end long, edits int, patterns int, item_patterns int"
 
 
 class PatternIndex:
-    """Q-grams of one block of the benchmark; plain arrays, so that it can be broadcast."""
+    """Patterns and q-grams of one block of the benchmark; plain arrays, so that it can be broadcast. A q-gram is held once
+    for each place in a text of an item, however many patterns cover it."""
 
     def __init__(self, items: list[tuple[int, str]], leaks: Leaks):
         tables = letter_tables()
-        texts, owners = [], []
+        texts, owners, units, starts = [], [], [], []
         for item, text in items:
             codes, _ = normalise(text, tables)
             if len(codes) < leaks.q:
                 continue
             last = max(len(codes) - leaks.pattern, 0)
             for start in [*range(0, last, leaks.stride), last]:
-                texts.append(codes[start : start + leaks.pattern])
                 owners.append(item)
+                units.append(len(texts))
+                starts.append(start)
+            texts.append(codes)
         self.owner = owners
         self.parts: dict[int, int] = {}
         for item in owners:
             self.parts[item] = self.parts.get(item, 0) + 1
-        self.size = np.array([len(t) for t in texts], np.int64)
-        self.codes = np.zeros((len(texts), leaks.pattern), np.uint32)
-        for i, t in enumerate(texts):
-            self.codes[i, : len(t)] = t
-        self.budget = np.minimum((self.size * leaks.rate).astype(np.int64), np.maximum((self.size - leaks.q) // leaks.q, 0))
-        self.need = self.size - leaks.q + 1 - self.budget * leaks.q
+        lengths = np.array([len(t) for t in texts], np.int64)
+        self.text = np.concatenate(texts).astype(np.uint32) if texts else np.empty(0, np.uint32)
+        unit, self.start = np.array(units, np.int64), np.array(starts, np.int64)
+        self.begin = (np.cumsum(lengths) - lengths)[unit] + self.start
+        self.longest = int(lengths.max(initial=0)) + 1  # keeps (text, place) apart as one number
+        self.order = unit * self.longest + self.start  # ascending
+        self.width = leaks.pattern
+        size = np.minimum(lengths, leaks.pattern)
+        budget = np.minimum((size * leaks.rate).astype(np.int64), np.maximum((size - leaks.q) // leaks.q, 0))
+        self.grams, self.need = size - leaks.q + 1, size - leaks.q + 1 - budget * leaks.q  # of the patterns of a text
+        self.size, self.budget = size[unit], budget[unit]
         grams = [rolling_hash(t, leaks.q) for t in texts]
         hashes = np.concatenate(grams) if grams else np.empty(0, np.uint64)
         order = np.argsort(hashes, kind="stable")
-        self.pattern = np.repeat(np.arange(len(texts)), [len(g) for g in grams])[order].astype(np.int32)
+        self.unit = np.repeat(np.arange(len(texts)), [len(g) for g in grams])[order].astype(np.int32)
         self.place = np.concatenate([np.arange(len(g)) for g in grams] or [np.empty(0, int)])[order].astype(np.int32)
         self.keys, self.first = np.unique(hashes[order], return_index=True)
         self.count = np.diff(np.append(self.first, len(hashes)))
         self.flags = np.zeros(1 << 22, bool)
         self.flags[self.keys >> np.uint64(42)] = True
 
+    @property
+    def codes(self) -> np.ndarray:
+        """The patterns themselves, a row each."""
+        out = np.zeros((len(self.size), self.width), np.uint32)
+        for i, (begin, size) in enumerate(zip(self.begin, self.size)):
+            out[i, :size] = self.text[begin : begin + size]
+        return out
+
+
+def _runs(first: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... of each run, `many` numbers each."""
+    return np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first, many)
+
 
 def _hits(codes: np.ndarray, index: PatternIndex, q: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Every q-gram shared with a pattern: place in the text, pattern, place in the pattern."""
+    """Every q-gram shared with an item's text: place in the document, the item's text, place in it."""
     hashes = rolling_hash(codes, q)
     near = np.flatnonzero(index.flags[hashes >> np.uint64(42)])
     slot = np.minimum(np.searchsorted(index.keys, hashes[near]), len(index.keys) - 1)
     real = index.keys[slot] == hashes[near]
     near, slot = near[real], slot[real]
     many = index.count[slot]
-    within = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-    entry = np.repeat(index.first[slot], many) + within
-    return np.repeat(near, many), index.pattern[entry], index.place[entry]
+    entry = _runs(index.first[slot], many)
+    return np.repeat(near, many), index.unit[entry], index.place[entry]
 
 
 def _bands(codes: np.ndarray, index: PatternIndex, leaks: Leaks, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(pattern, band) pairs that reach the bound; band b covers diagonals [b*width, (b+2)*width)."""
-    at, pattern, place = _hits(codes, index, leaks.q)
+    """(pattern, band) pairs that reach the bound; band b covers diagonals [b*width, (b+2)*width) of the item's text."""
+    at, unit, place = _hits(codes, index, leaks.q)
     if not len(at):
         return at, at
-    low = (at - place) // width
-    shift, bands = leaks.pattern + 1, len(codes) + leaks.pattern + 2  # keeps the numbers packed below from meeting
-    key = pattern.astype(np.int64) * bands + low + shift
+    shift, bands = index.longest + 1, len(codes) + index.longest + 2  # keeps the numbers packed below from meeting
+    key = unit.astype(np.int64) * bands + (at - place) // width + shift
     packed = np.concatenate([key, key - 1])  # a hit counts in both bands that cover its diagonal
-    packed *= leaks.pattern
+    packed *= index.longest
     packed += np.tile(place, 2)
     packed.sort()
-    packed = packed[np.append(True, packed[1:] != packed[:-1])] // leaks.pattern  # a pattern's q-gram counts once a band
-    first = np.flatnonzero(np.append(True, packed[1:] != packed[:-1]))
-    grams, key = np.diff(np.append(first, len(packed))), packed[first]
-    pattern = key // bands
-    kept = grams >= index.need[pattern]
-    return pattern[kept], (key % bands - shift)[kept]
+    packed = packed[np.append(True, packed[1:] != packed[:-1])]  # a q-gram's place counts once a band
+    key, place = np.divmod(packed, index.longest)
+    unit = key // bands
+    # stretches from one shared q-gram to the one with which a pattern would have enough of them
+    end = np.arange(len(key)) + index.need[unit] - 1
+    inside = end < len(key)
+    end = np.minimum(end, len(key) - 1)
+    dense = np.flatnonzero(inside & (key[end] == key) & (place[end] - place < index.grams[unit]))
+    key, unit, first, last = key[dense], unit[dense], place[dense], place[end[dense]]
+    low = np.searchsorted(index.order, unit * index.longest + np.maximum(last - index.grams[unit] + 1, 0))
+    high = np.searchsorted(index.order, unit * index.longest + first, side="right")  # patterns that cover the stretch
+    many = np.maximum(high - low, 0)
+    pairs = np.unique(np.stack([_runs(low, many), np.repeat(key % bands - shift, many)]), axis=1)
+    return pairs[0], pairs[1]
 
 
 def _align(codes: np.ndarray, pattern: np.ndarray, band: np.ndarray, index: PatternIndex, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Fewest edits of each whole pattern against a stretch of the text within its band, and the diagonal where the
     best alignment ends. All candidates advance together, a row of the alignment at a time."""
     margin = width - 1
-    low, lanes = band * width - margin, 2 * width + 2 * margin
+    low, lanes = index.start[pattern] + band * width - margin, 2 * width + 2 * margin
     steps = np.arange(lanes)
     cost = np.zeros((len(pattern), lanes), np.int32)
     size, best, end = index.size[pattern], np.empty(len(pattern), np.int32), np.empty(len(pattern), np.int64)
-    for row in range(index.codes.shape[1]):
+    for row in range(int(size.max())):
         at = low[:, None] + row + steps
         inside = (at >= 0) & (at < len(codes))
         text = np.where(inside, codes[np.clip(at, 0, len(codes) - 1)], 0)
-        new = cost + (text != index.codes[pattern, row][:, None])
+        letter = index.text[np.minimum(index.begin[pattern] + row, len(index.text) - 1)]  # past its end it is not read
+        new = cost + (text != letter[:, None])
         new[:, :-1] = np.minimum(new[:, :-1], cost[:, 1:] + 1)
         cost = np.minimum.accumulate(new - steps, axis=1) + steps
         done = size == row + 1
@@ -141,7 +175,8 @@ def matches(codes: np.ndarray, index: PatternIndex, leaks: Leaks) -> Iterator[tu
         pattern, band = _bands(part, index, leaks, width)
         if not len(pattern):
             continue
-        edits, end = _align(part, pattern, band, index, width)
+        ends = [_align(part, pattern[i : i + AT_ONCE], band[i : i + AT_ONCE], index, width) for i in range(0, len(pattern), AT_ONCE)]
+        edits, end = (np.concatenate(x) for x in zip(*ends))
         for i in np.flatnonzero(edits <= index.budget[pattern]):
             last = min(int(end[i] + index.size[pattern[i]]), len(part))
             yield int(pattern[i]), start + max(last - int(index.size[pattern[i]]), 0), start + last, int(edits[i])

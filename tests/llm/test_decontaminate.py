@@ -59,6 +59,23 @@ def test_same_patterns_as_full_alignment():
         assert got == want
 
 
+def test_excerpts_are_found_wherever_they_start():
+    """87 characters of a long item, and two more for each edit, at every place; with the default settings."""
+    leaks, tables = Leaks(), letter_tables()
+    assert leaks.stride <= int(leaks.pattern * leaks.rate) + 1
+    item = normalise(prose(1, 45), tables)[0]
+    index = PatternIndex([(1, "".join(map(chr, item)))], leaks)
+    for edits in (0, 3):
+        size = 87 + 2 * edits
+        for start in range(len(item) - size + 1):
+            text = "".join(map(chr, item[start : start + size]))
+            for e in range(edits):
+                i = (e + 1) * size // (edits + 1)
+                text = text[:i] + "9" + text[i + 1 :]
+            codes, _ = normalise("0 1 2 3 " * 30 + text + " 4 5 6 7" * 30, tables)
+            assert list(matches(codes, index, leaks)), (edits, start)
+
+
 def test_slices_find_the_same(spark):
     leaks = Leaks()
     small = Leaks(slice_chars=500)
