@@ -114,19 +114,27 @@ def masked_text(formatted: Column, mask: Column) -> Column:
 
 
 def log_of(turns: DataFrame, conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """Finished turns as a log of streamed halves: an opening delta without text and two deltas with one half each.
-    Rows of the same turn follow each other by role and text; repeated rows are turns of their own."""
+    """Finished turns as a log whose folding gives them back. First each turn is streamed as a draft; all drafts are then
+    discarded by regenerations. The new stream of a turn has an opening delta without text, a wrong first half, an edit
+    that puts it right, and a delta with the second half. Rows of the same turn follow each other by role and text; repeated rows are turns of their own."""
     whole = F.coalesce(F.col(text), F.lit(""))
     order = Window.partitionBy(conversation, turn).orderBy(F.col(role).asc_nulls_first(), whole)
     rows = turns.select(F.col(conversation).alias("conversation"), F.col(turn).alias("turn"), F.row_number().over(order).alias("copy"),
                         F.col(role).alias("role"), whole.alias("whole"))
     half = F.floor(F.length("whole") / 2).cast("int")
+    first, second = F.substring("whole", F.lit(1), half), F.substring(F.col("whole"), half + 1, F.length("whole"))
+    no_role, no_text = F.lit(None).cast("string"), F.lit(None).cast("string")
+
+    def event(phase: int, part: int, kind: str, speaker: Column, said: Column) -> Column:
+        return F.struct(F.lit(phase).alias("phase"), F.lit(part).alias("part"), F.lit(kind).alias("kind"), speaker.alias("role"), said.alias("text"))
+
     pieces = F.array(
-        F.struct(F.lit(0).alias("part"), F.col("role").alias("role"), F.lit("").alias("text")),
-        F.struct(F.lit(1).alias("part"), F.lit(None).cast("string").alias("role"), F.substring("whole", F.lit(1), half).alias("text")),
-        F.struct(F.lit(2).alias("part"), F.lit(None).cast("string").alias("role"), F.substring(F.col("whole"), half + 1, F.length("whole")).alias("text")))
+        event(0, 0, "delta", F.lit("draft"), F.lit("draft: ")), event(0, 1, "delta", no_role, F.reverse("whole")),
+        event(1, 0, "regenerate", no_role, no_text),
+        event(2, 0, "delta", F.col("role"), F.lit("")), event(2, 1, "delta", no_role, F.concat(F.lit("wrong: "), F.reverse(first))),
+        event(2, 2, "edit", F.col("role"), first), event(2, 3, "delta", no_role, second))
     return rows.select("conversation", "turn", "copy", F.explode(pieces).alias("p")).select(
-        "conversation", "turn", "copy", F.struct("turn", "copy", "p.part").alias("seq"), F.lit("delta").alias("kind"), "p.role", "p.text")
+        "conversation", "turn", "copy", F.struct("p.phase", "turn", "copy", "p.part").alias("seq"), "p.kind", "p.role", "p.text")
 
 
 def format_log(events: DataFrame, conversation: str, message: list[str], seq: str = "seq") -> DataFrame:

@@ -64,6 +64,20 @@ def test_repeated_rows_and_ties(spark):
     assert chat.format_log(chat.log_of(empty), "conversation", ["turn", "copy"]).count() == 0
 
 
+def test_log_of_turns_needs_folding(spark):
+    """Every message is drafted, discarded, streamed anew and edited; folding alone gives the turns back."""
+    rows = [(c, t, "user" if t % 2 else "assistant", TEXTS[(c + t) % len(TEXTS)]) for c in range(6) for t in range(c + 1)]
+    log = chat.log_of(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    kinds = {}
+    for r in log.collect():
+        kinds.setdefault((r["conversation"], r["turn"]), []).append(r["kind"])
+    assert len(kinds) == len(rows) and all({"delta", "edit", "regenerate"} == set(k) for k in kinds.values())
+    got = [(r["conversation"], r["turn"], r["role"], r["text"]) for r in chat.fold(log, "conversation", ["turn", "copy"]).collect()]
+    assert sorted(got) == sorted((c, t, role, text or "") for c, t, role, text in rows)
+    assert chat.fold(log.where("kind <> 'edit'"), "conversation", ["turn", "copy"]).where("text LIKE '%wrong: %'").count() == len(rows)
+    assert chat.fold(log.where("kind <> 'regenerate' AND kind <> 'edit'"), "conversation", ["turn", "copy"]).where("text LIKE 'draft: %'").count() == len(rows)
+
+
 def test_tricky_conversation_of_the_query(spark, sf):
     from freightlens.llm.queries import QUERIES, TRICKY
 
