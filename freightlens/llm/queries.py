@@ -1,4 +1,4 @@
-"""Registered queries of this folder: the ten operators over their whole tables, and the pipeline."""
+"""Registered queries of this folder: the operators over their whole tables, and the pipeline."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from freightlens.llm import chat, decontaminate, fingerprints, langid, licenses, packing, secrets, simhash, urls, warc
+from freightlens.llm import chat, decontaminate, exact, fim, fingerprints, langid, licenses, negatives, packing, secrets, simhash, urls, warc
 from freightlens.llm.tables import read
 from freightlens.session import stage
 
@@ -153,6 +153,73 @@ def document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         fingerprints.likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"))
 
 
+FIM_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS drawn FROM documents),
+h AS (
+  SELECT doc_id, text, CAST(length(text) AS BIGINT) AS n, CAST('0x' || substr(drawn, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(drawn, 9, 8) AS BIGINT) AS h2,
+         CAST('0x' || substr(drawn, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(drawn, 25, 8) AS BIGINT) AS h4 FROM d),
+f AS (
+  SELECT doc_id, text, n, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+              WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT *, substr(text, 1, a) AS prefix, substr(text, a + 1, b - a) AS middle, substr(text, b + 1) AS suffix FROM f)
+SELECT doc_id, n, form, CASE WHEN form = 'plain' THEN NULL ELSE a END AS prefix_chars, CASE WHEN form = 'plain' THEN NULL ELSE b - a END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+              ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(text) AS restored_sha256
+FROM p
+"""
+
+
+@query("op11_fill_in_middle", FIM_SQL)
+def fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents rearranged, and restored from what was written."""
+    written = fim.transformed(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    named = written.select("doc_id", "fim.n", "fim.form", "fim.prefix_chars", "fim.middle_chars", "fim.output", "fim.output_sha256")
+    back = fim.restored(named, "output", "form")
+    return back.select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", F.col("restored.sha256").alias("restored_sha256"))
+
+
+NEGATIVES_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, CAST(list_inner_product(a.e, b.e) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+SELECT p.anchor_id, p.other_id AS positive_id, CAST(row_number() OVER w AS INT) AS rank, n.other_id AS negative_id,
+       p.score AS positive_score, n.score AS negative_score
+FROM p JOIN s n ON n.anchor_id = p.anchor_id AND NOT n.same AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score
+WINDOW w AS (PARTITION BY p.anchor_id, p.other_id ORDER BY n.score DESC, n.other_id)
+QUALIFY row_number() OVER w <= 3
+"""
+
+
+@query("op12_hard_negatives", NEGATIVES_SQL)
+def hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hard negatives of every anchor's nearest positives, over all embeddings."""
+    vectors = read(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"))
+    return negatives.mine(vectors, F.col("vec_id") % 50 == 0)
+
+
+EXACT_SQL = """
+WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+g AS (SELECT text, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY text)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(text) AS text_sha256 FROM d JOIN g USING (text)
+"""
+
+
+@query("op13_exact_dedup", EXACT_SQL)
+def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The group of equal texts of every document."""
+    found = exact.groups(read(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), F.col("keep").alias("keep_id"), F.col("size").alias("group_size"),
+                        F.col("id").eqNullSafe(F.col("keep")).alias("kept"), F.col("digest").alias("text_sha256"))
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus pipeline, all stages."""
