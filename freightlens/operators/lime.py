@@ -1,14 +1,16 @@
-"""Local surrogate explanations by perturbation, scored with any model.
+"""Local surrogate explanations from one shared sample of perturbed shipments, scored with any model.
 
-Each explained row gets `samples` perturbed copies. A copy keeps or redraws the quartile of each
-continuous feature (or the level of a categorical one) from training frequencies; draws are
-hashes of (row, copy, feature). The copies are scored like ordinary rows and summed up per row where
-they were made; the weighted ridge fit of a row needs those sums alone.
+A perturbed copy draws a bin for each feature (the quartile of a continuous one, the level of a categorical one) from
+training frequencies, and a value within it; neither depends on the row that is explained, only the pattern of bins that
+the copy shares with the row does. So `samples` copies are drawn and scored once for all rows. They are a table of bin
+numbers and predictions, of a size that the caller sets, and each row's weighted ridge is solved from it in one pass. Rows
+of a batch that fall in the same bins share their sums and differ by their own prediction only.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from statistics import NormalDist
 from typing import Callable
 
 import numpy as np
@@ -16,16 +18,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from freightlens.functions.quantiles import exact_quantiles
-from freightlens.functions.scalars import hash01
 from freightlens.sources.shipments import ID
 
 
 @dataclass(frozen=True)
 class Bins:
-    """Per feature: ordered (low, high, share) intervals for continuous, (value, value, share) for categorical features."""
+    """Per feature: ordered (low, high, share, mean, deviation) of the bins; a level is a bin from its value to itself."""
 
-    continuous: dict[str, list[tuple[float, float, float]]]
-    categorical: dict[str, list[tuple[float, float, float]]]
+    continuous: dict[str, list[tuple[float, float, float, float, float]]]
+    categorical: dict[str, list[tuple[float, float, float, float, float]]]
 
     def all(self):
         return {**self.continuous, **self.categorical}
@@ -38,15 +39,17 @@ def fit_bins(train: DataFrame, continuous: list[str], categorical: list[str] = (
     for c, q in cuts.items():
         edges = sorted(set(q))
         made[c] = list(zip(edges[:-1], edges[1:])) or [(edges[0], edges[0])]
-    counted = train.agg(F.count("*").alias("n"), *[
-        F.count_if(_in_bin(F.col(c), b, i)).alias(f"{c}__{i}") for c, bins in made.items() for i, b in enumerate(bins)
-    ]).first()
-    n = max(counted["n"], 1)
-    cont = {c: [(lo, hi, counted[f"{c}__{i}"] / n) for i, (lo, hi) in enumerate(bins)] for c, bins in made.items()}
+    inside = lambda c, b, i: F.when(_in_bin(F.col(c), b, i), F.col(c))
+    seen = train.agg(F.count("*").alias("n"), *[
+        f(inside(c, b, i)).alias(f"{c}__{i}_{k}") for c, bins in made.items() for i, b in enumerate(bins)
+        for k, f in (("n", F.count), ("mean", F.avg), ("sd", F.stddev_pop))]).first()
+    n = max(seen["n"], 1)
+    cont = {c: [(lo, hi, seen[f"{c}__{i}_n"] / n, seen[f"{c}__{i}_mean"] or lo, seen[f"{c}__{i}_sd"] or 0.0) for i, (lo, hi) in enumerate(bins)]
+            for c, bins in made.items()}
     cat = {}
     for c in categorical:
         levels = train.groupBy(c).agg(F.count("*").alias("n")).orderBy(c).collect()  # codes of one feature
-        cat[c] = [(float(r[0]), float(r[0]), r["n"] / n) for r in levels if r[0] is not None]
+        cat[c] = [(float(r[0]), float(r[0]), r["n"] / n, float(r[0]), 0.0) for r in levels if r[0] is not None]
     return Bins(cont, cat)
 
 
@@ -62,54 +65,66 @@ def _bin_of(value: Column, bins) -> Column:
     return out
 
 
-def perturb(rows: DataFrame, bins: Bins, samples: int, seed: int = 42) -> DataFrame:
-    """(ID, _s, features..., _z): copy 0 is the row itself; `_z` marks which features stayed in their bin."""
-    copies = rows.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
-    # draws come from a one-element generator, so that each is hashed once however often it is read
-    draws = [hash01(F.col(ID), F.col("_s"), F.lit(j), F.lit(seed + k)) for j in range(len(bins.all())) for k in (0, 1)]
-    copies = copies.select("*", F.explode(F.array(F.array(*draws))).alias("_draws"))
-    values, same = {}, []
-    for j, (c, parts) in enumerate(bins.all().items()):
-        u, v = F.get("_draws", F.lit(2 * j)), F.get("_draws", F.lit(2 * j + 1))
-        shares = np.cumsum([p[2] for p in parts])
-        picked = F.lit(len(parts) - 1)
-        for i in range(len(parts) - 2, -1, -1):
-            picked = F.when(u < float(shares[i] / shares[-1]), i).otherwise(picked)
-        low = F.get(F.array(*[F.lit(float(p[0])) for p in parts]), picked)
-        high = F.get(F.array(*[F.lit(float(p[1])) for p in parts]), picked)
-        values[c] = F.when(F.col("_s") == 0, F.col(c).cast("double")).otherwise(low + v * (high - low))
-        same.append(F.when(F.col("_s") == 0, 1.0).otherwise((picked == _bin_of(F.col(c), parts)).cast("double")))
-    return copies.select(ID, "_s", *[v.alias(c) for c, v in values.items()], F.array(*same).alias("_z"))
+def within(part: tuple, u: float) -> float:
+    """The value at probability u of the normal law with the bin's mean and deviation, cut to the bin."""
+    low, high, _, mean, deviation = part
+    if high <= low or deviation <= 0:
+        return float(min(max(mean, low), high))
+    law = NormalDist(mean, deviation)
+    below, above = law.cdf(low), law.cdf(high)
+    inner = below + u * (above - below)
+    return float(min(max(law.inv_cdf(inner), low), high)) if 0 < inner < 1 else low + u * (high - low)
+
+
+def perturb(spark, bins: Bins, samples: int, seed: int = 42) -> DataFrame:
+    """(_s, _bins, features...): copies 1 to samples - 1, each drawn from its own number, so a repeated task repeats them."""
+    parts = bins.all()
+    shares = {c: np.cumsum([p[2] for p in held]) / max(sum(p[2] for p in held), 1e-300) for c, held in parts.items()}
+
+    def draw(batches):
+        for pdf in batches:
+            rows = []
+            for s in pdf["_s"].tolist():
+                u = np.random.default_rng([seed, s]).random((len(parts), 2))
+                picked = [min(int(np.searchsorted(shares[c], u[j, 0], "right")), len(held) - 1) for j, (c, held) in enumerate(parts.items())]
+                rows.append([s, picked, *(within(held[i], u[j, 1]) for j, (i, held) in enumerate(zip(picked, parts.values())))])
+            yield pd.DataFrame(rows, columns=["_s", "_bins", *parts])
+
+    numbers = spark.range(1, max(samples, 1)).withColumnRenamed("id", "_s")
+    return numbers.mapInPandas(draw, "_s long, _bins array<int>, " + ", ".join(f"`{c}` double" for c in parts))
 
 
 def explain_rows(rows: DataFrame, bins: Bins, predict: Callable[[DataFrame], DataFrame], samples: int = 5000,
                  top: int = 10, seed: int = 42, ridge: float = 1.0) -> DataFrame:
     """(ID, intercept, local_prediction, contributions): weights of the `top` features around each row.
 
-    `predict` maps a frame of features to the same frame with a probability column `p`.
+    `predict` maps a frame of features to the same frame with a probability column `p`. Copy 0 is the row itself. A missing
+    value shares no bin with any copy; rows without a prediction have no explanation.
     """
     names = list(bins.all())
     size, width = len(names), 0.75 * np.sqrt(len(names))
-    kept = sum((F.shiftleft(F.get("_z", F.lit(j)).cast("long"), j) for j in range(1, size)), F.get("_z", F.lit(0)).cast("long"))
-    spread = rows.select(ID, *names).repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), ID)  # few rows become many
-    scored = predict(perturb(spread, bins, samples, seed)).select(ID, kept.alias("kept"), "p")
-
-    def add_up(batches):
-        """Weighted sums of products of [1, features kept, prediction], for each row's copies in a batch."""
-        for pdf in batches:
-            z = (pdf["kept"].to_numpy()[:, None] >> np.arange(size) & 1).astype(float)
-            x = np.column_stack([np.ones(len(z)), z, pdf["p"].to_numpy(dtype=float)])
-            x *= np.exp(-(size - z.sum(axis=1)) / width**2)[:, None] ** 0.25  # the square root of the weight, on both sides
-            codes, ids = pd.factorize(pdf[ID])
-            order = np.argsort(codes, kind="stable")
-            parts = np.split(x[order], np.flatnonzero(np.diff(codes[order])) + 1) if len(ids) else []
-            yield pd.DataFrame({ID: ids, "sums": [(part.T @ part).ravel() for part in parts]})
+    design = predict(perturb(rows.sparkSession, bins, samples, seed)).select("_s", "_bins", "p").where("p IS NOT NULL").orderBy("_s").collect()
+    drawn = np.array([r["_bins"] for r in design], np.int16).reshape(-1, size)  # `samples` rows, whatever the data
+    found = np.array([r["p"] for r in design], float)
+    shared = rows.sparkSession.sparkContext.broadcast((drawn, found))
+    codes = F.array(*[F.coalesce(F.when(F.col(c).isNotNull(), _bin_of(F.col(c), parts)), F.lit(-1)) for c, parts in bins.all().items()])
+    own = predict(rows.select(ID, *names)).where("p IS NOT NULL").select(ID, "p", codes.alias("codes"))
+
+    def sums_of(pattern: np.ndarray) -> np.ndarray:
+        """Weighted sums of products of [1, features kept, prediction] over all copies."""
+        drawn, found = shared.value
+        kept = (drawn == pattern).astype(float)
+        x = np.column_stack([np.ones(len(kept)), kept, found])
+        return x.T @ (x * np.exp(-(size - kept.sum(axis=1)) / width**2)[:, None] ** 0.5)
 
     def solve(batches):
         for pdf in batches:
-            out = []
-            for key, parts in zip(pdf[ID], pdf["parts"]):
-                m = np.sum([np.asarray(p) for p in parts], axis=0).reshape(size + 2, size + 2)
+            patterns = np.stack(pdf["codes"].to_numpy()) if len(pdf) else np.zeros((0, size), int)
+            held, group = np.unique(patterns, axis=0, return_inverse=True)
+            sums, out = [sums_of(p) for p in held], []
+            for key, p, g in zip(pdf[ID], pdf["p"], np.ravel(group)):
+                itself = np.concatenate([np.ones(size + 1), [p]])  # all features kept: weight one
+                m = sums[g] + np.outer(itself, itself)
                 mean, centre = m[0, 1:-1] / m[0, 0], m[0, -1] / m[0, 0]
                 xx, xy = m[1:-1, 1:-1] - m[0, 0] * np.outer(mean, mean), m[1:-1, -1] - m[0, 0] * mean * centre
                 coef = _ridge(xx, xy, np.arange(size), ridge)
@@ -119,9 +134,7 @@ def explain_rows(rows: DataFrame, bins: Bins, predict: Callable[[DataFrame], Dat
                 out.append((key, intercept, intercept + float(coef.sum()), [names[best[i]] for i in order], [float(coef[i]) for i in order]))
             yield pd.DataFrame(out, columns=[ID, "intercept", "local_prediction", "feature", "weight"])
 
-    # copies stand together, so a row has a few partial sums: one for each batch that its copies reach into
-    partial = scored.mapInPandas(add_up, f"{ID} string, sums array<double>").groupBy(ID).agg(F.collect_list("sums").alias("parts"))
-    solved = partial.mapInPandas(solve, f"{ID} string, intercept double, local_prediction double, feature array<string>, weight array<double>")
+    solved = own.mapInPandas(solve, f"{ID} string, intercept double, local_prediction double, feature array<string>, weight array<double>")
     both = F.arrays_zip("feature", "weight")
     return solved.select(ID, "intercept", "local_prediction", F.transform(both, lambda c: F.struct(
         c["feature"].alias("feature"), c["weight"].alias("weight"),

@@ -128,10 +128,17 @@ def test_local_surrogate_equals_a_direct_weighted_ridge(spark, rows):
     scored = linear.score(rows)
     names = list(linear.DEMO.weights)
     bins, two = lime.fit_bins(scored, names), scored.orderBy(ID).limit(2).select(ID, *names)
-    copies = linear.score(lime.perturb(two, bins, 300)).select(ID, "_z", "p").collect()
+    copies = linear.score(lime.perturb(spark, bins, 300)).collect()
     got = {r[ID]: r for r in lime.explain_rows(two, bins, linear.score, 300, len(names)).collect()}
+    own = {r[ID]: r for r in linear.score(two).collect()}
+    for c in copies:  # every value stands in the bin that was drawn
+        for n, i in zip(names, c["_bins"]):
+            assert bins.all()[n][i][0] <= c[n] <= bins.all()[n][i][1]
+    assert len(copies) == 299 and got.keys() == own.keys()
     for key, r in got.items():
-        z, y = (np.array([c[k] for c in copies if c[ID] == key]) for k in ("_z", "p"))
+        place = [next((i for i, p in enumerate(bins.all()[n]) if own[key][n] <= p[1]), len(bins.all()[n]) - 1) for n in names]
+        z = np.array([[1.0] * len(names)] + [[float(a == b) for a, b in zip(c["_bins"], place)] for c in copies])
+        y = np.array([own[key]["p"]] + [c["p"] for c in copies])
         w = np.sqrt(np.exp(-((z - 1) ** 2).sum(1) / (0.75**2 * len(names))))
         mx, my = w @ z / w.sum(), w @ y / w.sum()
         coef = np.linalg.solve((z - mx).T @ ((z - mx) * w[:, None]) + np.eye(len(names)), ((z - mx) * w[:, None]).T @ (y - my))
@@ -139,6 +146,28 @@ def test_local_surrogate_equals_a_direct_weighted_ridge(spark, rows):
         assert r["intercept"] == pytest.approx(my - mx @ coef)
 
 
+def test_draws_within_a_bin_follow_the_cut_normal_law():
+    part = (0.0, 2.0, 0.25, 0.5, 0.4)
+    values = [lime.within(part, (i + 0.5) / 2000) for i in range(2000)]
+    assert values == sorted(values) and 0.0 <= values[0] and values[-1] <= 2.0
+    points = np.linspace(0, 2, 200_001)
+    weight = np.exp(-((points - 0.5) ** 2) / (2 * 0.4**2))
+    assert np.mean(values) == pytest.approx((points * weight).sum() / weight.sum(), abs=1e-3)
+    assert lime.within((1.0, 1.0, 0.5, 1.0, 0.0), 0.3) == 1.0 and 5.0 <= lime.within((5.0, 6.0, 0.1, -90.0, 0.1), 0.5) <= 6.0
+
+
+def test_rows_with_missing_values_or_no_prediction(spark, rows):
+    scored = linear.score(rows)
+    names = list(linear.DEMO.weights)
+    bins = lime.fit_bins(scored, names)
+    holes = scored.orderBy(ID).limit(3).select(ID, *names).withColumn(names[0], F.when(F.lit(False), 1.0))
+    assert lime.explain_rows(holes, bins, linear.score, 50).count() == 0  # the linear model has no prediction then
+    steady = lambda df: df.withColumn("p", F.lit(0.25))
+    out = lime.explain_rows(holes, bins, steady, 50).collect()
+    assert len(out) == 3 and all(r["local_prediction"] == pytest.approx(0.25) for r in out)
+    assert lime.explain_rows(scored.limit(0).select(ID, *names), bins, linear.score, 50).count() == 0
+
+
 def test_attributions_of_a_small_tree_equal_all_subsets():
     """Three features and a leaf per branch: the mean over all orders of features."""
     from itertools import permutations
