@@ -1,24 +1,26 @@
-"""Classifiers on Spark ML behind one small interface: fit on a training table, score any table."""
+"""Classifiers behind one small interface: fit on a training table, score any table. Trees are this package's histogram
+trees, logistic models Spark ML's."""
 
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
+from contextvars import copy_context
 from dataclasses import dataclass, field, replace
 from functools import reduce
+from math import ceil, isqrt
 
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, functions as F
 
 from freightlens.functions.scalars import ratio
-from freightlens.operators import balance, features, linear
+from freightlens.operators import balance, features, linear, trees
 from freightlens.operators.folds import hashed_order, stratified_folds
-from freightlens.operators.metrics import confusion_aggregates
 from freightlens.session import stage
 from freightlens.sources.shipments import ID, TARGET
 
@@ -35,13 +37,14 @@ class Settings:
     feature_share: str = "0.8"
     min_rows: int = 1
     min_gain: float = 0.0
+    leaf_penalty: float = 1.0
     categorical: bool = False
     encode: bool = False
     seed: int = 42
     grid: tuple[float, ...] = (0.001, 0.01, 0.1, 1.0, 10.0)
 
 
-# The default settings of each model. Forest depth is unbounded; 30 is the deepest that the learner grows.
+# The default settings of each model. Forest depth is unbounded; 30 stands for that.
 PRESETS = {
     "gbt_a": Settings(),
     "gbt_b": Settings(depth=5, categorical=True),
@@ -57,7 +60,17 @@ SEARCH_SPACES = {
     "gbt_b": {"depth": (4, 6), "rate": (0.01, 0.3), "rounds": (100, 1000), "subsample": (0.6, 1.0), "feature_share": (0.6, 1.0), "min_rows": (5, 50)},
     "gbt_c": {"depth": (4, 10), "rate": (0.01, 0.3), "rounds": (100, 1000)},
 }
-TRIALS_AT_ONCE = 4
+#: Independent folds that are fitted at once.
+FOLDS_AT_ONCE = 5
+
+
+@dataclass
+class TreeModel:
+    """Trees as flat arrays, and the coding of inputs that they read."""
+
+    coding: trees.Coding
+    trees: list[np.ndarray]
+    boosted: bool
 
 
 @dataclass
@@ -70,17 +83,20 @@ class Fitted:
     stats: dict = field(default_factory=dict)
     encoding: dict = field(default_factory=dict)
 
-    def vectors(self, df: DataFrame) -> DataFrame:
-        """The rows with `_features`, exactly as the learner sees them; original columns are left alone."""
-        rows = _encode_with(df, self.encoding) if self.encoding else df
+    def ready(self, df: DataFrame) -> DataFrame:
+        """The rows with all inputs of the model."""
+        return _encode_with(df, self.encoding) if self.encoding else df
+
+    def score(self, df: DataFrame, name: str = "p") -> DataFrame:
+        keep = [c for c in df.columns if c != name]
+        if isinstance(self.model, TreeModel):
+            value = trees.probability([F.col(c) for c in self.inputs], self.model.coding, self.model.trees, self.model.boosted, df.sparkSession)
+            return self.ready(df).select(*keep, value.alias(name))
+        rows = self.ready(df)
         scaled = {c: (F.col(c) - F.lit(self.stats[c][0])) / F.lit(self.stats[c][1] or 1.0) if self.stats else F.col(c) for c in self.inputs}
         rows = rows.select(*df.columns, F.struct(*[v.cast("double").alias(c) for c, v in scaled.items()]).alias("_in"))
         seen = rows.select(F.struct(*df.columns).alias("_keep"), "_in.*")
-        return PipelineModel(self.model.stages[:-1]).transform(seen).select("_keep.*", "_features")
-
-    def score(self, df: DataFrame, name: str = "p") -> DataFrame:
-        out = self.model.stages[-1].transform(self.vectors(df))
-        return out.withColumn(name, vector_to_array("probability")[1]).select(*[c for c in df.columns if c != name], name)
+        return self.model.transform(seen).select("_keep.*", vector_to_array("probability")[1].alias("_p")).select(*keep, F.col("_p").alias(name))
 
 
 def target_encode(df: DataFrame, columns: list[str], fold: str = "fold", label: str = TARGET, strength: float = 10.0) -> DataFrame:
@@ -123,44 +139,59 @@ def _encode_with(df: DataFrame, encoding: dict) -> DataFrame:
 
 
 def fit(train: DataFrame, inputs: list[str], settings: Settings, label: str = TARGET, staged: bool = False) -> Fitted:
-    """Train on rows with ID, inputs, label and, if present, `weight`; rows that are `staged` and used as they are, are not
-    written again."""
-    stats, encoding, used = {}, {}, list(inputs)
-    if settings.encode:
-        codes = [c for c in features.CATEGORICAL if c in inputs]
-        encoding = _fit_encoding(train, codes, label)
-        train = target_encode(stage(stratified_folds(train, 5, hashed_order(), label, name="_fold"), "encode"), codes, "_fold", label)
-        used = [f"{c}_te" if c in codes else c for c in inputs]
-    if settings.kind == "logistic":
-        stats = features.fit_standard(train, used)
-        train = features.standardize(train, stats)
+    """Train on rows with ID, inputs, label and, if present, `weight`; rows that are `staged` are not written again."""
+    return fit_all(train, inputs, [settings], label, staged)[0]
+
+
+def fit_all(train: DataFrame, inputs: list[str], settings: list[Settings], label: str = TARGET, staged: bool = False) -> list[Fitted]:
+    """Train several models on the same rows. Those that read the same inputs in the same form share all preparation: codes,
+    bins and coded rows are made once, and the ensembles grow side by side."""
     if "weight" not in train.columns:
         train = balance.with_class_weight(train, label)
-    rows = train.select(ID, *[F.col(c).cast("double").alias(c) for c in used], F.col(label).cast("double").alias(label), "weight")
-    if not staged or settings.encode or stats:
-        rows = stage(rows, "train")
-    levels = [c for c in features.CATEGORICAL if c in used] if settings.categorical else []
-    steps, common = [], dict(featuresCol="_features", labelCol=label, weightCol="weight")
-    if levels:  # the declared columns, however many levels they have
-        indexer = StringIndexer(inputCols=levels, outputCols=[f"_level_{c}" for c in levels], stringOrderType="alphabetAsc", handleInvalid="keep")
-        steps.append(indexer.fit(rows))
-    steps.append(VectorAssembler(inputCols=[f"_level_{c}" if c in levels else c for c in used], outputCol="_features", handleInvalid="keep"))
-    if settings.kind in ("gbt", "forest"):
-        common["maxBins"] = max([32, *(len(x) + 2 for x in (steps[0].labelsArray if levels else []))])
-    if settings.kind == "gbt":
-        learner = GBTClassifier(
-            maxIter=settings.rounds, maxDepth=settings.depth, stepSize=settings.rate, subsamplingRate=settings.subsample,
-            featureSubsetStrategy=settings.feature_share, minInstancesPerNode=settings.min_rows, minInfoGain=settings.min_gain,
-            seed=settings.seed, **common)
-    elif settings.kind == "forest":
-        learner = RandomForestClassifier(
-            numTrees=settings.rounds, maxDepth=settings.depth, featureSubsetStrategy=settings.feature_share,
-            minInstancesPerNode=settings.min_rows, seed=settings.seed, **common)
-    elif settings.kind == "logistic":
-        learner = _logistic_grid(steps, rows, settings, label, common) if len(settings.grid) > 1 else LogisticRegression(
-            maxIter=settings.rounds, regParam=_penalty(settings.grid[0], rows.count()), standardization=False, **common)
-    else:
-        raise ValueError(f"unknown learner {settings.kind!r}")
+        staged = False
+    train = train if staged else stage(train.select(ID, *inputs, label, "weight"), "train")
+    out: list = [None] * len(settings)
+    groups: dict[tuple, list[int]] = {}
+    for i, s in enumerate(settings):
+        groups.setdefault((s.kind == "logistic" and i, s.encode, s.categorical), []).append(i)
+    for (_, encode, categorical), members in groups.items():
+        rows, used, encoding = _encoded(train, inputs, label) if encode else (train, list(inputs), {})
+        if settings[members[0]].kind == "logistic":
+            for i in members:
+                out[i] = _fit_logistic(rows, used, settings[i], label, encoding)
+            continue
+        coding = trees.fit_coding(rows, used, [c for c in features.CATEGORICAL if c in used] if categorical else [])
+        coded = stage(trees.coded(rows, used, coding, label, "weight"), "coded")
+        specs = [_spec(settings[i], len(used)) for i in members]
+        for i, spec, grown in zip(members, specs, trees.fit_many(coded, specs, coding)):
+            out[i] = Fitted(settings[i], used, TreeModel(coding, grown, spec.boosted), {}, encoding)
+    return out
+
+
+def _spec(s: Settings, width: int) -> trees.Spec:
+    if s.kind not in ("gbt", "forest"):
+        raise ValueError(f"unknown learner {s.kind!r}")
+    boosted = s.kind == "gbt"
+    share = {"all": width, "auto": width if boosted else max(isqrt(width), 1)}
+    picks = share[s.feature_share] if s.feature_share in share else max(ceil(float(s.feature_share) * width), 1)
+    return trees.Spec(boosted, s.rounds, s.depth, picks, s.rate if boosted else 1.0, s.subsample, s.min_rows, s.min_gain,
+                      s.leaf_penalty if boosted else 0.0, s.seed)
+
+
+def _encoded(train: DataFrame, inputs: list[str], label: str) -> tuple[DataFrame, list[str], dict]:
+    """Rows whose categories are replaced by out-of-fold codes, the inputs then, and the codes for scoring."""
+    columns = [c for c in features.CATEGORICAL if c in inputs]
+    folded = stage(stratified_folds(train, 5, hashed_order(), label, name="_fold"), "encode")
+    return target_encode(folded, columns, "_fold", label), [f"{c}_te" if c in columns else c for c in inputs], _fit_encoding(train, columns, label)
+
+
+def _fit_logistic(train: DataFrame, used: list[str], settings: Settings, label: str, encoding: dict) -> Fitted:
+    stats = features.fit_standard(train, used)
+    rows = features.standardize(train, stats).select(ID, *[F.col(c).cast("double").alias(c) for c in used], F.col(label).cast("double").alias(label), "weight")
+    rows = stage(rows, "train")
+    steps, common = [VectorAssembler(inputCols=used, outputCol="_features", handleInvalid="keep")], dict(featuresCol="_features", labelCol=label, weightCol="weight")
+    learner = _logistic_grid(steps, rows, settings, label, common) if len(settings.grid) > 1 else LogisticRegression(
+        maxIter=settings.rounds, regParam=_penalty(settings.grid[0], rows.count()), standardization=False, **common)
     return Fitted(settings, used, Pipeline(stages=[*steps, learner]).fit(rows), stats, encoding)
 
 
@@ -192,39 +223,50 @@ def draw_settings(base: Settings, trial: int, seed: int = 42, space: dict = SEAR
     return replace(base, **picked)
 
 
-def trial_objective(model: Fitted, tune: DataFrame, label: str = TARGET, recall_floor: float = 0.95) -> float:
-    """F1 at a cut of one half, minus ten when recall misses the floor."""
-    row = model.score(tune).agg(*confusion_aggregates("p", label, 0.5)).first()
-    f1 = 2 * row["tp"] / max(2 * row["tp"] + row["fp"] + row["fn"], 1)
-    recall = row["tp"] / max(row["tp"] + row["fn"], 1)
-    return f1 if recall >= recall_floor else f1 - 10.0
+def trial_objectives(models: list[Fitted], tune: DataFrame, label: str = TARGET, recall_floor: float = 0.95) -> list[float]:
+    """F1 at a cut of one half, minus ten when recall misses the floor. Models over the same inputs and bins: rows are coded
+    and read once for all of them."""
+    first = models[0]
+    values = trees.probabilities([F.col(c) for c in first.inputs], first.model.coding, [m.model.trees for m in models],
+                                 [m.model.boosted for m in models], tune.sparkSession)
+    scored = first.ready(tune).select(F.col(label).alias("y"), values.alias("p"))
+    called = lambda i: F.get("p", F.lit(i)) >= 0.5
+    row = scored.agg(F.count_if("y = 1").alias("all"), *[
+        F.count_if(called(i) & (F.col("y") == k)).alias(f"{n}{i}") for i in range(len(models)) for n, k in (("tp", 1), ("fp", 0))]).first()
+    out = []
+    for i in range(len(models)):
+        tp, fp = row[f"tp{i}"], row[f"fp{i}"]
+        f1 = 2 * tp / max(tp + fp + row["all"], 1)
+        out.append(f1 if tp / max(row["all"], 1) >= recall_floor else f1 - 10.0)
+    return out
 
 
 def random_search(train: DataFrame, tune: DataFrame, inputs: list[str], base: Settings, n_trials: int = 30, seed: int = 42,
                   space: dict = SEARCH_SPACES["gbt_a"], label: str = TARGET) -> tuple[Settings, list[tuple[int, Settings, float]]]:
-    """Best settings of `n_trials` random points and the log of all trials; a few trials run at once on the same staged rows."""
-    train = train if "weight" in train.columns else balance.with_class_weight(train, label)
-    train, tune = stage(train, "search-train"), stage(tune, "search-tune")
-
-    def attempt(trial: int) -> tuple[int, Settings, float]:
-        settings = draw_settings(base, trial, seed, space)
-        return trial, settings, trial_objective(fit(train, inputs, settings, label, staged=True), tune, label)
-
-    with ThreadPoolExecutor(TRIALS_AT_ONCE) as pool:
-        log = list(pool.map(attempt, range(n_trials)))
+    """Best settings of `n_trials` random points and the log of all trials, which are fitted and judged together."""
+    drawn = [draw_settings(base, trial, seed, space) for trial in range(n_trials)]
+    found = trial_objectives(fit_all(train, inputs, drawn, label), stage(tune, "search-tune"), label)
+    log = list(zip(range(n_trials), drawn, found))
     return max(log, key=lambda t: t[2])[1], log
 
 
 def oof_predictions(df: DataFrame, inputs: list[str], settings: dict[str, Settings], n_folds: int = 5, label: str = TARGET) -> DataFrame:
-    """(ID, label, fold, p_<name>...): every row scored by models that never saw it."""
+    """(ID, label, fold, p_<name>...): every row scored by models that never saw it. Folds are fitted side by side."""
     rows = stage(stratified_folds(df.select(ID, *inputs, label), n_folds, hashed_order(), label), "oof")
-    parts = []
-    for f in range(n_folds):
+
+    def one(f: int) -> DataFrame:
         train, test = rows.where(F.col("fold") != f), rows.where(F.col("fold") == f)
-        for name, s in settings.items():
-            test = fit(train, inputs, s, label).score(test, f"p_{name}")
-        parts.append(test.select(ID, label, "fold", *[f"p_{n}" for n in settings]))
-    return reduce(DataFrame.unionByName, parts)
+        for name, model in zip(settings, fit_all(train, inputs, list(settings.values()), label)):
+            test = model.score(test, f"p_{name}")
+        return test.select(ID, label, "fold", *[f"p_{n}" for n in settings])
+
+    return reduce(DataFrame.unionByName, at_once(one, range(n_folds)))
+
+
+def at_once(work, items, most: int = FOLDS_AT_ONCE) -> list:
+    """Independent pieces of work in a bounded pool, results in order; each thread sees the caller's staging scope."""
+    with ThreadPoolExecutor(most) as pool:
+        return [f.result() for f in [pool.submit(copy_context().run, work, x) for x in items]]
 
 
 @dataclass
@@ -245,11 +287,11 @@ class Ensemble:
 
 
 def fit_vote(train: DataFrame, inputs: list[str], settings: dict[str, Settings], weights=None, label: str = TARGET) -> Ensemble:
-    return Ensemble({n: fit(train, inputs, s, label) for n, s in settings.items()}, weights)
+    return Ensemble(dict(zip(settings, fit_all(train, inputs, list(settings.values()), label))), weights)
 
 
 def fit_stacking(train: DataFrame, inputs: list[str], settings: dict[str, Settings], n_folds: int = 5, label: str = TARGET) -> Ensemble:
     """Meta-model on out-of-fold probabilities; members are refitted on all rows."""
     level = stage(oof_predictions(train, inputs, settings, n_folds, label), "level-1")
     meta = fit(level, [f"p_{n}" for n in settings], Settings("logistic", 100, grid=(1.0,)), label)
-    return Ensemble({n: fit(train, inputs, s, label) for n, s in settings.items()}, None, meta)
+    return Ensemble(dict(zip(settings, fit_all(train, inputs, list(settings.values()), label))), None, meta)
