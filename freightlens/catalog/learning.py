@@ -7,11 +7,11 @@ from freightlens.catalog.decisions import FOLD_SQL
 from freightlens.catalog.registry import query
 from freightlens.catalog.views import over, snap
 from freightlens.functions.scalars import snap as snapped
-from freightlens.operators import anomaly, baselines, explain, features, iterative, lime, linear, metrics, models, thresholds, treeshap
+from freightlens.operators import anomaly, baselines, experiments, explain, features, iterative, lime, linear, metrics, models, thresholds, treeshap
 from freightlens.operators.folds import hashed_order, stratified_folds
 from freightlens.plans import ablation
 from freightlens.plans.scoring import prepared, scored
-from freightlens.session import stage
+from freightlens.session import new_folder, stage
 from freightlens.sources.shipments import ID, TARGET, shipments
 
 INPUTS = features.RAW_FEATURES
@@ -167,5 +167,7 @@ def experiment_single(spark, sf):
 
 @query("ablation_stage")
 def ablation_stage(spark, sf):
-    rows, _ = ablation.run_stage(BASE, stage(shipments(spark, sf), "experiment"), "threshold")
-    return rows.drop("runtime_s")
+    """The threshold stage, its variants appended to a registry and read back from it."""
+    registry = new_folder(spark, "registry")
+    ablation.run_stage(BASE, stage(shipments(spark, sf), "experiment"), "threshold", registry=registry)
+    return experiments.load_registry(spark, registry).drop("runtime_s", "timestamp")

@@ -1,4 +1,5 @@
 import json
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -280,6 +281,32 @@ def test_failed_variant_becomes_a_row(spark, rows):
     assert out.first()["status"].startswith("failed") and best == base
 
 
+def test_variants_share_what_they_do_not_change(spark, rows, monkeypatch):
+    fits, real = [], models.fit
+    monkeypatch.setattr(models, "fit", lambda train, inputs, settings, *a, **k: fits.append(settings) or real(train, inputs, settings, *a, **k))
+    quick = {**models.PRESETS, "gbt_a": models.Settings(rounds=3, depth=3)}
+    base = ablation.Experiment(n_splits=2, imputation="global_median", balancing="class_weight", presets=quick)
+    data, registry = rows.select(*ORDERED_COLUMNS), new_folder(spark, "registry")
+    out, best = ablation.run_stage(base, data, "threshold", registry=registry)
+    assert len(fits) == 2 and [r["status"] for r in out.collect()] == ["ok"] * 3
+    alone = ablation.run(replace(base, threshold=best.threshold), data)
+    assert alone.agg(F.avg("f1")).first()[0] == pytest.approx(out.agg(F.max("f1_mean")).first()[0])
+    ablation.run_stage(base, data, "threshold", ["f1_max"], registry)  # a rerun leaves one row of each id
+    table = experiments.load_registry(spark, registry)
+    assert table.count() == 3 and table.select("exp_id").distinct().count() == 3
+
+
+def test_registry_with_two_writers_and_a_rerun(spark):
+    path = new_folder(spark, "registry")
+    assert experiments.load_registry(spark, path).count() == 0
+    make = lambda model, f1, day: spark.createDataFrame([(model, f1, f"2024-01-0{day}")], "model string, f1_mean double, timestamp string").withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+    models.at_once(lambda m: experiments.register(make(m, 0.5, 1), path), [f"m{i % 4}" for i in range(8)])
+    assert sorted(r["model"] for r in experiments.load_registry(spark, path).collect()) == ["m0", "m1", "m2", "m3"]
+    experiments.register(make("m1", 0.9, 3), path)
+    experiments.register(make("m1", 0.1, 2), path)
+    assert {r["model"]: r["f1_mean"] for r in experiments.load_registry(spark, path).collect()} == {"m0": 0.5, "m1": 0.9, "m2": 0.5, "m3": 0.5}
+
+
 def test_winsorize_keeps_rows_and_missing(spark):
     df = spark.createDataFrame([(float(i),) for i in range(20)] + [(500.0,), (None,)], "x double")
     out = outliers.winsorize(df, outliers.fit_fences(df, ["x"]))
