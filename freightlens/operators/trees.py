@@ -252,7 +252,7 @@ def _sums(slots: np.ndarray, rows: np.ndarray, codes: np.ndarray, picks: np.ndar
 def grow(growing: Growing, codes: np.ndarray, terms: list[np.ndarray]) -> np.ndarray:
     """Finish a tree from all of its rows; returns the leaf of each row."""
     at, rows = np.zeros(len(codes), np.int64), np.arange(len(codes))
-    codes = np.asfortranarray(codes)
+    codes, parents = np.asfortranarray(codes), None
     while len(growing.open):
         picks = growing.picks()
         slot = np.full(len(growing.nodes), -1)
@@ -265,10 +265,22 @@ def grow(growing: Growing, codes: np.ndarray, terms: list[np.ndarray]) -> np.nda
         for first in range(0, len(picks), step):
             part = slice(*np.searchsorted(slots, [first, first + step])) if len(picks) > step else slice(None)
             here = picks[first : first + step]
-            found.append(growing.best(_sums(slots[part] - first, rows[part], codes, here, terms, len(here)), here))
+            if parents is not None and len(picks) <= step:  # whole numbers: a child is exactly its parent less its sibling
+                cover = growing.nodes["cover"][growing.open]
+                small = 2 * np.arange(len(picks) // 2) + (cover[1::2] < cover[::2])
+                is_small = np.zeros(len(picks), bool)
+                is_small[small] = True
+                counted = is_small[slots]
+                sums = np.empty((len(picks), *parents.shape[1:]))
+                sums[small] = _sums(slots[counted] // 2, rows[counted], codes, here[::2], terms, len(small))
+                sums[small ^ 1] = parents - sums[small]
+            else:
+                sums = _sums(slots[part] - first, rows[part], codes, here, terms, len(here))
+            found.append(growing.best(sums, here))
         gain, pick, mask, left, total = (np.concatenate(x) for x in zip(*found))
         feature = picks[np.arange(len(picks)), pick]
         splits = growing.advance((gain, feature, mask, left, total))
+        parents = sums[splits] if len(picks) <= step and (picks == picks[0]).all() and growing.spec.boosted else None
         moved = splits[slots]
         rows, slots = rows[moved], slots[moved]
         goes_left = (mask[slots] >> codes[rows, feature[slots]].astype(np.uint64)) & np.uint64(1)
