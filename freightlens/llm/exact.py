@@ -41,13 +41,13 @@ def _bit(digest: Column) -> Column:
     return F.pmod(F.xxhash64(digest), F.lit(FILTER_BITS)) + 1  # buckets of the bitmap functions start at 1
 
 
-def _filter_of(repeated: DataFrame) -> DataFrame:
+def filter_of(repeated: DataFrame) -> DataFrame:
     """(bucket, bits): a bit for each digest of `repeated`; FILTER_BITS / 32,768 rows at most."""
     bit = _bit(F.col("digest"))
     return repeated.groupBy(F.bitmap_bucket_number(bit).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits"))
 
 
-def _marked(rows: DataFrame, bitmap: DataFrame) -> DataFrame:
+def marked(rows: DataFrame, bitmap: DataFrame) -> DataFrame:
     """`rows` and `may_repeat`: true for all repeated digests, and for few others."""
     bit = _bit(F.col("digest"))
     place = F.bitmap_bit_position(bit)
@@ -59,9 +59,9 @@ def _marked(rows: DataFrame, bitmap: DataFrame) -> DataFrame:
 
 def _combined(rows: DataFrame, hot: DataFrame, salts: int) -> DataFrame:
     """(digest, text, keep, size) for each different text of `rows` (id, digest, text)."""
-    marked = rows.join(F.broadcast(hot.select("digest", F.lit(True).alias("is_hot"))), "digest", "left")
+    hinted = rows.join(F.broadcast(hot.select("digest", F.lit(True).alias("is_hot"))), "digest", "left")
     salt = F.when(F.col("is_hot"), F.pmod(F.spark_partition_id(), F.lit(salts))).otherwise(0)
-    salted = marked.select("id", "digest", "text", salt.alias("salt"))
+    salted = hinted.select("id", "digest", "text", salt.alias("salt"))
     merged = salted.groupBy("digest", "salt", "text").agg(F.max("id").alias("keep"), F.count("*").alias("size"))
     return merged.repartition("digest").groupBy("digest", "text").agg(F.max("keep").alias("keep"), F.sum("size").alias("size"))
 
@@ -77,7 +77,7 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", digest: Cal
     members = stage(rows.select("id", "digest"), "members")
     counted = stage(members.groupBy("digest").agg(F.count("*").alias("rows")).where("rows > 1"), "repeated")
     hot = counted.where(F.col("rows") * HOT_PARTS >= members.count())
-    texts = _combined(_marked(rows, _filter_of(counted)).where("may_repeat"), hot, salts)
+    texts = _combined(marked(rows, filter_of(counted)).where("may_repeat"), hot, salts)
     found = texts.groupBy("digest").agg(F.count("*").alias("texts"), F.max("keep").alias("keep"), F.sum("size").alias("size"))
     found = stage(found.where("size > 1"), "groups")
 
@@ -103,7 +103,7 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     their names. Of rows that repeat key and text, one stays (any). Texts without an equal are not moved."""
     told = stage(groups(docs, key, text), "groups")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(key).alias("id"), sha256(normalised(F.col(text))).alias("digest"))
-    marked = _marked(rows, _filter_of(told.where("size > 1").select("digest").distinct()))
+    flagged = marked(rows, filter_of(told.where("size > 1").select("digest").distinct()))
     stays = told.where("id <=> keep").select(F.col("id").alias("its_id"), F.col("digest").alias("its_digest"))
-    among = marked.where("may_repeat").join(stays, F.col("id").eqNullSafe(F.col("its_id")) & (F.col("digest") == F.col("its_digest")), "left_semi")
-    return marked.where("NOT may_repeat").select("row.*").unionByName(among.dropDuplicates(["digest", "id"]).select("row.*"))
+    among = flagged.where("may_repeat").join(stays, F.col("id").eqNullSafe(F.col("its_id")) & (F.col("digest") == F.col("its_digest")), "left_semi")
+    return flagged.where("NOT may_repeat").select("row.*").unionByName(among.dropDuplicates(["digest", "id"]).select("row.*"))

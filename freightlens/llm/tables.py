@@ -50,3 +50,13 @@ def text_slices(batch: pa.RecordBatch, text: int, chars: int = BATCH_CHARS) -> I
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """`body(value)` with `value` computed once a row, also where the body reads it inside other lambdas."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def join_split(rows: DataFrame, to: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+    """`rows` LEFT JOIN `to`, which has one row per `key`. Keys in `hot`, a table of proven size, meet by broadcast, so no
+    task gathers their rows; the rest meet by a shuffle."""
+    out = [*rows.columns, *[c for c in to.columns if c != key]]
+    told = to.withColumn("_told", F.lit(True))
+    first = rows.join(F.broadcast(told.join(F.broadcast(hot.select(key)), key, "left_semi")), key, "left")
+    rest = first.where("_told IS NULL").select(*rows.columns).join(told, key, "left")
+    return first.where("_told").select(*out).unionByName(rest.select(*out))

@@ -11,6 +11,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from freightlens.llm.exact import HOT_PARTS, filter_of, marked
+from freightlens.llm.tables import join_split
 from freightlens.session import new_folder, stage
 
 #: Fixed strings of the format.
@@ -43,12 +45,17 @@ def write_archives(pages: DataFrame, path: str, page: str = "page_id", url: str
 
     Of rows with equal payloads (html in UTF-8, NULL as empty) of `least` bytes or more, those with the smallest page are
     responses and the rest revisits that refer to it; shorter payloads are always responses. Rows that repeat the smallest
-    page are responses too; rows without a page are revisits where their payload has a page, else responses.
+    page are responses too; rows without a page are revisits where their payload has a page, else responses. Payloads that
+    occur once miss a filter of fixed size over the repeated digests and are written where they are read.
     """
     payload = F.coalesce(F.col(html), F.lit("")).cast("string")
     rows = pages.select(F.col(page).alias("page"), F.col(url).alias("url"), payload.alias("payload"), base32_sha1(payload).alias("digest"))
-    first = rows.where(F.octet_length("payload") >= least).groupBy("digest").agg(F.min("page").alias("first"))
-    rows = rows.join(first, "digest", "left")
+    counted = rows.where(F.octet_length("payload") >= least).groupBy("digest").agg(F.min("page").alias("first"), F.count("*").alias("n"))
+    counted = stage(counted.where("n > 1"), "repeated")
+    flagged = marked(rows, filter_of(counted))
+    hot = counted.where(F.col("n") * HOT_PARTS >= pages.count())
+    alone = flagged.where("NOT may_repeat").withColumn("first", F.lit(None).cast(pages.schema[page].dataType))
+    rows = alone.unionByName(join_split(flagged.where("may_repeat"), counted.select("digest", "first"), "digest", hot))
     revisit = F.coalesce(F.octet_length("payload") >= least, F.lit(False)) & F.col("first").isNotNull() & ~F.col("page").eqNullSafe(F.col("first"))
     block = F.when(revisit, F.lit(HTTP)).otherwise(F.concat(F.lit(HTTP), F.col("payload")))
     head = F.concat(
@@ -181,8 +188,10 @@ def archived(pages: DataFrame, page: str = "page_id", url: str = "url", html: st
     records = stage(records, "warc-read")
     targets = records.where("type = 'response' AND page IS NOT NULL").groupBy(F.col("page").alias("to")).agg(
         F.first("bytes").alias("to_bytes"), F.first("sha").alias("to_sha"))
-    joined = records.join(targets, F.col("refers_to") == F.col("to"), "left")
-    again = F.col("type") == "revisit"
-    return joined.select(
-        F.col("page").alias(page), F.when(again, F.col("to_bytes")).otherwise(F.col("bytes")).alias("payload_bytes"),
-        F.when(again, F.col("to_sha")).otherwise(F.col("sha")).alias("payload_digest"), F.col("type").alias("record_type"), "refers_to")
+    repeats = records.where("type = 'revisit'").withColumnRenamed("refers_to", "to")
+    hot = repeats.groupBy("to").agg(F.count("*").alias("n")).where(F.col("n") * HOT_PARTS >= records.count())
+    told = join_split(repeats, targets, "to", hot).select(F.col("page").alias(page), F.col("to_bytes").alias("payload_bytes"),
+                                                          F.col("to_sha").alias("payload_digest"), F.col("type").alias("record_type"), F.col("to").alias("refers_to"))
+    others = records.where("type IS DISTINCT FROM 'revisit'").select(
+        F.col("page").alias(page), F.col("bytes").alias("payload_bytes"), F.col("sha").alias("payload_digest"), F.col("type").alias("record_type"), "refers_to")
+    return others.unionByName(told)
