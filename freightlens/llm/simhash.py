@@ -191,9 +191,9 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     (any of several that repeat both). Rows without a
     key cannot be named in a group and stay.
     """
-    kept = near_duplicates(docs, key, text).where(F.col("component_id") == F.col(key)).select(F.col(key).alias("_kept")).distinct()
-    place = spare_name(docs, "_place")
+    name, place = spare_name(docs, "_kept"), spare_name(docs, "_place")
+    kept = near_duplicates(docs, key, text).where(F.col("component_id") == F.col(key)).select(F.col(key).alias(name)).distinct()
     order = Window.partitionBy(key).orderBy(F.col(text).asc_nulls_first())
-    known = docs.where(F.col(key).isNotNull()).join(kept, F.col(key) == F.col("_kept"), "left_semi")
+    known = docs.where(F.col(key).isNotNull()).join(kept, F.col(key) == F.col(name), "left_semi")
     known = known.withColumn(place, F.row_number().over(order)).where(F.col(place) == 1).drop(place)
     return known.unionByName(docs.where(F.col(key).isNull()))

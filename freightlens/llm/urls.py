@@ -101,11 +101,11 @@ def filtered(pages: DataFrame, rules: list[Rule], plan: Trees = Trees(), url: st
     """
     results = ["host", "path", "rule", "verdict", "score"]
     kept = [c for c in pages.columns if c.lower() not in results]
-    link = spare_name(pages, "_url")
-    frame = pages.select(*kept, F.col(url).alias(link))
+    link, whole = "_url", F.struct(*[F.col(f"`{c}`") for c in kept], F.lit(None).cast("int").alias(spare_name(pages, "none")))
+    frame = pages.select(whole.alias("_row"), F.col(url).alias(link))  # columns of the caller stay in their struct
     frame = frame.withColumns({"host": host_of(F.col(link)), "path": path_of(F.col(link))})
     frame = frame.withColumn("_rule", matching_rule(F.col("host"), F.col("path"), rules))
-    draw = F.pmod(F.xxhash64(link, *[c for c in kept if c == key]), F.lit(1 << 30)) / float(1 << 30)
+    draw = F.pmod(F.xxhash64(link, *[F.col(f"_row.{c}") for c in kept if c == key]), F.lit(1 << 30)) / float(1 << 30)
     labelled = frame.where("_rule IS NOT NULL").select(link, "host", "path", (F.col("_rule.verdict") == BLOCK).cast("double").alias("_label"), draw.alias("_draw"))
     counted = labelled.groupBy(_suffix(F.col("host"), SUFFIXES["domain"]).alias("_domain")).agg(F.sum("_label").alias("s"), F.count("*").alias("n"))
     counted = stage(counted, "urls")  # one row per labelled domain, over all labelled URLs
@@ -138,4 +138,4 @@ def filtered(pages: DataFrame, rules: list[Rule], plan: Trees = Trees(), url: st
 
 def _judged(frame: DataFrame, score: Column, plan: Trees, kept: list[str]) -> DataFrame:
     verdict = F.coalesce(F.col("_rule.verdict"), F.when(score >= plan.cut, BLOCK).otherwise(ALLOW))
-    return frame.select(*kept, "host", "path", F.col("_rule.rule").alias("rule"), verdict.alias("verdict"), score.alias("score"))
+    return frame.select(*[F.col(f"_row.`{c}`") for c in kept], "host", "path", F.col("_rule.rule").alias("rule"), verdict.alias("verdict"), score.alias("score"))

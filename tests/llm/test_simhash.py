@@ -84,6 +84,8 @@ def test_rows(spark, make_docs):
     kept = simhash.keep_one(make_docs(rows)).collect()
     assert sorted(r["doc_id"] for r in kept if r["doc_id"] is not None) == sorted(set(classes.values()))
     assert sum(r["doc_id"] is None for r in kept) == 1
+    extra = simhash.keep_one(make_docs(rows).withColumns({"_kept": F.lit(1), "_place": F.lit(2)}))
+    assert extra.columns[-2:] == ["_kept", "_place"] and extra.count() == len(kept)
     assert simhash.near_duplicates(make_docs([])).count() == 0 and simhash.keep_one(make_docs([])).count() == 0
 
 

@@ -63,7 +63,7 @@ def test_suffix_statistics_count_all_labelled_urls(spark, monkeypatch):
     inner = urls._judged
 
     def judged(frame, score, plan, kept):
-        seen["rows"] = frame.where("page_id >= 2000").select("host", "_domain_share", "_domain_seen", "_top_share", "_top_seen").collect()
+        seen["rows"] = frame.where("_row.page_id >= 2000").select("host", "_domain_share", "_domain_seen", "_top_share", "_top_seen").collect()
         return inner(frame, score, plan, kept)
 
     monkeypatch.setattr(urls, "_judged", judged)
@@ -97,3 +97,12 @@ def test_entropy(spark):
     for r in frame.select("t", urls.entropy(F.col("t")).alias("e")).collect():
         t = r["t"]
         assert abs(r["e"] + sum(t.count(c) / len(t) * math.log2(t.count(c) / len(t)) for c in set(t))) < 1e-9
+
+
+def test_columns_with_the_names_of_helpers_stay(spark):
+    rows = [(i, f"http://a{i % 5}.{'net/es' if i % 2 else 'com'}/{i}", i) for i in range(60)] + [(100, "http://x.org/", 7), (101, None, 8)]
+    names = ["_rule", "_domain", "_top", "_features", "_raw", "_row", "_url", "_label", "_draw", "none", "a.b"]
+    pages = spark.createDataFrame(rows, "page_id long, url string, n int").withColumns({c: F.col("n") for c in names})
+    out = urls.filtered(pages, RULES, urls.Trees(rounds=1))
+    assert out.columns == [*pages.columns, "host", "path", "rule", "verdict", "score"]
+    assert all(r[c] == r["n"] for r in out.collect() for c in names) and out.count() == len(rows)
