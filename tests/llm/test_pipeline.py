@@ -7,7 +7,7 @@ from freightlens.llm.queries import QUERIES, SQL
 
 def test_stages_and_names():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "near_duplicates", "decontamination", "secret_scan", "best_fit_packing"]
-    assert sorted(int(m[1]) for q in QUERIES if (m := re.match(r"op(\d+)_", q))) == list(range(1, 11)) and "pipeline" in QUERIES
+    assert sorted(int(m[1]) for q in QUERIES if (m := re.match(r"op(\d+)_", q))) == list(range(1, 14)) and "pipeline" in QUERIES
     assert set(SQL) <= set(QUERIES) and corpus_pipeline.ORACLE_SQL is None
 
 
