@@ -14,7 +14,7 @@ import unicodedata
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +30,9 @@ END_ID = 0
 RANK_PARTS = 128
 #: Word forms that a task remembers the ids of; beyond that it starts anew.
 MEMORY = 250_000
+#: A byte that stands between words in one call of the merges, and signs that may end a chunk (neither letters nor digits).
+BETWEEN = "\x01"
+SIGNS = "!\"#$%&()*+,-./:;<=>?@[]^_{|}~"
 
 
 # ---- tokens ----
@@ -60,7 +63,9 @@ class Encoder:
         self.tokenizer = tokenizers.Tokenizer.from_file(path)
         self.merges = tokenizers.Tokenizer(self.tokenizer.model)
         self.merges.pre_tokenizer = tokenizers.pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.signs = {c: self.tokenizer.encode(c, add_special_tokens=False).ids for c in ".,;:!?"}
+        self.merges.pre_tokenizer = tokenizers.pre_tokenizers.Sequence([
+            tokenizers.pre_tokenizers.Split(BETWEEN, "isolated"), self.merges.pre_tokenizer])
+        self.between = self.merges.encode(BETWEEN, add_special_tokens=False).ids
         self.plain = self._plain() if self._splits_as_expected() else None
         self.clear()
 
@@ -69,8 +74,9 @@ class Encoder:
         ids = lambda how, text: how.encode(text, add_special_tokens=False).ids
         probe = "Two words, a Third-one 12 it's\nété."
         parts = [i for chunk in probe.lower().split() for i in ids(self.tokenizer, chunk)]
-        word = ids(self.merges, "words") + self.signs[","] == ids(self.tokenizer, "Words,") and ids(self.merges, "été") == ids(self.tokenizer, "Été")
-        return ids(self.tokenizer, probe) == parts and word and not ids(self.tokenizer, " \n\t")
+        ended = ids(self.merges, "words") + ids(self.tokenizer, ",).") == ids(self.tokenizer, "Words,).")
+        joined = ids(self.merges, f"words{BETWEEN}été") == [*ids(self.tokenizer, "Words"), *self.between, *ids(self.tokenizer, "Été")]
+        return ids(self.tokenizer, probe) == parts and ended and joined and len(self.between) == 1 and not ids(self.tokenizer, " \n\t")
 
     @staticmethod
     def _plain() -> re.Pattern:
@@ -85,30 +91,47 @@ class Encoder:
 
     def _encode_new(self) -> None:
         """Encode chunks not seen before. A word of letters is one word to the tokenizer, so it goes to the merges at once, and
-        so does one with a sign behind it, whose ids follow. All else goes through the whole tokenizer."""
+        many go in one call, with a byte between them that no word has. A word with signs behind it is the word's ids and the
+        signs' ids, each made once. All else goes through the whole tokenizer."""
         chunks, start = self.slots.new, len(self.slots) - len(self.slots.new)
-        for first in range(0, len(chunks), 5_000):
-            part = chunks[first : first + 5_000]
-            words, ended, rest = [], [], []
-            for i, c in enumerate(part):
-                (words if c.isalpha() else ended if c[-1] in self.signs and c[:-1].isalpha() else rest).append(i)
-            ids = [e.ids for e in self.merges.encode_batch_fast([part[i] for i in words] + [part[i][:-1] for i in ended], add_special_tokens=False)]
-            ids[len(words) :] = [x + self.signs[part[i][-1]] for x, i in zip(ids[len(words) :], ended)]
-            ids += [e.ids for e in self.tokenizer.encode_batch_fast([part[i] for i in rest], add_special_tokens=False)]
-            self._store(np.array(words + ended + rest, np.int64) + start + first, ids)
+        stems = [c.rstrip(SIGNS) for c in chunks]
+        ended = [i for i, (c, s) in enumerate(zip(chunks, stems)) if len(s) < len(c) and s.isalpha()]
+        halves = [self.slots[h] for i in ended for h in (stems[i], chunks[i][len(stems[i]) :])]  # may add to the new ones
+        words, rest = np.fromiter(map(str.isalpha, chunks), bool, len(chunks)), np.ones(len(chunks), bool)
+        rest[words] = rest[ended] = False
+        at = np.flatnonzero(words)
+        letters = list(compress(chunks, words))
+        for first in range(0, len(letters), 5_000):
+            joined = BETWEEN.join(letters[first : first + 5_000])
+            ids = np.array(self.merges.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
+            cuts = np.flatnonzero(ids == self.between[0])
+            sizes = np.diff(np.concatenate([[-1], cuts, [len(ids)]])) - 1
+            self._store(at[first : first + 5_000] + start, sizes, np.delete(ids, cuts))
+        at, others = np.flatnonzero(rest), list(compress(chunks, rest))
+        for first in range(0, len(others), 5_000):
+            lists = [e.ids for e in self.tokenizer.encode_batch_fast(others[first : first + 5_000], add_special_tokens=False)]
+            sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+            self._store(at[first : first + 5_000] + start, sizes, np.fromiter(chain.from_iterable(lists), np.uint32, int(sizes.sum())))
+        if ended:
+            halves = np.array(halves, np.int64)
+            self._store(np.array(ended, np.int64) + start, self.count[halves].reshape(-1, 2).sum(axis=1), self._gather(halves))
         self.slots.new = []
 
-    def _store(self, slots: np.ndarray, ids: list[list[int]]) -> None:
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        new = self.used + int(sizes.sum())
+    def _store(self, slots: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
+        new = self.used + len(ids)
         if len(self.slots) > len(self.first):
             self.first, self.count = (np.resize(x, 2 * len(self.slots)) for x in (self.first, self.count))
         if new > len(self.flat):
             self.flat = np.resize(self.flat, 2 * new)
         self.first[slots], self.count[slots] = self.used + np.cumsum(sizes) - sizes, sizes
-        self.flat[self.used : new] = np.fromiter(chain.from_iterable(ids), np.uint32, new - self.used)
+        self.flat[self.used : new] = ids
         self.used = new
 
+    def _gather(self, slots: np.ndarray) -> np.ndarray:
+        """The ids of stored chunks, one behind the other."""
+        sizes = self.count[slots]
+        return self.flat[np.repeat(self.first[slots] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())]
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, without special tokens added."""
         plain = [self.plain is not None and "<|" not in t and self.plain.fullmatch(t) is not None for t in texts]
@@ -119,13 +142,21 @@ class Encoder:
             self.clear()
         slots = np.fromiter(map(self.slots.__getitem__, chain.from_iterable(chunks)), np.int64, sum(map(len, chunks)))
         self._encode_new()
-        sizes = self.count[slots]
-        ends = np.cumsum(sizes)
-        ids = self.flat[np.repeat(self.first[slots] - ends + sizes, sizes) + np.arange(sizes.sum())]
-        cuts = np.concatenate([[0], ends])[np.cumsum([0, *map(len, chunks)])]
+        ids = self._gather(slots)
+        cuts = np.concatenate([[0], np.cumsum(self.count[slots])])[np.cumsum([0, *map(len, chunks)])]
         return [ids[a:b] if p else np.array(next(others).ids, np.uint32) for p, a, b in zip(plain, cuts[:-1], cuts[1:])]
 
 
+def encoder_of(path: str) -> Encoder:
+    """One encoder per worker process and file. Functions shipped by value get new globals in every task, so it is kept with
+    the imported package."""
+    kept = vars(tokenizers).setdefault("_kept_encoders", {})
+    if path not in kept:
+        kept[path] = Encoder(path)
+    kept[path].clear()
+    return kept[path]
+
+
 PIECES = "piece int, start long, length long, ids_crc32 long, ids array<int>"
 
 
@@ -139,7 +170,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, key: str =
     schema = f"`{key}` {kind}, {PIECES}" if with_ids else f"`{key}` {kind}, {PIECES.rpartition(',')[0]}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        encoder = encoder_of(tokenizer)
         for batch in batches:
             for first, texts in text_slices(batch, 1, BATCH_CHARS):
                 rows, starts, sizes, crcs, ids = [], [], [], [], []
@@ -159,6 +190,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, key: str =
                     offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
                     columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids).astype(np.int32))))
                 yield pa.record_batch(columns, [key, *PIECES.replace(",", "").split()[: 2 * (len(columns) - 1) : 2]])
+        encoder.clear()
 
     return docs.select(key, text).mapInArrow(run, schema)
 
