@@ -7,7 +7,7 @@ from freightlens.catalog.decisions import FOLD_SQL
 from freightlens.catalog.registry import query
 from freightlens.catalog.views import over, snap
 from freightlens.functions.scalars import snap as snapped
-from freightlens.operators import anomaly, baselines, experiments, explain, features, iterative, lime, linear, metrics, models, thresholds, treeshap
+from freightlens.operators import anomaly, baselines, experiments, explain, features, iterative, lime, linear, metrics, models, networks, thresholds, treeshap
 from freightlens.operators.folds import hashed_order, stratified_folds
 from freightlens.plans import ablation
 from freightlens.plans.scoring import prepared, scored
@@ -112,6 +112,13 @@ def ppca_recon_error(spark, sf):
     return _errors(spark, sf, anomaly.probabilistic_error)
 
 
+@query("mlp_recon_error")
+def mlp_recon_error(spark, sf):
+    rows = _rows(spark, sf)
+    out = stage(networks.network_error(rows, networks.fit_network(rows.where(F.col(TARGET) == 0), INPUTS)), "errors")
+    return anomaly.flag(out, anomaly.error_cut(out)).select(ID, snapped("recon_error").alias("recon_error"), "is_anomaly")
+
+
 @query("tree_shap")
 def tree_shap(spark, sf):
     rows = _rows(spark, sf)

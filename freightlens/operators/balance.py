@@ -5,6 +5,10 @@ All choices are hashes of row ids, so a retried task repeats its rows. Synthetic
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from freightlens.functions.ranks import range_buckets, row_ranks, running_totals
@@ -133,11 +137,43 @@ def resample(df: DataFrame, dims: list[str], strategy: str, ratio: float = 0.5,
     return made[strategy](df, dims, ratio, seed=seed, label=label).withColumn("weight", F.lit(1.0))
 
 
+# Fixed value: the largest sample size with an exact law.
+EXACT_KS = 10_000
+
+
+def ks_exact(d: float | None, n: int, m: int) -> float | None:
+    """P(statistic >= d) for two samples of n and m from one continuous law; NULL where an argument is missing.
+
+    A random order of both samples is a lattice path; `hit` is the chance that a path to (i, j) has left the band of gaps
+    under d. Steps go along antidiagonals, where only the points inside the band are visited.
+    """
+    if pd.isna(d) or pd.isna(n) or not n or not m:
+        return None
+    n, m = int(n), int(m)
+    common = math.gcd(n, m)
+    up, right = m // common, n // common
+    edge = round(d * n * up)  # the gap of (i, j) in units of 1 / lcm(n, m) is |i * up - j * right|
+    hit = np.ones(n + 3)      # hit[i + 1] belongs to i
+    if edge > 0:
+        hit[1] = 0.0
+    for s in range(1, n + m + 1):
+        low = max(0, s - m, (s * right - edge) // (up + right) + 1)
+        high = min(n, s, -((-s * right - edge) // (up + right)) - 1)
+        if low > high:
+            return 1.0
+        i = np.arange(low, high + 1)
+        inside = (i * hit[low : high + 1] + (s - i) * hit[low + 1 : high + 2]) / s
+        hit[low], hit[high + 2] = 1.0, 1.0
+        hit[low + 1 : high + 2] = inside
+    return float(hit[n + 1])
+
+
 def ks_two_sample(df: DataFrame, side: Column, columns: list[str]) -> DataFrame:
     """(column, statistic, p_value, diverges): largest gap between the two empirical distributions per column.
 
     `side` is true for the first sample. Values are counted first; their running totals are taken
-    inside range buckets. The p-value is the asymptotic Kolmogorov series.
+    inside range buckets. The p-value is exact while both samples have at most `EXACT_KS` values, else the asymptotic
+    Kolmogorov series.
     """
     long = df.select(side.alias("_side"), F.inline(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns
@@ -152,7 +188,10 @@ def ks_two_sample(df: DataFrame, side: Column, columns: list[str]) -> DataFrame:
         F.sequence(F.lit(1), F.lit(100)), F.lit(0.0),
         lambda s, j: s + F.when(j % 2 == 1, 2.0).otherwise(-2.0) * F.exp(-2.0 * j * j * c("_l") * c("_l")),
     )
-    p = F.when(c("_l") < 0.2, F.lit(1.0)).otherwise(F.least(F.greatest(series, F.lit(0.0)), F.lit(1.0)))
+    law = F.pandas_udf(lambda d, n, m: pd.Series([ks_exact(*v) for v in zip(d, n, m)], dtype=float), "double")
+    small = F.greatest("n", "m") <= EXACT_KS
+    exact = law(F.when(small, c("statistic")), F.when(small, c("n")), F.when(small, c("m")))  # one row per column
+    p = F.when(small, exact).when(c("_l") < 0.2, F.lit(1.0)).otherwise(F.least(F.greatest(series, F.lit(0.0)), F.lit(1.0)))
     return out.withColumn("_l", lam).select("column", "statistic", p.alias("p_value")).withColumn("diverges", c("p_value") < 0.05)
 
 

@@ -5,19 +5,14 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
+from freightlens.functions.products import cross_products
 from freightlens.functions.scalars import snap
 
 
-def gram(df: DataFrame, columns: list[str], weight: str | None = None) -> tuple[int, np.ndarray]:
-    """Row count and X'X over rows where every column is present: p(p+1)/2 sums in one aggregate."""
-    x = [F.col(c).cast("double") for c in columns]
-    w = F.col(weight) if weight else F.lit(1.0)
-    pairs = [(i, j) for i in range(len(x)) for j in range(i, len(x))]
-    row = df.dropna(subset=columns).agg(F.count("*"), *[F.sum(x[i] * x[j] * w) for i, j in pairs]).first()
-    out = np.zeros((len(x), len(x)))
-    for (i, j), v in zip(pairs, row[1:]):
-        out[i, j] = out[j, i] = v or 0.0
-    return row[0], out
+def gram(df: DataFrame, columns: list[str]) -> tuple[int, np.ndarray]:
+    """Row count and X'X over rows where every column is present."""
+    full = cross_products(df.select(*columns).dropna(), [F.lit(1.0), *[F.col(c) for c in columns]])
+    return int(full[0, 0]), full[1:, 1:]
 
 
 def vif_values(matrix: np.ndarray) -> np.ndarray:
