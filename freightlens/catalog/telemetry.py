@@ -11,7 +11,7 @@ from freightlens.operators.validate import annotate
 from freightlens.session import stage
 from freightlens.sources.shipments import raw_shipments
 from freightlens.sources.telemetry import telemetry
-from freightlens.streaming import telemetry as ops
+from freightlens.streaming import telemetry as ops, trips
 
 TEL = """WITH tel AS (SELECT event_id, ts, user_id AS device_id, CASE event_type WHEN 'view' THEN 'temperature' WHEN 'click' THEN 'humidity'
   WHEN 'error' THEN 'vibration' WHEN 'signup' THEN 'door' WHEN 'purchase' THEN 'location' ELSE 'other' END AS sensor, value AS reading, epoch_us(ts) AS us FROM events)"""
@@ -68,6 +68,34 @@ def stream_rescore(spark, sf):
     return ops.rescore(telemetry(spark, sf))
 
 
+TRIPS_SQL = """, g AS (SELECT *, CASE WHEN us-lag(us) OVER (PARTITION BY device_id ORDER BY us)<=21600000000 THEN 0 ELSE 1 END AS fresh FROM tel),
+  n AS (SELECT *, sum(fresh) OVER (PARTITION BY device_id ORDER BY us RANGE UNBOUNDED PRECEDING) AS trip FROM g)"""
+
+
+@query("stream_window_gaps", TEL + f""", w AS (SELECT *, us//21600000000*21600 AS window_start,
+  us-lag(us) OVER (PARTITION BY device_id, sensor, us//21600000000 ORDER BY us) AS gap FROM tel)
+  SELECT device_id, sensor, window_start, {snap('coalesce(max(gap),0)/cast(3600000000 AS double)')} AS max_gap_hours
+  FROM w GROUP BY device_id, sensor, window_start""")
+def stream_window_gaps(spark, sf):
+    return trips.stream_window_gaps(telemetry(spark, sf))
+
+
+@query("stream_trip_rescore", TEL + TRIPS_SQL + f""" SELECT device_id, first_us, n_readings, p, CASE WHEN m>=650000 THEN 'High' WHEN m>=300000 THEN 'Medium' ELSE 'Low' END
+  AS risk_tier, true AS closed FROM (SELECT *, cast(floor(p*1000000+0.5) AS bigint) AS m FROM (SELECT device_id, first_us, n_readings,
+   {snap('1/(1+exp(-(cast(-3.0 AS double)+rm*cast(0.02 AS double)+rx*cast(0.004 AS double)+nv*cast(0.02 AS double))))')} AS p FROM
+  (SELECT device_id, min(us) AS first_us, count(*) AS n_readings, avg(reading) AS rm, max(reading) AS rx, count(*) FILTER (sensor='vibration') AS nv
+   FROM n GROUP BY device_id, trip)))""")
+def stream_trip_rescore(spark, sf):
+    return trips.rescore_trips(telemetry(spark, sf))
+
+
+@query("stream_trip_humidity", TEL + TRIPS_SQL + f""" SELECT device_id, first_us, rh_baseline, rh_peak, {snap('rh_peak-rh_baseline')} AS rh_range, true AS closed FROM
+  (SELECT device_id, min(us) AS first_us, min(reading) FILTER (sensor='humidity') AS rh_baseline, max(reading) FILTER (sensor='humidity') AS rh_peak
+   FROM n GROUP BY device_id, trip) WHERE rh_baseline IS NOT NULL""")
+def stream_trip_humidity(spark, sf):
+    return trips.trip_humidity(telemetry(spark, sf))
+
+
 @query("stream_prevalence_drift", TEL + f""" SELECT window_start, n, n_positive, prevalence, abs(prevalence-cast(0.2 AS double))>cast(0.05 AS double) AS drift_alert FROM
   (SELECT us//86400000000*86400 AS window_start, count(*) AS n, cast(sum(CASE WHEN sensor='vibration' THEN 1 ELSE 0 END) AS bigint) AS n_positive,
    {snap("sum(CASE WHEN sensor='vibration' THEN 1 ELSE 0 END)/cast(count(*) AS double)")} AS prevalence FROM tel GROUP BY 1)""")
