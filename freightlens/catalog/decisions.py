@@ -7,7 +7,7 @@ from freightlens.catalog.scoring import FEATURES, FILLED, FOLD_SQL, MODELS, TIER
 from freightlens.catalog.views import over, snap
 from freightlens.functions.scalars import micros, snap as snapped, unpivot_structs
 from freightlens.operators import anomaly, audit, baselines, decide, experiments, explain, features, folds, linear, metrics
-from freightlens.plans.scoring import prepared, scored, tiered
+from freightlens.plans.scoring import prepared, scored, staged_shipments, tiered
 from freightlens.session import new_folder, stage
 from freightlens.sources.shipments import ID, TARGET, shipments
 
@@ -216,8 +216,9 @@ def audit_batch_digest(spark, sf):
   FROM shipments s JOIN tiered t ON s.shipment_id=t.shipment_id""", *TIER_VIEWS))
 def audit_reconstruct(spark, sf):
     """Recorded decisions joined back to the shipment they were made for."""
-    recorded = tiered(scored(spark, sf))[0].select(ID, "p", "risk_tier")
-    return shipments(spark, sf).select(ID, "transit_days", "carrier_id", TARGET).join(recorded, ID)
+    base = staged_shipments(spark, sf)
+    recorded = tiered(scored(spark, sf, base=base))[0].select(ID, "p", "risk_tier")
+    return base.select(ID, "transit_days", "carrier_id", TARGET).join(recorded, ID)
 
 
 @query("table_fingerprint")
@@ -275,6 +276,22 @@ def fold_metrics_agg(spark, sf):
     return registry_rows(spark, sf)
 
 
+SUMMED = """ct AS (SELECT model, threshold, cast(sum(tn) AS bigint) AS tn, cast(sum(fp) AS bigint) AS fp, cast(sum(fn) AS bigint) AS fn,
+  cast(sum(tp) AS bigint) AS tp FROM cells GROUP BY model, threshold)"""
+
+
+@query("confusion_tables", over(f"""SELECT *, {', '.join(f"{snap(f'cast({a} AS double)/nullif({a}+{b},0)')} AS {a}_share" for a, b in
+  (('tn', 'fp'), ('fp', 'tn'), ('fn', 'tp'), ('tp', 'fn')))} FROM ct""", *REG_VIEWS, SUMMED))
+def confusion_tables(spark, sf):
+    return metrics.confusion_table(fold_results(spark, sf), ["model", "threshold"])
+
+
+@query("model_comparison", over("SELECT *, value = max(value) OVER (PARTITION BY metric, threshold) AS is_best FROM (" + " UNION ALL ".join(
+    f"SELECT model, threshold, '{n}' AS metric, {snap(e)} AS value FROM ct" for n, e in point_sql().items()) + ")", *REG_VIEWS, SUMMED))
+def model_comparison(spark, sf):
+    return metrics.comparison_table(fold_results(spark, sf), ["model", "threshold"])
+
+
 @query("registry_best", over("SELECT * FROM reg ORDER BY f1_mean DESC, exp_id LIMIT 1", *REG_VIEWS))
 def registry_best(spark, sf):
     return experiments.best(registry_rows(spark, sf))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from freightlens.functions.scalars import MICRO, micros, ratio, ratio_or_zero, snap, unpivot_structs
 from freightlens.functions.ranks import range_buckets, running_totals
@@ -134,6 +134,23 @@ def aggregate_folds(per_fold: DataFrame, by: list[str], names: list[str]) -> Dat
     )
 
 
+def confusion_table(counts: DataFrame, by: list[str]) -> DataFrame:
+    """Counts tn, fp, fn, tp summed over folds, and each as a share of its true class; an absent class gives NULL shares."""
+    total = counts.groupBy(*by).agg(*[F.sum(k).alias(k) for k in ("tn", "fp", "fn", "tp")])
+    share = lambda a, b: snap(ratio(F.col(a).cast("double"), F.col(a) + F.col(b)))
+    return total.select(*by, "tn", "fp", "fn", "tp", share("tn", "fp").alias("tn_share"), share("fp", "tn").alias("fp_share"),
+                        share("fn", "tp").alias("fn_share"), share("tp", "fn").alias("tp_share"))
+
+
+def comparison_table(counts: DataFrame, by: list[str], model: str = "model") -> DataFrame:
+    """The table behind a model-comparison chart: one row per (by, metric) with the value of all folds' counts together, and
+    whether no other model is better under the rest of `by`; ties share the first place. One row per model is ranked."""
+    points = confusion_table(counts, by).withColumns({n: snap(c) for n, c in point_metrics().items()})
+    rows = points.select(*by, unpivot_structs([F.struct(F.lit(n).alias("metric"), F.col(n).alias("value")) for n in POINT_METRICS]))
+    rest = Window.partitionBy("metric", *[c for c in by if c != model])
+    return rows.withColumn("is_best", F.col("value") == F.max("value").over(rest))
+
+
 def bootstrap_ci(scored: DataFrame, threshold: float, metric: str = "f1", replicates: int = 1000, alpha: float = 0.05,
                  seed: int = 42, score: str = "p", label: str = TARGET) -> DataFrame:
     """Percentile interval of a thresholded metric.

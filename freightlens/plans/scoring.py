@@ -17,15 +17,16 @@ def staged_shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stage(shipments(spark, sf_dir), "shipments")
 
 
-def prepared(spark: SparkSession, sf_dir: str, scaler: bool = False) -> DataFrame:
-    """Shipments with missing cells filled by global medians and all features engineered. The line items are read once."""
-    base = staged_shipments(spark, sf_dir)
+def prepared(spark: SparkSession, sf_dir: str, scaler: bool = False, base: DataFrame | None = None) -> DataFrame:
+    """Shipments with missing cells filled by global medians and all features engineered. The line items are read once, or
+    not at all if the staged view is given as `base`."""
+    base = staged_shipments(spark, sf_dir) if base is None else base
     medians = impute.fit_medians(base, staged=True)
     return engineer(impute.fill_medians(base, medians), fit_excursion(base) if scaler else NO_SCALER)
 
 
-def scored(spark: SparkSession, sf_dir: str, model: linear.LinearModel = linear.DEMO) -> DataFrame:
-    return linear.score(prepared(spark, sf_dir), model)
+def scored(spark: SparkSession, sf_dir: str, model: linear.LinearModel = linear.DEMO, base: DataFrame | None = None) -> DataFrame:
+    return linear.score(prepared(spark, sf_dir, base=base), model)
 
 
 def tiered(scores: DataFrame, cost: thresholds.CostMatrix = thresholds.CostMatrix()) -> tuple[DataFrame, float]:

@@ -68,3 +68,16 @@ def test_ks_law_meets_the_series():
         lam = d * (9_000 * 9_500 / 18_500) ** 0.5
         series = 2 * sum((-1) ** (j - 1) * np.exp(-2 * j * j * lam * lam) for j in range(1, 100))
         assert balance.ks_exact(d, 9_000, 9_500) == pytest.approx(series, rel=0.1)
+
+
+def test_comparison_of_models(spark):
+    from freightlens.operators import metrics
+
+    rows = [("a", 0, 3, 1, 2, 4), ("a", 1, 5, 1, 0, 4), ("b", 0, 8, 2, 2, 8), ("one class", 0, 4, 1, 0, 0)]
+    counts = spark.createDataFrame(rows, "model string, fold int, tn bigint, fp bigint, fn bigint, tp bigint")
+    table = {r["model"]: r for r in metrics.confusion_table(counts, ["model"]).collect()}
+    assert (table["a"]["tn"], table["a"]["tp"], table["a"]["tp_share"], table["a"]["fp_share"]) == (8, 8, 0.8, 0.2)
+    assert table["one class"]["tp_share"] is None and table["one class"]["fp_share"] == 0.2
+    got = {(r["model"], r["metric"]): (r["value"], r["is_best"]) for r in metrics.comparison_table(counts, ["model"]).collect()}
+    assert got["a", "recall"] == (0.8, True) == got["b", "recall"] and got["one class", "recall"] == (0.0, False)
+    assert metrics.confusion_table(counts.where("false"), ["model"]).count() == 0
