@@ -137,3 +137,16 @@ def test_query_and_sequences(spark, sf):
         seq, offset = where[r["doc_id"], r["piece"]]
         assert whole[seq]["ids"][offset : offset + r["length"]] == r["ids"]
     assert all(sum(r["lengths"]) == len(r["ids"]) for r in whole.values())
+
+
+def test_words_with_signs_and_reused_encoders():
+    """Signs behind words, runs of signs, contractions and digits; the same encoder again after it was emptied."""
+    path = "/opt/tokenizers/word_bpe_49k.json"
+    texts = ["it's. 's 've' don't), a.b.c ,, .,! x1. x. été. ß, ,x", "word$$$ ’s it’s, ab… ½. a½, word word$$$", "", "...'s ...'st x'. x'' x.'s",
+             "aa(bb) [cc], {dd}; <ee> <|x|> <| endoftext", "Word, WORD, word, words"]
+    for _ in range(2):
+        encoder = packing.encoder_of(path)
+        assert encoder.plain is not None and packing.encoder_of(path) is encoder
+        want = [e.ids for e in encoder.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        assert [list(x) for x in encoder.encode(texts)] == want
+        assert [list(x) for x in encoder.encode(texts[::-1])] == want[::-1]
