@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from freightlens.llm.decontaminate import Leaks, PatternIndex, drop_leaks, find_leaks, matches
+from freightlens.llm.decontaminate import Leaks, PatternIndex, _found, drop_leaks, find_leaks, matches
 from freightlens.llm.text_codes import letter_tables, normalise
 
 WORDS = ["river", "stone", "amber", "quick", "table", "glass", "north", "winter", "candle", "orbit", "ladder", "meadow"]
@@ -76,6 +76,56 @@ def test_excerpts_are_found_wherever_they_start():
             assert list(matches(codes, index, leaks)), (edits, start)
 
 
+def test_items_that_repeat_themselves_against_full_alignment():
+    """Tables of digits and runs of one word share nearly every q-gram at nearly every place."""
+    leaks, tables, r = Leaks(), letter_tables(), random.Random(4)
+    digits = lambda n: " ".join(r.choice("01") for _ in range(n))
+    items = [(1, digits(90)), (2, "ab" * 70), (3, "na " * 30), (4, prose(3, 30)), (5, "0 " * 20 + prose(4, 20) + " 0" * 20)]
+    index = PatternIndex(items, leaks)
+    assert index.repeats.tolist() == [True, True, True, False, True]
+    texts = [digits(300), digits(40) + " " + edit(items[0][1], 6, 1) + " " + digits(40), "ab" * 400, "ba" * 30 + prose(9, 10) + "ab" * 60,
+             "na " * 200 + items[3][1], prose(5, 20) + " " + "0 " * 200 + edit(items[4][1][30:140], 3, 2), "0 " * 300]
+    for text in texts:
+        codes, _ = normalise(text, tables)
+        got = {}
+        for p, first, last, edits in matches(codes, index, leaks):
+            got[p] = min(edits, got.get(p, 99))
+            assert 0 <= first < last <= len(codes)
+        edits = {p: least_edits(index.codes[p, : index.size[p]].tolist(), codes.tolist()) for p in range(len(index.owner))}
+        assert got == {p: e for p, e in edits.items() if e <= index.budget[p]}
+
+
+def test_long_repeats_take_no_product():
+    import resource
+    import time
+
+    index, before = PatternIndex([(1, "ab" * 150)], Leaks()), resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    start = time.monotonic()
+    assert _found(["ab" * 200_000], index, Leaks(), letter_tables())[0][1][:3] == (0, 400_000, 0)
+    assert time.monotonic() - start < 20 and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 1_000_000
+
+
+def test_memory_bounds_do_not_change_results(monkeypatch):
+    from freightlens.llm import decontaminate
+
+    leaks, tables = Leaks(), letter_tables()
+    index = PatternIndex([(1, "0 1 " * 40), (2, prose(1, 40)), (3, prose(2, 60))], leaks)
+    codes, _ = normalise(prose(8, 300) + " " + prose(1, 40) + " 0 1" * 300 + " " + prose(2, 60) * 4, tables)
+    def least(found):
+        out = {}
+        for p, _, _, edits in found:
+            out[p] = min(edits, out.get(p, 99))
+        return out
+
+    want = set(matches(codes, index, leaks))
+    for name, value in [("LANES", 3), ("JOINT", 2), ("LAID_OUT", 2), ("HELD", 100)]:
+        with monkeypatch.context() as m:
+            m.setattr(decontaminate, name, value)
+            got = set(matches(codes, index, leaks))
+            assert least(got) == least(want), name
+            assert got == want or name == "HELD", name  # parts of a text may see other bands of the same place
+
+
 def test_slices_find_the_same(spark):
     leaks = Leaks()
     small = Leaks(slice_chars=500)
