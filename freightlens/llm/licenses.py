@@ -4,16 +4,16 @@ Templates and texts become shingles of five words. A template is cut into pieces
 with its end. For each length of piece there are text windows a little longer, which overlap so that every place where
 a piece can stand is wholly inside one. With rows of one and `BANDS` bands, a window that holds a piece shares a band
 with probability 1 - (1 - J)^BANDS, where J is at least one half for a piece of which 0.8 is there, so above 0.999.
-Retrieved windows vote exactly: shingles of the template found in them are counted once, and their share must reach
-the threshold. A text without any shingle of any template contains none and gets no windows.
+Retrieved windows vote exactly, shingle by shingle, each at its place in the text. Along a text, the votes for a template
+fall into occurrences (`_occurrences`); those that hold the threshold's share of its distinct shingles are matches. A text
+without any shingle of any template contains none and gets no windows.
 
 Everything runs on DataFrame functions. The templates are a configuration list, so their bands are a small broadcast.
 """
 
 from __future__ import annotations
 
-
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from freightlens.llm.tables import let
 
@@ -96,47 +96,87 @@ def _windows(hashes: Column, size: int) -> Column:
 
 def find_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, key: str = "doc_id", text: str = "text",
                   threshold: float = THRESHOLD) -> DataFrame:
-    """One row per document and template found: key, license, template (its number), containment (share of the template's
-    distinct shingles in retrieved windows), first_word and last_word (the words that these windows span), windows. Of
-    notices that differ in a word or two, the one contained best stands: a match goes if a better one of the same
-    document has half of its shingles.
+    """One row per document and occurrence of a template: key, license, template (its number), containment (share of the
+    template's distinct shingles in the occurrence), first_word and last_word (the words it spans, end exclusive). An
+    occurrence goes if a better contained one of another template covers half of its words or more: of notices that differ
+    in a word or two, the better one stands, place by place.
 
-    NULL texts and texts of fewer than five words hold nothing. Rows that repeat a key are taken as one document. Rows
-    without a key count as one document too. Empty tables give no rows.
+    NULL texts and texts of fewer than five words hold nothing. Rows that repeat key and text are one document; rows with
+    the same key, or none, and other texts are judged one by one. Empty tables give no rows.
     """
     spark = docs.sparkSession
     known = load_templates(spark, templates)
-    if not known:
-        known = []
     sizes = sorted({len(p) for _, _, h in known for p in template_pieces(h)})
     vocabulary = sorted({h for _, _, hs in known for h in hs})
     bands = sorted({(k, min(_xor(h, m) for h in piece), size, number)
                     for number, _, hs in known for piece in template_pieces(hs) for size in [len(piece)] for k, m in enumerate(MASKS)})
     lookup = spark.createDataFrame(bands, "band int, value long, size int, template int")
-    facts = spark.createDataFrame([(i, name, sorted(set(hs))) for i, name, hs in known], "template int, license string, wanted array<long>")
-    hashed = docs.select(key, shingle_hashes(F.col(text)).alias("hashes"))
+    facts = [(i, name, (order := list(dict.fromkeys(hs))), [order.index(h) for h in order if hs.count(h) > 1]) for i, name, hs in known]
+    facts = spark.createDataFrame(facts, "template int, license string, wanted array<long>, repeated array<int>")
+    hashed = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), shingle_hashes(F.col(text)).alias("hashes"))
+    if not known:
+        return hashed.limit(0).select(F.col("k").alias(key), F.lit("").alias("license"), F.lit(0).alias("template"), F.lit(0.0).alias("containment"),
+                                      F.lit(0).alias("first_word"), F.lit(0).alias("last_word"))
     hopeful = hashed.where(F.arrays_overlap("hashes", F.array(*map(F.lit, vocabulary)).cast("array<long>")))
-    every = F.concat(*[_windows(F.col("hashes"), s) for s in sizes]) if sizes else F.array()
-    if not sizes:
-        return hashed.limit(0).select(key, F.lit("").alias("license"), F.lit(0).alias("template"), F.lit(0.0).alias("containment"),
-                                      F.lit(0).alias("first_word"), F.lit(0).alias("last_word"), F.lit(0).cast("long").alias("windows"))
-    windows = hopeful.select(key, F.explode(every).alias("w")).select(key, "w.size", "w.start", "w.hashes")
-    banded = windows.select(key, "size", "start", "hashes", F.posexplode(band_values(F.col("hashes"))).alias("band", "value"))
+    every = F.concat(*[_windows(F.col("hashes"), s) for s in sizes])
+    windows = hopeful.select("k", F.sha2("t", 256).alias("digest"), F.explode(every).alias("w")).select("k", "digest", "w.size", "w.start", "w.hashes")
+    banded = windows.select("*", F.posexplode(band_values(F.col("hashes"))).alias("band", "value"))
     found = banded.join(F.broadcast(lookup), ["band", "value", "size"]).join(F.broadcast(facts), "template")
-    votes = found.select(key, "license", "template", "start", F.size("wanted").alias("of"), (F.col("start") + F.size("hashes") + WORDS - 1).alias("end"),
-                         F.explode(F.array_intersect("hashes", "wanted")).alias("hit"))
-    # first one row per shingle, which combines before the shuffle, then one per template, then one per document
-    hits = votes.groupBy(key, "license", "template", "of", "hit").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count_distinct("start").alias("n"))
-    matches = hits.groupBy(key, "license", "template", "of").agg(
-        F.collect_list("hit").alias("hits"), F.min("start").alias("first_word"), F.max("end").alias("last_word"), F.max("n").alias("windows"))
-    matches = matches.withColumn("containment", F.size("hits") / F.col("of")).where(F.col("containment") >= threshold)
-    every = matches.groupBy(key).agg(F.collect_list(F.struct("license", "template", "containment", "first_word", "last_word", "windows", "hits")).alias("all"))
-
-    def is_best(m: Column) -> Column:
-        shared = lambda n: 2 * F.size(F.array_intersect(n["hits"], m["hits"])) >= F.size(m["hits"])
-        return ~F.exists("all", lambda n: (n["containment"] > m["containment"]) & shared(n))
-
-    return every.select(key, F.explode(F.filter("all", is_best)).alias("m")).select(key, "m.*").drop("hits")
+    vote = lambda h, i: F.struct((F.col("start") + i).alias("at"), (F.array_position("wanted", h).cast("int") - 1).alias("place"))
+    votes = found.select("k", "digest", "template", F.explode(F.filter(F.transform("hashes", vote), lambda v: v["place"] >= 0)).alias("v"))
+    # a vote is a number while it is combined: sets of numbers are hashed
+    votes = votes.groupBy("k", "digest", "template").agg(F.collect_set(F.shiftleft(F.col("v.at").cast("long"), 20) + F.col("v.place")).alias("votes"))
+    votes = votes.select("k", "digest", "template", F.explode("votes").alias("v")).select(
+        "k", "digest", "template", F.shiftright("v", 20).cast("int").alias("at"), (F.col("v") % (1 << 20)).cast("int").alias("place"))
+    placed = votes.join(F.broadcast(facts.select("template", "license", F.size("wanted").alias("of"), "repeated")), "template")
+    return _best(_occurrences(placed).where(F.col("containment") >= threshold), 2 * max(len(h) for _, _, h in known) + 2 * WORDS).select(
+        F.col("k").alias(key), "license", "template", "containment", "first_word", "last_word")
+
+
+def _occurrences(votes: DataFrame) -> DataFrame:
+    """Votes (at: place in the text, place: place in the template) as occurrences, one row each.
+
+    A run of votes ends where the template's places fall back, or where the text goes on by more than the template's length
+    (`PIECE` words at least) beyond what the template has there. A run that follows closely and is, by half or more, not in
+    the run before belongs to the same occurrence: parts were swapped, or a phrase was said twice. Shingles that a
+    template repeats say nothing about order; they go with the votes before them.
+    """
+    one = ["k", "digest", "template", "license", "of"]
+    along = Window.partitionBy(*one).orderBy("at", "place")
+    slack = F.greatest(F.lit(PIECE), F.col("of"))
+    told = ~F.array_contains("repeated", F.col("place"))
+    before = F.last(F.when(told, F.struct("at", "place")), ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1))
+    votes = votes.withColumn("told", told).withColumn("before", before)
+    gap = F.col("at") - F.col("before.at")
+    begins = F.col("told") & (F.col("before").isNull() | (F.col("place") <= F.col("before.place")) | (gap - (F.col("place") - F.col("before.place")) > slack))
+    near = F.col("told") | F.col("before").isNull() | (gap <= slack + F.col("of"))
+    runs = votes.withColumn("run", F.greatest(F.sum(begins.cast("int")).over(along), F.lit(1))).where(near).groupBy(*one, "run").agg(
+        F.min("at").alias("first"), F.max("at").alias("last"), F.collect_set("place").alias("places"))
+    follows = Window.partitionBy(*one).orderBy("run")
+    last, held = F.lag("last").over(follows), F.lag("places").over(follows)
+    runs = runs.withColumn("apart", last.isNull() | (F.col("first") - last > slack + F.col("of"))
+                           | (2 * F.size(F.array_intersect("places", held)) >= F.least(F.size("places"), F.size(held))))
+    parts = runs.withColumn("part", F.sum(F.col("apart").cast("int")).over(follows)).groupBy(*one, "part")
+    return parts.agg(F.min("first").alias("first_word"), (F.max("last") + WORDS).alias("last_word"),
+                     F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("n")).select(
+        "k", "digest", "license", "template", (F.col("n") / F.col("of")).alias("containment"), "first_word", "last_word")
+
+
+def _best(matches: DataFrame, stretch: int) -> DataFrame:
+    """Matches of which no better one covers half. They meet in stretches of `stretch` words, which hold a few each."""
+    names = ["license", "template", "containment", "first_word", "last_word"]
+    spread = matches.withColumn("stretch", F.explode(F.sequence(F.floor(F.col("first_word") / stretch), F.floor((F.col("last_word") - 1) / stretch))))
+    met = spread.groupBy("k", "digest", "stretch").agg(F.collect_list(F.struct(*names)).alias("all"))
+
+    def beaten(m: Column) -> Column:
+        def by(n: Column) -> Column:
+            common = F.least(n["last_word"], m["last_word"]) - F.greatest(n["first_word"], m["first_word"])
+            return (n["containment"] > m["containment"]) & (2 * common >= m["last_word"] - m["first_word"])
+
+        return F.exists("all", by)
+
+    judged = met.select("k", "digest", F.explode(F.transform("all", lambda m: F.struct(*[m[n].alias(n) for n in names], beaten(m).alias("beaten")))).alias("m"))
+    return judged.select("k", "digest", "m.*").groupBy("k", "digest", *names).agg(F.bool_or("beaten").alias("beaten")).where("NOT beaten")
 
 
 def _xor(value: int, mask: int) -> int:

@@ -5,17 +5,36 @@ from pyspark.sql import functions as F
 from freightlens.llm import licenses
 
 
+def words(text):
+    return [w for w in re.split("[^a-z0-9]+", (text or "").lower()) if w]
+
+
 def shingles(text):
-    words = [w for w in re.split("[^a-z0-9]+", (text or "").lower()) if w]
-    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+    found = words(text)
+    return {tuple(found[i : i + 5]) for i in range(len(found) - 4)}
+
+
+KNOWN = {i: (words(t), shingles(t)) for i, (_, t) in enumerate(licenses.TEMPLATES)}
 
 
 def by_hand(text):
-    """Templates whose share of shingles in the whole text reaches the threshold, less those beaten in the same place."""
-    there = shingles(text)
-    found = {i: (len(shingles(t) & there) / len(shingles(t)), shingles(t) & there) for i, (_, t) in enumerate(licenses.TEMPLATES)}
-    found = {i: f for i, f in found.items() if f[0] >= licenses.THRESHOLD}
-    return {i for i, (share, hits) in found.items() if not any(s > share and 2 * len(h & hits) >= len(hits) for s, h in found.values())}
+    """Templates found by sliding a stretch of their own length, and some more, over the text: the best containment at each
+    place, less those of which a better one covers half. Without hashes, windows, bands or votes."""
+    found, out = words(text), set()
+    there = [tuple(found[i : i + 5]) for i in range(len(found) - 4)]
+    shares = {}
+    for i, (own, wanted) in KNOWN.items():
+        if wanted & set(there):
+            for room in (len(own) - 4, len(own) + 4):
+                for s in range(max(len(there) - room, 0) + 1):
+                    inside = [p for p in range(s, min(s + room, len(there))) if there[p] in wanted]
+                    share = len({there[p] for p in inside}) / len(wanted)
+                    if share >= licenses.THRESHOLD:
+                        shares[i, inside[0], inside[-1] + 5] = max(share, shares.get((i, inside[0], inside[-1] + 5), 0))
+    for (i, a, b), share in shares.items():
+        if not any(s > share and 2 * (min(b, d) - max(a, c)) >= b - a for (j, c, d), s in shares.items() if j != i):
+            out.add(i)
+    return out
 
 
 def test_every_template_in_any_place(spark, make_docs):
@@ -42,6 +61,56 @@ def test_edited_notice_and_repeats(spark, make_docs):
     assert licenses.find_licenses(make_docs([(1, long)]), templates=[("x", "too short")]).count() == 0
 
 
+def found_in(make_docs, rows):
+    got = licenses.find_licenses(make_docs(rows)).collect()
+    return sorted((r["doc_id"], r["license"], r["first_word"], r["last_word"], round(r["containment"], 3)) for r in got)
+
+
+def test_each_occurrence_is_judged_where_it_stands(make_docs):
+    by = next(t for n, t in licenses.TEMPLATES if n == "CC-BY-4.0" and len(t) > 40)
+    nc = next(t for n, t in licenses.TEMPLATES if n == "CC-BY-NC-4.0" and len(t) > 40)
+    filler = " ".join(f"w{i}" for i in range(400))
+    edited = nc.replace("License.", "Licence.")
+    n = len(words(by))
+    rows = found_in(make_docs, [(1, f"{by} {filler} {edited}"), (2, f"{by} {by} {by}"), (3, f"{filler} {nc}")])
+    share = round((len(shingles(nc)) - 1) / len(shingles(nc)), 3)
+    assert rows == [
+        (1, "CC-BY-4.0", 0, n, 1.0), (1, "CC-BY-NC-4.0", n + 400, n + 400 + len(words(nc)) - 1, share),
+        *[(2, "CC-BY-4.0", i * n, (i + 1) * n, 1.0) for i in range(3)],
+        (3, "CC-BY-NC-4.0", 400, 400 + len(words(nc)), 1.0),
+    ]
+
+
+def test_swapped_parts_said_twice_and_pieces_far_apart(make_docs):
+    mit = next(t for n, t in licenses.TEMPLATES if n == "MIT" and len(t) > 200)
+    w = words(mit)
+    swapped = " ".join(w[30:] + w[:30])
+    twice = " ".join(w[:40] + w[20:27] + w[40:])
+    noted = " ".join(w[:40] + [f"n{i}" for i in range(20)] + w[40:])
+    filler = [f"w{i}" for i in range(500)]
+    apart = " ".join(w[:30] + filler + w[30:])
+    many = " ".join(w * 50)
+    rows = found_in(make_docs, [(1, swapped), (2, twice), (3, noted), (4, apart), (5, many)])
+    assert [r[:4] for r in rows if r[0] < 4] == [(1, "MIT", 0, len(w)), (2, "MIT", 0, len(w) + 7), (3, "MIT", 0, len(w) + 20)]
+    assert [r[2:] for r in rows if r[0] == 5] == [(i * len(w), (i + 1) * len(w), 1.0) for i in range(50)]
+    assert not [r for r in rows if r[0] == 4]
+
+
+def test_rows_without_a_key_are_judged_one_by_one(make_docs):
+    mit = next(t for n, t in licenses.TEMPLATES if n == "MIT" and len(t) > 200)
+    w = words(mit)
+    assert not found_in(make_docs, [(None, " ".join(w[:35])), (None, " ".join(w[35:]))])
+    rows = licenses.find_licenses(make_docs([(None, mit), (None, "x " + mit), (None, mit)])).collect()
+    assert sorted(r["first_word"] for r in rows) == [0, 1]
+
+
+def test_template_that_repeats_a_shingle(make_docs):
+    notice = "a b c d e f g h a b c d e i j k"
+    docs = make_docs([(1, notice + " z " + notice), (2, "a b c d e"), (3, "y y y y y y " + notice)])
+    rows = licenses.find_licenses(docs, templates=[("x", notice)]).collect()
+    assert sorted((r["doc_id"], r["containment"]) for r in rows) == [(1, 1.0), (1, 1.0), (3, 1.0)]
+
+
 def test_windows_hold_every_place():
     for size in range(1, licenses.PIECE + 1):
         length, step = licenses.window_plan(size)
