@@ -119,7 +119,8 @@ def find_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
                                       F.lit(0).alias("first_word"), F.lit(0).alias("last_word"))
     hopeful = hashed.where(F.arrays_overlap("hashes", F.array(*map(F.lit, vocabulary)).cast("array<long>")))
     every = F.concat(*[_windows(F.col("hashes"), s) for s in sizes])
-    windows = hopeful.select("k", F.sha2("t", 256).alias("digest"), F.explode(every).alias("w")).select("k", "digest", "w.size", "w.start", "w.hashes")
+    hopeful = hopeful.select("k", F.sha2("t", 256).alias("digest"), "hashes")  # once a text, not once a window
+    windows = hopeful.select("k", "digest", F.explode(every).alias("w")).select("k", "digest", "w.size", "w.start", "w.hashes")
     banded = windows.select("*", F.posexplode(band_values(F.col("hashes"))).alias("band", "value"))
     found = banded.join(F.broadcast(lookup), ["band", "value", "size"]).join(F.broadcast(facts), "template")
     vote = lambda h, i: F.struct((F.col("start") + i).alias("at"), (F.array_position("wanted", h).cast("int") - 1).alias("place"))
