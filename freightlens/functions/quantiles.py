@@ -29,10 +29,13 @@ def exact_quantiles(
 
 def _bracketed(values: DataFrame, names: list[str], probs: list[float], held: int):
     max_held = max(held // max(len(names) * len(probs), 1), 1)
+    # one sketch a column, read with the counts, gives the first brackets of all its ranks
+    edges = [min(max(p + side * 3.0 / ACCURACY, 0.0), 1.0) for p in probs for side in (-1, 1)]
     first = values.agg(
         *[F.count(n).alias(f"n_{n}") for n in names],
         *[F.min(n).alias(f"lo_{n}") for n in names],
         *[F.max(n).alias(f"hi_{n}") for n in names],
+        *[F.percentile_approx(n, F.array(*map(F.lit, edges)), ACCURACY).alias(f"s_{n}") for n in names if edges],
     ).first()
     targets = []
     for n in names:
@@ -43,22 +46,17 @@ def _bracketed(values: DataFrame, names: list[str], probs: list[float], held: in
                 targets.append({
                     "name": n, "slot": i, "h": h, "r0": math.floor(h), "r1": math.ceil(h),
                     "lo": first[f"lo_{n}"], "hi": first[f"hi_{n}"], "below": 0, "inside": count,
+                    "new": tuple(first[f"s_{n}"][2 * i : 2 * i + 2]),
                 })
+    sketched = True
     while True:
         wide = [t for t in targets if t["inside"] > max_held and t["lo"] < t["hi"]]
         if not wide:
             break
-        asked = []
-        for j, t in enumerate(wide):
-            near = (t["r0"] - t["below"]) / t["inside"] - 2.0 / ACCURACY
-            far = (t["r1"] + 1 - t["below"]) / t["inside"] + 2.0 / ACCURACY
-            held = F.when(_inside(t), F.col(t["name"]))
-            pair = F.array(F.lit(min(max(near, 0.0), 1.0)), F.lit(min(max(far, 0.0), 1.0)))
-            asked.append(F.percentile_approx(held, pair, ACCURACY).alias(f"b{j}"))
-        bounds = values.agg(*asked).first()
+        if not sketched:
+            _narrow(values, wide)
         counted = []
         for j, t in enumerate(wide):
-            t["new"] = tuple(bounds[f"b{j}"])
             counted += [
                 F.count_if(F.col(t["name"]) < F.lit(t["new"][0])).alias(f"below{j}"),
                 F.count_if(F.col(t["name"]).between(*t["new"])).alias(f"inside{j}"),
@@ -69,8 +67,9 @@ def _bracketed(values: DataFrame, names: list[str], probs: list[float], held: in
             if below <= t["r0"] and t["r1"] < below + inside and inside < t["inside"]:
                 t["lo"], t["hi"], t["below"], t["inside"] = *t["new"], below, inside
                 moved = True
-        if not moved:
+        if not moved and not sketched:
             _halve(values, wide)
+        sketched = False
     gathered = [
         F.sort_array(F.collect_list(F.when(_inside(t), F.col(t["name"])))).alias(f"v{j}")
         if t["lo"] < t["hi"] else F.array(F.lit(t["lo"])).alias(f"v{j}")
@@ -97,6 +96,19 @@ def _inside(t: dict) -> Column:
     return F.col(t["name"]).between(F.lit(t["lo"]), F.lit(t["hi"]))
 
 
+def _narrow(values: DataFrame, wide: list[dict]) -> None:
+    """Asks a sketch of what is left in each bracket for a closer one."""
+    asked = []
+    for j, t in enumerate(wide):
+        near = (t["r0"] - t["below"]) / t["inside"] - 2.0 / ACCURACY
+        far = (t["r1"] + 1 - t["below"]) / t["inside"] + 2.0 / ACCURACY
+        pair = F.array(F.lit(min(max(near, 0.0), 1.0)), F.lit(min(max(far, 0.0), 1.0)))
+        asked.append(F.percentile_approx(F.when(_inside(t), F.col(t["name"])), pair, ACCURACY).alias(f"b{j}"))
+    bounds = values.agg(*asked).first()
+    for j, t in enumerate(wide):
+        t["new"] = tuple(bounds[f"b{j}"])
+
+
 def _halve(values: DataFrame, wide: list[dict]) -> None:
     """A value so frequent that sketches cannot narrow its bracket: split the bracket at that value."""
     pivots = values.agg(*[
