@@ -34,3 +34,23 @@ def test_search_counts_hits_of_every_trial(sample):
         assert objective == pytest.approx(f1 if tp / true >= 0.95 else f1 - 10.0)
     assert best == max(log, key=lambda t: t[2])[1]
     assert replace(best, depth=2) == base
+
+
+def test_logistic_models_reach_the_least_loss_in_a_few_passes(sample, monkeypatch):
+    """Collinear, almost separable rows: the gradient of the penalised loss vanishes, every fold and penalty side by side."""
+    rows = sample.select(ID, "a", (F.col("a") * 20).alias("b"), (F.col("a") + F.col("b") / 1000 > 0).cast("int").alias("silent_failure"), F.lit(1.0).alias("weight"))
+    passes, curves = [], models.linear._curves
+    monkeypatch.setattr(models.linear, "_curves", lambda *a: passes.append(len(a[2])) or curves(*a))
+    fitted = models.fit(rows, INPUTS, models.PRESETS["logistic_reg"])
+    assert len(passes) < 100 and max(passes) == 15
+    got = fitted.score(rows).select("a", "b", "silent_failure", "p").toPandas()
+    weights = np.array([fitted.model.weights[c] for c in INPUTS])
+    x = np.column_stack([(got[c] - fitted.stats[c][0]) / fitted.stats[c][1] for c in INPUTS])
+    slopes = [min(abs(x.T @ (got.p - got.silent_failure) / len(got) + weights / (c * len(got))).max() for c in fitted.settings.grid)]
+    assert max(slopes) < 1e-6 and abs((got.p - got.silent_failure).mean()) < 1e-6
+
+
+def test_one_class_has_a_certain_model(sample):
+    rows = sample.where("silent_failure = 1").withColumn("weight", F.lit(1.0))
+    fitted = models.fit(rows, INPUTS, models.Settings("logistic", 50, grid=(1.0,)))
+    assert {r["p"] for r in fitted.score(rows).select("p").collect()} == {1.0}
