@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from freightlens.operators import balance
+from freightlens.operators import balance, neighbors
 from freightlens.operators.neighbors import KnnPlan, knn_join
 from freightlens.sources.shipments import ID, TARGET
 
@@ -82,3 +82,25 @@ def test_ks_of_equal_and_shifted_samples(small):
     apart = small.withColumn("side", F.lit(True)).unionByName(small.withColumn("a", F.col("a") + 100).withColumn("side", F.lit(False)))
     rows = balance.ks_two_sample(apart, F.col("side"), ["a"]).collect()
     assert rows[0]["statistic"] == 1 and rows[0]["diverges"]
+
+
+@pytest.mark.parametrize("nullable", [0, 2])
+def test_estimates_leave_few_pairs_and_lose_none(nullable):
+    """Far from the origin and with near ties, every true neighbour is among a few candidates."""
+    rng = np.random.default_rng(7)
+    d = 1e6 + rng.normal(size=(900, 12))
+    d[400:500] = d[300:400] + 1e-9 * rng.normal(size=(100, 12))
+    q, width = d[:350] + 0.1, 12 - nullable
+    if nullable:
+        d[::5, 10], q[::4, 11] = np.nan, np.nan
+    diff = q[:, None] - d[None]
+    exact = np.where(np.isnan(diff), 0.0, diff**2).sum(axis=2) * 12 / (~np.isnan(diff)).sum(axis=2)
+    near, off = neighbors._estimates(q, d, width)(0, len(q))
+    assert (abs(near - exact) <= off[:, None]).all()
+    kth = np.sort(exact, axis=1)[:, 4]
+    for bound in (np.full(len(q), np.inf), kth, kth * 2):
+        r, c = neighbors._candidates(near.copy(), off, bound, 5)
+        found = set(zip(r.tolist(), c.tolist()))
+        assert set(zip(*(x.tolist() for x in np.nonzero(exact <= kth[:, None])))) <= found and len(found) <= 50 * len(q)
+    d[0, 0] = np.nan
+    assert neighbors._estimates(q, d, width) is None
