@@ -134,3 +134,35 @@ def test_blocks_hold_whole_trees():
     grown = [np.zeros(n, trees.NODE) for n in (3, 3, 10, 1, 1)]
     assert [[len(t) for t in b] for b in treeshap.blocks(grown, 6)] == [[3, 3], [10], [1, 1]]
     assert treeshap.blocks([], 6) == []
+
+
+def test_boosting_on_spark_keeps_one_table_of_margins(coded, monkeypatch):
+    """A block is a row of its own, margins are written every few rounds, and what no round reads is gone."""
+    coding, rows = coded
+    made, gone = [], []
+    monkeypatch.setattr(trees, "new_folder", lambda spark, label, real=trees.new_folder: made.append(real(spark, label)) or made[-1])
+    monkeypatch.setattr(trees, "discard", lambda spark, path, real=trees.discard: gone.append(path) or real(spark, path))
+    spec = trees.Spec(True, 2 * trees.REFRESH + 1, 2, 2, 0.3, 0.7)
+    grown, = trees.fit_many(rows, [spec], coding, 1)
+    assert len(grown) == spec.rounds and len(made) == 3 and gone == made
+    blocks = rows.mapInArrow(trees._blocks, trees.BLOCKS)
+    assert blocks.count() < 50 and sum(len(r["h"]) // 8 for r in blocks.collect()) == 2000
+
+
+def test_routes_of_shallow_and_deep_trees():
+    """Every row ends where single steps lead it, whatever the depth."""
+    r = np.random.default_rng(2)
+    codes = r.integers(0, 64, (500, 4)).astype(np.uint8)
+    for depth in (0, 1, 5, 6, 7, 20):
+        nodes = np.zeros(2 * depth + 1, trees.NODE)
+        nodes["feature"] = -1
+        for i in range(depth):  # a chain: the left child is a leaf
+            nodes[2 * i]["feature"], nodes[2 * i]["mask"] = i % 4, np.uint64(1) << np.uint64(3 * i % 64)
+            nodes[2 * i]["left"], nodes[2 * i]["right"] = 2 * i + 1, 2 * i + 2
+        want = []
+        for row in codes:
+            at = 0
+            while nodes[at]["feature"] >= 0:
+                at = nodes[at]["left" if int(nodes[at]["mask"]) >> int(row[nodes[at]["feature"]]) & 1 else "right"]
+            want.append(int(at))
+        assert trees.route(nodes, codes).tolist() == want
