@@ -54,3 +54,9 @@ def test_one_class_has_a_certain_model(sample):
     rows = sample.where("silent_failure = 1").withColumn("weight", F.lit(1.0))
     fitted = models.fit(rows, INPUTS, models.Settings("logistic", 50, grid=(1.0,)))
     assert {r["p"] for r in fitted.score(rows).select("p").collect()} == {1.0}
+
+
+def test_missing_inputs_stop_the_fit(sample):
+    rows = sample.withColumn("a", F.when(F.col(ID) != "k3", F.col("a"))).withColumn("weight", F.lit(1.0))
+    with pytest.raises(ValueError, match="missing"):
+        models.fit(rows, INPUTS, models.Settings("logistic", 50, grid=(1.0,)))
