@@ -1,3 +1,5 @@
+from dataclasses import replace
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -104,3 +106,17 @@ def test_estimates_leave_few_pairs_and_lose_none(nullable):
         assert set(zip(*(x.tolist() for x in np.nonzero(exact <= kth[:, None])))) <= found and len(found) <= 50 * len(q)
     d[0, 0] = np.nan
     assert neighbors._estimates(q, d, width) is None
+
+
+def test_rounds_over_leaves_equal_full_search(spark, monkeypatch):
+    """Queries that reach many leaves go on until none is left within their bound."""
+    rng = np.random.default_rng(9)
+    points = {f"r{i:03d}": rng.normal(size=5).tolist() for i in range(300)}
+    df = spark.createDataFrame([(k, *v) for k, v in points.items()], "id string, a double, b double, c double, d double, e double")
+    rounds, visits = [], neighbors._visits
+    monkeypatch.setattr(neighbors, "_visits", lambda boxes, width, first, last: rounds.append((first, last)) or visits(boxes, width, first, last))
+    got = {}
+    for r in knn_join(df, df, 3, list("abcde"), "id", "id", exclude_self=True, plan=replace(TIGHT, first_leaves=1)).collect():
+        got.setdefault(r["query_id"], []).append((r["donor_id"], r["rank"]))
+    assert rounds == [(0, 1), (1, 4), (4, 16)]
+    assert {k: sorted(v, key=lambda t: t[1]) for k, v in got.items()} == brute(points, points, 3, True)
