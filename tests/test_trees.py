@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from freightlens.operators import trees, treeshap
+from freightlens.operators import models, trees, treeshap
 from freightlens.session import stage
 from freightlens.sources.shipments import ID
 
@@ -166,3 +166,27 @@ def test_routes_of_shallow_and_deep_trees():
                 at = nodes[at]["left" if int(nodes[at]["mask"]) >> int(row[nodes[at]["feature"]]) & 1 else "right"]
             want.append(int(at))
         assert trees.route(nodes, codes).tolist() == want
+
+
+def test_large_ensembles_stay_in_a_table(sample, monkeypatch):
+    """Above the bound no tree reaches the driver; scores, objectives and attributions are those of held trees, whatever keys repeat."""
+    settings = [models.Settings("forest", 7, 6, feature_share="auto"), models.Settings(rounds=5, depth=3)]
+    rows = sample.withColumn(ID, F.when(F.col(ID) > "k5", F.col(ID)))
+    small = models.fit_all(sample, ["a", "b", "c"], settings, "y")
+    monkeypatch.setattr(trees, "held", None)
+    monkeypatch.setattr(trees, "HELD_BYTES", 0)
+    monkeypatch.setattr(trees, "BLOCK_BYTES", 3_000)
+    monkeypatch.setattr(treeshap, "PART_ROWS", 700)
+    large = models.fit_all(sample, ["a", "b", "c"], settings, "y")
+    for a, b in zip(small, large):
+        assert isinstance(b.model.trees, trees.Stored) and b.model.trees.blocks > 2
+        want, got = (sorted(tuple(r) for r in m.score(rows.fillna("", [ID]), "p").select(ID, "b", "c", "p").collect()) for m in (a, b))
+        assert len(got) == 2000 and np.array([r[3] for r in got]) == pytest.approx(np.array([r[3] for r in want]), abs=1e-12)
+        assert models.trial_objectives([b], sample, "y") == pytest.approx(models.trial_objectives([a], sample, "y"))
+        one, two = ({r[ID]: r for r in treeshap.tree_shap(m, sample, ID).collect()} for m in (a, b))
+        assert len(two) == 2000
+        for k in ("k0", "k7", "k1999"):
+            assert two[k]["base_value"] == pytest.approx(one[k]["base_value"])
+            assert [c["feature"] for c in two[k]["contributions"]] == [c["feature"] for c in one[k]["contributions"]]
+            assert [c["shap_value"] for c in two[k]["contributions"]] == pytest.approx([c["shap_value"] for c in one[k]["contributions"]], abs=1e-12)
+    assert models.trial_objectives(large, sample, "y") == pytest.approx(models.trial_objectives(small, sample, "y"))
