@@ -4,7 +4,8 @@ A perturbed copy draws a bin for each feature (the quartile of a continuous one,
 training frequencies, and a value within it; neither depends on the row that is explained, only the pattern of bins that
 the copy shares with the row does. So `samples` copies are drawn and scored once for all rows. They are a table of bin
 numbers and predictions, of a size that the caller sets, and each row's weighted ridge is solved from it in one pass. Rows
-of a batch that fall in the same bins share their sums and differ by their own prediction only.
+of a task that fall in the same bins share their sums and differ by their own prediction only; the systems of a batch are
+solved together.
 """
 
 from __future__ import annotations
@@ -21,6 +22,10 @@ from freightlens.functions.quantiles import exact_quantiles
 from freightlens.sources.shipments import ID
 
 
+#: Patterns of bins whose sums a task keeps.
+PATTERNS = 50_000
+
+
 @dataclass(frozen=True)
 class Bins:
     """Per feature: ordered (low, high, share, mean, deviation) of the bins; a level is a bin from its value to itself."""
@@ -118,21 +123,31 @@ def explain_rows(rows: DataFrame, bins: Bins, predict: Callable[[DataFrame], Dat
         return x.T @ (x * np.exp(-(size - kept.sum(axis=1)) / width**2)[:, None] ** 0.5)
 
     def solve(batches):
+        known: dict[bytes, np.ndarray] = {}  # sums by pattern, for all batches of a task
         for pdf in batches:
-            patterns = np.stack(pdf["codes"].to_numpy()) if len(pdf) else np.zeros((0, size), int)
-            held, group = np.unique(patterns, axis=0, return_inverse=True)
-            sums, out = [sums_of(p) for p in held], []
-            for key, p, g in zip(pdf[ID], pdf["p"], np.ravel(group)):
-                itself = np.concatenate([np.ones(size + 1), [p]])  # all features kept: weight one
-                m = sums[g] + np.outer(itself, itself)
-                mean, centre = m[0, 1:-1] / m[0, 0], m[0, -1] / m[0, 0]
-                xx, xy = m[1:-1, 1:-1] - m[0, 0] * np.outer(mean, mean), m[1:-1, -1] - m[0, 0] * mean * centre
-                coef = _ridge(xx, xy, np.arange(size), ridge)
-                best = np.argsort(-np.abs(coef), kind="stable")[:top]
-                coef = _ridge(xx, xy, best, ridge)
-                intercept, order = float(centre - mean[best] @ coef), np.argsort(-np.abs(coef), kind="stable")
-                out.append((key, intercept, intercept + float(coef.sum()), [names[best[i]] for i in order], [float(coef[i]) for i in order]))
-            yield pd.DataFrame(out, columns=[ID, "intercept", "local_prediction", "feature", "weight"])
+            if not len(pdf):
+                continue
+            held, group = np.unique(np.stack(pdf["codes"].to_numpy()), axis=0, return_inverse=True)
+            keys = [p.tobytes() for p in held]
+            if len(known) + len(keys) > PATTERNS:
+                known.clear()
+            for key, p in zip(keys, held):
+                if key not in known:
+                    known[key] = sums_of(p)
+            p = pdf["p"].to_numpy(float)
+            itself = np.column_stack([np.ones((len(p), size + 1)), p])  # all features kept: weight one
+            m = np.stack([known[k] for k in keys])[np.ravel(group)] + itself[:, :, None] * itself[:, None, :]
+            mean, centre = m[:, 0, 1:-1] / m[:, :1, 0], m[:, 0, -1] / m[:, 0, 0]
+            xx = m[:, 1:-1, 1:-1] - m[:, 0, 0, None, None] * (mean[:, :, None] * mean[:, None, :])
+            xy = m[:, 1:-1, -1] - m[:, 0, :1] * mean * centre[:, None]
+            best = np.argsort(-np.abs(_ridges(xx, xy, ridge)), axis=1, kind="stable")[:, :top]
+            chosen = np.take_along_axis(np.take_along_axis(xx, best[:, :, None], 1), best[:, None, :], 2)
+            coef = _ridges(chosen, np.take_along_axis(xy, best, 1), ridge)
+            intercept = centre - (np.take_along_axis(mean, best, 1) * coef).sum(axis=1)
+            order = np.argsort(-np.abs(coef), axis=1, kind="stable")
+            named, weights = np.array(names, object)[np.take_along_axis(best, order, 1)], np.take_along_axis(coef, order, 1)
+            yield pd.DataFrame({ID: pdf[ID], "intercept": intercept, "local_prediction": intercept + coef.sum(axis=1),
+                                "feature": list(named), "weight": list(weights)})
 
     solved = own.mapInPandas(solve, f"{ID} string, intercept double, local_prediction double, feature array<string>, weight array<double>")
     both = F.arrays_zip("feature", "weight")
@@ -141,6 +156,6 @@ def explain_rows(rows: DataFrame, bins: Bins, predict: Callable[[DataFrame], Dat
         F.when(c["weight"] > 0, "increases_risk").otherwise("decreases_risk").alias("direction"))).alias("contributions"))
 
 
-def _ridge(xx: np.ndarray, xy: np.ndarray, columns: np.ndarray, penalty: float) -> np.ndarray:
-    """Coefficients of the chosen columns from centred weighted sums."""
-    return np.linalg.solve(xx[np.ix_(columns, columns)] + penalty * np.eye(len(columns)), xy[columns])
+def _ridges(xx: np.ndarray, xy: np.ndarray, penalty: float) -> np.ndarray:
+    """Coefficients of each row's centred weighted sums."""
+    return np.linalg.solve(xx + penalty * np.eye(xx.shape[-1]), xy[..., None])[..., 0]

@@ -2,9 +2,11 @@ import json
 from dataclasses import replace
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from freightlens.catalog import learning
 from freightlens.operators import (
     anomaly, audit, baselines, collinearity, decide, experiments, explain, features, folds, impute, iterative, lime, linear,
     metrics, models, outliers, profile, thresholds, treeshap, validate,
@@ -237,6 +239,44 @@ def test_isolation_forest_finds_far_rows(spark):
     assert baselines.two_means(df, ["a", "b"], 2)[1].first()["adjusted_rand"] > 0.9
 
 
+def test_forests_score_rows_as_single_walks_do(spark):
+    """Trees of any shape, a single leaf too, filled up to their depth; several forests in one reading, NULL never above a cut."""
+    rng = np.random.default_rng(4)
+    data = [(str(i), float(a), float(b) if i % 7 else None) for i, (a, b) in enumerate(rng.normal(size=(300, 2)))]
+    df = spark.createDataFrame(data, f"{ID} string, a double, b double").repartition(3)
+    leaf = pd.DataFrame({"feature": [-1], "cut": [0.0], "left": [-1], "path": [2.5]})
+    trees = [*baselines.isolation_trees(df.fillna(0.0), ["a", "b"], 5, 300), leaf]
+    expected = float(baselines._harmonic_path(baselines.SUBSAMPLE))
+
+    def walk(tree, x):
+        t, at = tree.reset_index(drop=True), 0
+        while t["feature"][at] >= 0:
+            at = t["left"][at] + (x[t["feature"][at]] is not None and x[t["feature"][at]] > t["cut"][at])
+        return t["path"][at]
+
+    got = baselines.isolation_columns(df, ["a", "b"], {"s": trees, "one": trees[:1]}).collect()
+    assert len(got) == 300
+    for r in got:
+        paths = [walk(t, (r["a"], r["b"])) for t in trees]
+        assert r["s"] == pytest.approx(2.0 ** (-np.mean(paths) / expected)) and r["one"] == pytest.approx(2.0 ** (-paths[0] / expected))
+
+
+def test_plain_stages_bound_the_rows_of_a_task(spark):
+    """Rows of few values are tiny when encoded; learners that keep partitions as objects still get a bounded number at once."""
+    rows = spark.range(600_000).select(*[(F.col("id") % 3).cast("double").alias(f"x{i}") for i in range(10)]).coalesce(1)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(8 << 20))
+    try:
+        most = lambda df: max(r["count"] for r in df.groupBy(F.spark_partition_id().alias("part")).count().collect())
+        assert most(stage(rows, "encoded")) == 600_000 and most(stage(rows, "plain", plain=True)) < 450_000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_lime_stages_what_it_reads(spark, sf):
+    assert learning._lime_rows(spark, sf).columns == [ID, *linear.DEMO.weights, TARGET, "p"]
+
+
 def test_action_rules(spark):
     df = spark.createDataFrame([
         ("a", "High", ["temp_range_c"], 0.1, 0.9), ("b", "Medium", ["temp_range_c"], 0.1, 0.4), ("c", "Medium", ["door_opens", "sensor_gap_hours"], 0.1, 0.4),
