@@ -190,3 +190,33 @@ def test_large_ensembles_stay_in_a_table(sample, monkeypatch):
             assert [c["feature"] for c in two[k]["contributions"]] == [c["feature"] for c in one[k]["contributions"]]
             assert [c["shap_value"] for c in two[k]["contributions"]] == pytest.approx([c["shap_value"] for c in one[k]["contributions"]], abs=1e-12)
     assert models.trial_objectives(large, sample, "y") == pytest.approx(models.trial_objectives(small, sample, "y"))
+
+
+def test_tasks_of_one_stage_grow_the_same_boosting(coded, monkeypatch):
+    """Tasks that keep their rows and exchange histograms grow the trees of a single task, covers included, in one stage for
+    all ensembles. Where they cannot open the shared folder, levels are jobs as before."""
+    coding, rows = coded
+    specs = [trees.Spec(True, 6, 4, 2, 0.3, 0.7, l2=1.0), trees.Spec(True, 3, 6, 3, 0.1, min_rows=7, min_gain=0.2)]
+    want = [[shape(t) for t in grown] for grown in trees.fit_many(rows, specs, coding)]
+    jobs, boost = [], trees._boost
+    monkeypatch.setattr(trees, "_boost", lambda *a: jobs.append(1) or boost(*a))
+    assert [[shape(t) for t in grown] for grown in trees.fit_many(rows, specs, coding, 300)] == want and not jobs
+    monkeypatch.setattr(trees, "local_path", lambda spark, path: None)
+    assert [[shape(t) for t in grown] for grown in trees.fit_many(rows, specs[1:], coding, 300)] == want[1:] and jobs
+
+
+def test_joint_histograms_equal_those_of_each_input(monkeypatch):
+    """Inputs of few codes share a count; dropped inputs, subsets of rows and small nodes included."""
+    r = np.random.default_rng(4)
+    widths = [64, 3, 10, 63, 4, 64, 2, 40, 64, 5, 64, 64, 64, 64, 64, 64, 64, 64, 64, 64, 64, 64, 64]
+    codes = np.column_stack([r.integers(0, n, 9_000) for n in widths]).astype(np.uint8)
+    share = trees.Share(np.zeros(9_000, np.uint64), np.zeros(9_000), np.ones(9_000), codes, widths)
+    assert sorted(sum(share.groups, [])) == list(range(len(widths))) and all(np.prod(s) <= trees.GROUP_CELLS for s in share.sizes)
+    terms, picks = r.integers(-9, 9, 9_000) + 1j * r.integers(1, 9, 9_000), np.array([0, 1, 4, 6, 7, 22])
+    nodes = [np.arange(9_000), np.arange(500, 8_000), np.arange(0, 9_000, 7), np.zeros(0, np.int64)]
+    for counted in (False, True):
+        got = share.histograms(nodes, picks, terms, counted)
+        for i, rows in enumerate(nodes):
+            for k, j in enumerate(picks):
+                for t, values in enumerate((terms.real, terms.imag, np.ones(9_000))[: 2 + counted]):
+                    assert (got[i, k, :, t] == np.bincount(codes[rows, j], values[rows], trees.BINS)).all()
