@@ -220,3 +220,39 @@ def test_joint_histograms_equal_those_of_each_input(monkeypatch):
             for k, j in enumerate(picks):
                 for t, values in enumerate((terms.real, terms.imag, np.ones(9_000))[: 2 + counted]):
                     assert (got[i, k, :, t] == np.bincount(codes[rows, j], values[rows], trees.BINS)).all()
+
+
+def test_patterns_give_the_attributions_of_the_walk(monkeypatch):
+    """Many rows look up what each pattern of ways adds: as the walk, with categories, features met again and trees too deep for it."""
+    r = np.random.default_rng(6)
+    codes = r.integers(0, 20, (9_000, 4)).astype(np.uint8)
+    y = ((codes[:, 0] > 9) ^ (codes[:, 1] > 5) ^ (codes[:, 2] % 3 == 0) ^ (r.random(9_000) < 0.1)).astype(np.int64)
+    walked = []
+    monkeypatch.setattr(treeshap, "attribute", lambda *a, real=treeshap.attribute: walked.append(1) or real(*a))
+    for depth, patterns in ((0, True), (1, True), (6, True), (9, True), (14, False)):
+        growing = trees.Growing(trees.Spec(False, 1, depth, 4), 0, np.array([False, False, True, False]))
+        trees.grow(growing, codes, [y * trees.WEIGHT_UNIT, np.full(9_000, trees.WEIGHT_UNIT), np.ones(9_000, np.int64)])
+        want, got = np.zeros((4, 9_000)), np.zeros((9_000, 4)).T
+        treeshap.attribute(growing.nodes, codes, want)
+        walked.clear()
+        treeshap.attribute_many(growing.nodes, codes, got)
+        assert got == pytest.approx(want, abs=1e-12) and bool(walked) == (not patterns or depth == 0)
+        few = np.zeros((4, 50))
+        treeshap.attribute_many(growing.nodes, codes[:50], few)
+        assert few == pytest.approx(want[:, :50], abs=1e-12)
+
+
+def test_rows_of_several_batches_are_attributed_together(sample, monkeypatch):
+    """The rows of a task meet the trees in larger pieces than Arrow batches; every row keeps its own attributions."""
+    fitted = models.fit(sample, ["a", "b", "c"], models.Settings(rounds=3, depth=3), "y")
+    want = {r[ID]: r["contributions"] for r in treeshap.tree_shap(fitted, sample, ID).collect()}
+    monkeypatch.setattr(treeshap, "HELD_ROWS", 150)
+    monkeypatch.setattr(treeshap, "PATTERN_ROWS", 100)
+    sample.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "40")
+    try:
+        got = {r[ID]: r["contributions"] for r in treeshap.tree_shap(fitted, sample.coalesce(1), ID).collect()}
+    finally:
+        sample.sparkSession.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got.keys() == want.keys() and len(got) == 2000
+    for k in got:
+        assert {c["feature"]: c["shap_value"] for c in got[k]} == pytest.approx({c["feature"]: c["shap_value"] for c in want[k]}, abs=1e-12)
