@@ -256,3 +256,15 @@ def test_rows_of_several_batches_are_attributed_together(sample, monkeypatch):
     assert got.keys() == want.keys() and len(got) == 2000
     for k in got:
         assert {c["feature"]: c["shap_value"] for c in got[k]} == pytest.approx({c["feature"]: c["shap_value"] for c in want[k]}, abs=1e-12)
+
+
+def test_boostings_of_several_threads_take_turns(coded):
+    """Folds that are fitted at once, among jobs of their own, each get the stage that takes all slots."""
+    coding, rows = coded
+    specs = [trees.Spec(True, 4, 3, 2, 0.3, 0.7, seed=i) for i in range(3)]
+
+    def one(spec):
+        rows.repartition(20).count()
+        return [shape(t) for t in trees.fit_many(rows, [spec], coding, 300)[0]]
+
+    assert models.at_once(one, specs) == [[shape(t) for t in grown] for grown in trees.fit_many(rows, specs, coding)]
